@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing
+from tessera.llm import bpe, fingerprints, langid, packing
 from tessera.llm.common import documents
 
 
@@ -26,8 +26,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), _word_vocabulary())
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.languages(documents(spark, sf_dir))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_neighbours(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op7_packing": op7_packing}
+    return {
+        "op1_bpe": op1_bpe,
+        "op7_packing": op7_packing,
+        "op9_langid": op9_langid,
+        "op10_fingerprints": op10_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
