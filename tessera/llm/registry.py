@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, langid, packing
+from tessera.llm import bpe, fingerprints, langid, packing, topk
 from tessera.llm.common import documents
 
 
@@ -26,6 +26,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), _word_vocabulary())
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products for every hundredth vector."""
+    return topk.every_hundredth(spark, sf_dir)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return langid.languages(documents(spark, sf_dir))
@@ -39,6 +44,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op6_topk": op6_topk,
         "op7_packing": op7_packing,
         "op9_langid": op9_langid,
         "op10_fingerprints": op10_fingerprints,
@@ -46,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": topk.ORACLE}
