@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, langid, packing, topk
+from tessera.llm import bpe, fingerprints, langid, packing, topk, urlfilter
 from tessera.llm.common import documents
 
 
@@ -26,6 +26,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), _word_vocabulary())
 
 
+def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every url, by rule or by path template."""
+    return urlfilter.pages(spark, sf_dir)
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products for every hundredth vector."""
     return topk.every_hundredth(spark, sf_dir)
@@ -44,6 +49,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_urlfilter": op2_urlfilter,
         "op6_topk": op6_topk,
         "op7_packing": op7_packing,
         "op9_langid": op9_langid,
