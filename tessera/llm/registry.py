@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, langid, packing, topk, urlfilter
+from tessera.llm import bpe, fingerprints, langid, packing, pii, secretscan, topk, urlfilter
 from tessera.llm.common import documents
 
 
@@ -31,6 +31,16 @@ def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.pages(spark, sf_dir)
 
 
+def op3_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secretscan.scan_documents(documents(spark, sf_dir))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.scan_documents(documents(spark, sf_dir))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products for every hundredth vector."""
     return topk.every_hundredth(spark, sf_dir)
@@ -50,6 +60,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_urlfilter": op2_urlfilter,
+        "op3_secretscan": op3_secretscan,
+        "op5_pii": op5_pii,
         "op6_topk": op6_topk,
         "op7_packing": op7_packing,
         "op9_langid": op9_langid,
