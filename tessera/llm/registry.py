@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, langid, packing, pii, secretscan, topk, urlfilter
+from tessera.llm import bpe, fingerprints, jaccard, langid, packing, pii, secretscan, topk, urlfilter
 from tessera.llm.common import documents
 
 
@@ -46,6 +46,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_hundredth(spark, sf_dir)
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return langid.languages(documents(spark, sf_dir))
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op6_topk": op6_topk,
         "op7_packing": op7_packing,
+        "op8_jaccard": op8_jaccard,
         "op9_langid": op9_langid,
         "op10_fingerprints": op10_fingerprints,
     }
