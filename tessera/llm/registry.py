@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, jaccard, langid, packing, pii, secretscan, topk, urlfilter
+from tessera.llm import bpe, fingerprints, jaccard, langid, packing, phrases, pii, secretscan, topk, urlfilter
 from tessera.llm.common import documents
 
 
@@ -36,6 +36,11 @@ def op3_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_documents(documents(spark, sf_dir))
 
 
+def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 20 words or more, removed from every document."""
+    return phrases.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.scan_documents(documents(spark, sf_dir))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_urlfilter": op2_urlfilter,
         "op3_secretscan": op3_secretscan,
+        "op4_phrases": op4_phrases,
         "op5_pii": op5_pii,
         "op6_topk": op6_topk,
         "op7_packing": op7_packing,
