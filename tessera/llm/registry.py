@@ -10,7 +10,7 @@ from tessera.llm import bpe, fingerprints, jaccard, langid, packing, phrases, pi
 from tessera.llm.common import documents
 
 
-def _word_vocabulary() -> str:
+def word_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -18,12 +18,12 @@ def _word_vocabulary() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
-    return bpe.round_trip_digests(documents(spark, sf_dir), _word_vocabulary())
+    return bpe.round_trip_digests(documents(spark, sf_dir), word_vocabulary())
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
-    return packing.pack_documents(documents(spark, sf_dir), _word_vocabulary())
+    return packing.pack_documents(documents(spark, sf_dir), word_vocabulary())
 
 
 def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
