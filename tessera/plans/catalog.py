@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -30,13 +28,17 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    _collect()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _collect()
     return dict(_oracles)
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
-def ag1_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+def _collect() -> None:
+    """Import the modules whose queries register themselves."""
+    for name in ("relational", "aggregates", "windows", "functions", "search", "domain", "streams"):
+        if importlib.util.find_spec(f"tessera.plans.{name}"):
+            importlib.import_module(f"tessera.plans.{name}")
