@@ -43,6 +43,8 @@ HEAVY = 1 << 17
 COUNTED, REPORT = 1 << 22, 4
 MOST_MATCHES = 4
 SMALL, SIDE = 32, 512
+#: Ids (8 bytes each) that are broadcast to pick the texts to verify; more of them are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -126,12 +128,14 @@ def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value  # sorted by token
+        done: set[int] = set()  # equal sets in one task give their prefix once
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
             for t in b.column(0):
                 s = shingles(t.as_py(), n)
-                if not len(s):
+                if not len(s) or (key := digest(s)) in done:
                     continue
+                done.add(key)
                 base = prefix_length(len(s), percent)
                 cost = np.ones(len(s))
                 if len(tokens):
@@ -141,7 +145,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.
                 matches = choose(cost[order], base, MOST_MATCHES)
                 prefix = s[order[: base + matches - 1]]
                 k = len(prefix)
-                for col, x in zip(out, (_signed(prefix), np.full(k, digest(s)), np.full(k, len(s)), np.full(k, matches)), strict=True):
+                for col, x in zip(out, (_signed(prefix), np.full(k, key), np.full(k, len(s)), np.full(k, matches)), strict=True):
                     col.append(x)
             cols = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out]
             yield pa.record_batch(cols, names=["token", "key", "size", "matches"])
@@ -149,9 +153,41 @@ def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.
     return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "token bigint, key bigint, size bigint, matches bigint")
 
 
+def _buckets(prefix_rows: DataFrame) -> DataFrame:
+    """Prefix rows, each once, whose token has two keys or more.
+
+    Rows come sorted by token and key, so a row only has to be compared with its neighbours: a
+    bucket of any size streams through.
+    """
+    names = ["token", "key", "size", "matches"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, met = None, False  # the last row, and whether the row before it had its token
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            if last is not None:
+                rows = np.hstack([last, rows])
+            rows = rows[:, np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))]
+            same = rows[0, 1:] == rows[0, :-1]
+            before = np.append(met if last is not None else False, same)
+            out = rows[:, :-1][:, before[:-1] | same]
+            last, met = rows[:, -1:], bool(before[-1])
+            yield pa.record_batch([pa.array(r, pa.int64()) for r in out], names=names)
+        if met:
+            yield pa.record_batch([pa.array(r, pa.int64()) for r in last], names=names)
+
+    width = int(prefix_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prefix_rows.repartition(width, "token").sortWithinPartitions("token", "key").mapInArrow(run, "token bigint, key bigint, size bigint, matches bigint")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(key, set array<bigint>) of the wanted (rep, key)."""
-    few = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted.select("rep").distinct(), "rep", "left_semi").select("text")
+    reps = materialize(wanted.select("rep").distinct(), "jaccard-reps")
+    if reps.count() <= BROADCAST_IDS:
+        reps = F.broadcast(reps)
+    few = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(reps, "rep", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,11 +264,8 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b) links between representatives, enough to connect whatever is linked. classes: key, size, rep."""
-    tokens = materialize(prefixes(docs, n, percent, heavy), "jaccard-prefixes")
-    useful = tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
-    useful = materialize(useful, "jaccard-buckets")
-    members = tokens.join(useful, "token", "left_semi").groupBy("token", "key").agg(F.max("size").alias("size"), F.max("matches").alias("matches"))
-    members = materialize(members.join(classes.select("key", "rep"), "key"), "jaccard-members")
+    members = materialize(_buckets(prefixes(docs, n, percent, heavy)), "jaccard-members").join(classes.select("key", "rep"), "key")
+    members = materialize(members, "jaccard-members")
     counts = members.groupBy("token").agg(F.count("*").alias("n"))
     sized = members.join(counts, "token")
 
