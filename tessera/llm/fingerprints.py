@@ -140,7 +140,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     count = d.count()
     n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS)))
     cuts = sorted(set(d.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if count and n > 1 else []
-    splits = [-float("inf"), *cuts, float("inf")]
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     ranges = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep")
 
     def ranged(x: DataFrame) -> DataFrame:
