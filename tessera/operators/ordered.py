@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def cooldown(df: DataFrame, key: str, index: str, gap: int) -> DataFrame:
@@ -37,7 +38,7 @@ def token_batches(df: DataFrame, group: str, order: str, tokens: str, budget: in
             out.append(batch)
         return pdf.assign(batch=out)
 
-    return df.groupBy(group).applyInPandas(assign, df.schema.add("batch", "bigint"))
+    return df.groupBy(group).applyInPandas(assign, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
 
 
 def claim(df: DataFrame, group: str, order: list[str], item: str, title: str, cap: int) -> DataFrame:
