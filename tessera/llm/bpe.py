@@ -34,11 +34,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import resident, small_batches
 
 #: Entries kept in a worker's caches and in its pair table; each starts anew when full.
-CHUNK_CACHE = 600_000
-WORD_CACHE = 400_000
+CHUNK_CACHE = 400_000
+WORD_CACHE = 250_000
 PAIR_CACHE = 2_000_000
 #: White space for str.split(), but not by the Unicode property that the word pattern uses.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -272,16 +272,9 @@ def _trimmed(blocks: Iterator[np.ndarray]) -> Iterator[bytes]:
         yield last[:-1].tobytes()
 
 
-_codecs: dict[str, WordBpe] = {}
-
-
 def codec(blob: bytes) -> WordBpe:
     """The codec of a vocabulary file, built once in each process."""
-    key = hashlib.sha256(blob).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = WordBpe(blob)
-    return _codecs[key]
+    return resident(("bpe", hashlib.sha256(blob).digest()), lambda: WordBpe(blob))
 
 
 def vocabulary(path: str) -> bytes:

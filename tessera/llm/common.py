@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +54,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def null_safe_text(df: DataFrame, col: str = "text") -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col), F.lit("")))
+
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, build: Callable[[], object]):
+    """What build() gives, kept in this process until another key is asked for.
+
+    Python workers outlive their tasks; only the one large model in use stays in memory.
+    """
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = build()
+    return _resident[key]

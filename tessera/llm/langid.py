@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import resident, small_batches
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 60_000
 MOST_LANGUAGES = 64
 #: Entries of a worker's table of chunks and their counts; it starts anew when full.
-CHUNK_CACHE = 600_000
+CHUNK_CACHE = 200_000
 
 letters = regex.compile(r"\p{L}+").findall
 
@@ -164,15 +164,8 @@ def learn(docs: DataFrame) -> dict[str, str]:
     return {k: f" {' '.join(v)} " for k, v in sample.items() if v}
 
 
-_models: dict[tuple, Model] = {}
-
-
 def _model(sample: dict[str, str]) -> Model:
-    key = tuple(sorted(sample.items()))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(sample)
-    return _models[key]
+    return resident(("langid", tuple(sorted(sample.items()))), lambda: Model(sample))
 
 
 def identify(docs: DataFrame, sample: dict[str, str], keep: list[str] | None = None) -> DataFrame:
