@@ -10,10 +10,9 @@ from pyspark.sql.window import Window
 from tessera.functions import scoring
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, mentions, stories, trades
+from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, mentions, stories, today, trades
 from tessera.session import load
 
-D = F.lit(AS_OF).cast("date")
 TRAJECTORY = "CASE WHEN w30 = 0 THEN 'dormant' WHEN w7 >= 20 AND acc >= 1.5 THEN 'hot' WHEN acc >= 1.2 THEN 'rising' WHEN acc < 0.5 THEN 'fading' ELSE 'steady' END"
 
 
@@ -23,8 +22,8 @@ a AS (SELECT *, CASE WHEN w30 > 0 THEN (w7 / 7.0) / (w30 / 30.0) WHEN w7 > 0 THE
 SELECT entity_id, sector, w7, w30, w90, days, round(acc, 6) AS acceleration, {TRAJECTORY} AS trajectory FROM a""")
 def ag1_window_counts(spark, d):
     """Flagship: 7/30/90-day counts, acceleration and trajectory for each (topic, sector), in one pass."""
-    within = lambda k: F.count_if(F.col("day") >= F.date_sub(D, k))
-    c = mentions(spark, d).where(F.col("day").between(F.date_sub(D, 90), D)).groupBy("entity_id", "sector").agg(
+    within = lambda k: F.count_if(F.col("day") >= F.date_sub(today(), k))
+    c = mentions(spark, d).where(F.col("day").between(F.date_sub(today(), 90), today())).groupBy("entity_id", "sector").agg(
         within(7).alias("w7"), within(30).alias("w30"), F.count("*").alias("w90"), F.count_distinct("day").alias("days"))
     c = c.withColumn("acc", scoring.acceleration(F.col("w7"), F.col("w30")))
     return c.select("entity_id", "sector", "w7", "w30", "w90", "days", F.round("acc", 6).alias("acceleration"), F.expr(TRAJECTORY).alias("trajectory"))
@@ -37,7 +36,7 @@ def ag2_count_distinct(spark, d):
 
 @query(f"WITH {MENTIONS} SELECT entity_id, sum(CASE WHEN sector = 'purchase' THEN k ELSE 0 END) AS bought, max(CASE WHEN day >= DATE '{AS_OF}' - 14 THEN k END) AS severity FROM mentions GROUP BY entity_id")
 def ag3_json_sum_max(spark, d):
-    return mentions(spark, d).groupBy("entity_id").agg(F.sum(F.when(F.col("sector") == "purchase", F.col("k")).otherwise(0)).alias("bought"), F.max(F.when(F.col("day") >= F.date_sub(D, 14), F.col("k"))).alias("severity"))
+    return mentions(spark, d).groupBy("entity_id").agg(F.sum(F.when(F.col("sector") == "purchase", F.col("k")).otherwise(0)).alias("bought"), F.max(F.when(F.col("day") >= F.date_sub(today(), 14), F.col("k"))).alias("severity"))
 
 
 @query(f"WITH {MENTIONS}, a AS (SELECT avg(abs(sentiment)) AS m FROM mentions) SELECT entity_id, round(avg(sentiment) - (SELECT m FROM a), 6) AS rel FROM mentions GROUP BY entity_id")

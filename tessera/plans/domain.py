@@ -8,11 +8,9 @@ from pyspark.sql.window import Window
 from tessera.operators import ordered
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, mentions, stories, trades
+from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
 from tessera.session import load
 
-D = F.lit(AS_OF).cast("date")
-T = Window.partitionBy("ticker").orderBy("day")
 
 
 @query(f"""WITH {MENTIONS}, t AS (SELECT DISTINCT entity_id, day FROM mentions WHERE sector = 'signup'), c AS (SELECT DISTINCT entity_id, day FROM mentions WHERE sector = 'error'),
@@ -42,7 +40,7 @@ SELECT s.entity_id, s.sector AS source, g.sector AS target, g.n AS n, CASE WHEN
 def cp9_migration(spark, d):
     g = mentions(spark, d).groupBy("entity_id", "sector").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("day").alias("last"))
     w = Window.partitionBy("entity_id").orderBy(F.desc("n"), "first", "sector").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = g.withColumn("source", F.first("sector").over(w)).withColumn("most", F.first("n").over(w)).where((F.col("sector") != F.col("source")) & (F.col("last") >= F.date_sub(D, 3)))
+    x = g.withColumn("source", F.first("sector").over(w)).withColumn("most", F.first("n").over(w)).where((F.col("sector") != F.col("source")) & (F.col("last") >= F.date_sub(today(), 3)))
     stage = F.when(F.col("n") >= F.col("most") * 0.8, "established").when(F.col("n") >= F.col("most") * 0.4, "growing").otherwise("early")
     return x.select("entity_id", "source", F.col("sector").alias("target"), "n", stage.alias("stage"))
 
@@ -53,7 +51,7 @@ def cp11_backfill(spark, d):
     """Recompute for every day of a range: daily counts first, each then spread over the days that look back on it."""
     daily = mentions(spark, d).groupBy("entity_id", "day").agg(F.count("*").alias("n"))
     start = F.greatest(F.col("day"), F.lit("2024-01-20").cast("date"))
-    end = F.least(F.date_add("day", 30), D)
+    end = F.least(F.date_add("day", 30), today())
     spread = daily.where(start <= end).withColumn("as_of", F.explode(F.sequence(start, end)))
     return spread.groupBy("entity_id", "as_of").agg(F.coalesce(F.sum(F.when(F.col("day") >= F.date_sub(F.col("as_of"), 7), F.col("n"))), F.lit(0)).alias("w7"), F.sum("n").alias("w30"))
 
@@ -61,7 +59,7 @@ def cp11_backfill(spark, d):
 @query(f"""WITH {MENTIONS}, t AS (SELECT entity_id, count(*) AS n, count(DISTINCT sector) AS sectors, count(DISTINCT day) AS days, count(*) FILTER (WHERE day >= DATE '{AS_OF}' - 7) AS w7 FROM mentions GROUP BY 1)
 SELECT entity_id, n, sectors, CAST(row_number() OVER (ORDER BY days * n * w7 DESC, entity_id) AS INTEGER) AS rank FROM t QUALIFY rank <= 20""")
 def cp12_trends(spark, d):
-    t = mentions(spark, d).groupBy("entity_id").agg(F.count("*").alias("n"), F.count_distinct("sector").alias("sectors"), F.count_distinct("day").alias("days"), F.count_if(F.col("day") >= F.date_sub(D, 7)).alias("w7"))
+    t = mentions(spark, d).groupBy("entity_id").agg(F.count("*").alias("n"), F.count_distinct("sector").alias("sectors"), F.count_distinct("day").alias("days"), F.count_if(F.col("day") >= F.date_sub(today(), 7)).alias("w7"))
     order = [F.desc(F.col("days") * F.col("n") * F.col("w7")), F.col("entity_id")]
     return t.orderBy(*order).limit(20).select("entity_id", "n", "sectors", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
@@ -82,12 +80,12 @@ def cp14_buys(spark, d):
 @query(f"""WITH {MENTIONS}, s AS (SELECT DISTINCT entity_id FROM mentions WHERE sector = 'error' AND day >= DATE '{AS_OF}' - 1) SELECT mention_id FROM mentions m WHERE sector = 'purchase' AND day >= DATE '{AS_OF}' - 3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = m.entity_id) ORDER BY k DESC, mention_id LIMIT 10""")
 def cp15_candidates(spark, d):
     m = mentions(spark, d)
-    s = m.where((F.col("sector") == "error") & (F.col("day") >= F.date_sub(D, 1))).select("entity_id")
-    return m.where((F.col("sector") == "purchase") & (F.col("day") >= F.date_sub(D, 3))).join(s, "entity_id", "left_anti").orderBy(F.desc("k"), "mention_id").limit(10).select("mention_id")
+    s = m.where((F.col("sector") == "error") & (F.col("day") >= F.date_sub(today(), 1))).select("entity_id")
+    return m.where((F.col("sector") == "purchase") & (F.col("day") >= F.date_sub(today(), 3))).join(s, "entity_id", "left_anti").orderBy(F.desc("k"), "mention_id").limit(10).select("mention_id")
 
 
 def _scenarios(spark, d):
-    b = bars(spark, d).withColumn("score", F.when(F.col("close") > F.lag("close", 2).over(T), F.round(F.col("close") / F.lag("close", 2).over(T) - 1, 9)))
+    b = bars(spark, d).withColumn("score", F.when(F.col("close") > F.lag("close", 2).over(by_day()), F.round(F.col("close") / F.lag("close", 2).over(by_day()) - 1, 9)))
     sets = spark.createDataFrame([("base",), ("tight",)], "scenario string")
     return b.select("day", "ticker", "close", "score").crossJoin(F.broadcast(sets))
 
@@ -116,7 +114,7 @@ def _event_study(spark, d):
     """Enter at the open after the event, leave three bars later at the close, against the index, minus costs."""
     b = bars(spark, d)
     index = b.groupBy("day").agg(F.avg("open").alias("o"), F.avg("close").alias("c"))
-    f = b.select("ticker", "day", (F.col("close") / F.lag("close").over(T) - 1).alias("ret"), F.lead("open").over(T).alias("eo"), F.lead("close", 3).over(T).alias("xc"), F.lead("day").over(T).alias("ed"), F.lead("day", 3).over(T).alias("xd")).where("ret >= 0.1")
+    f = b.select("ticker", "day", (F.col("close") / F.lag("close").over(by_day()) - 1).alias("ret"), F.lead("open").over(by_day()).alias("eo"), F.lead("close", 3).over(by_day()).alias("xc"), F.lead("day").over(by_day()).alias("ed"), F.lead("day", 3).over(by_day()).alias("xd")).where("ret >= 0.1")
     f = f.join(index.select(F.col("day").alias("ed"), "o"), "ed").join(index.select(F.col("day").alias("xd"), "c"), "xd")
     return f.select("ticker", "day", ((F.col("xc") / F.col("eo") - 1) - (F.col("c") / F.col("o") - 1) - 0.002).alias("excess"))
 
@@ -133,8 +131,8 @@ h AS (SELECT ticker, i, p, k, close, CASE WHEN low <= top * 0.8 THEN k END AS hi
 SELECT ticker, i, min(hit) AS bar, round(coalesce(arg_min(stop, hit), arg_max(close, k)) / any_value(p) - 1, 6) AS ret FROM h GROUP BY ALL""")
 def cp21_exits(spark, d):
     """Trailing stop at 80 % of the highest earlier price, else the last close: running maxima without the current bar."""
-    b = bars(spark, d).withColumn("i", F.row_number().over(T).cast("bigint"))
-    b = b.withColumn("next", F.collect_list(F.struct("i", "high", "low", "close")).over(T.rowsBetween(1, 12))).where("i % 12 = 1")
+    b = bars(spark, d).withColumn("i", F.row_number().over(by_day()).cast("bigint"))
+    b = b.withColumn("next", F.collect_list(F.struct("i", "high", "low", "close")).over(by_day().rowsBetween(1, 12))).where("i % 12 = 1")
     x = b.select("ticker", "i", F.col("close").alias("p"), F.explode("next").alias("x")).select("ticker", "i", "p", (F.col("x.i") - F.col("i")).alias("k"), "x.high", "x.low", "x.close")
     w = Window.partitionBy("ticker", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("stop", F.greatest(F.col("p"), F.coalesce(F.max("high").over(w), F.col("p"))) * 0.8)
@@ -148,7 +146,7 @@ SELECT h, CASE WHEN day < DATE '1999-01-01' THEN 'train' ELSE 'test' END AS peri
 def cp22_grid(spark, d):
     """Holding periods by train and test: all leads in one window, then unpivoted."""
     hs = (2, 4, 6)
-    r = bars(spark, d).select("day", *[(F.lead("close", h).over(T) / F.col("close") - 1).alias(str(h)) for h in hs])
+    r = bars(spark, d).select("day", *[(F.lead("close", h).over(by_day()) / F.col("close") - 1).alias(str(h)) for h in hs])
     u = r.unpivot(["day"], [str(h) for h in hs], "h", "ret").withColumn("period", F.when(F.col("day") < F.lit("1999-01-01").cast("date"), "train").otherwise("test"))
     return u.groupBy(F.col("h").cast("int").alias("h"), "period").agg(F.round(F.avg("ret"), 6).alias("mean"))
 

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, scoring, text
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, MENTIONS, mentions
+from tessera.plans.views import AS_OF, MENTIONS, mentions, today
 from tessera.session import load
 
-D = F.lit(AS_OF).cast("date")
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(lower(url), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS norm, sha256(trim(regexp_replace(regexp_replace(lower(url), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))) AS hash FROM pages")
@@ -116,7 +115,7 @@ PHRASES = [("2025-03-04", "2025-03-04"), ("within 10 days", "2024-02-09"), ("2 w
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', DATE '{x}')" for p, x in PHRASES) + ") t(phrase, due)")
 def fn22_timeframes(spark, d):
     p = spark.createDataFrame([(p,) for p, _ in PHRASES], "phrase string")
-    return p.select("phrase", dates.parse_timeframe(F.col("phrase"), D).alias("due"))
+    return p.select("phrase", dates.parse_timeframe(F.col("phrase"), today()).alias("due"))
 
 
 @query("""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
@@ -134,7 +133,7 @@ def fn26_age_days(spark, d):
 @query(f"""WITH {MENTIONS}, a AS (SELECT mention_id, date_diff('day', day, DATE '{AS_OF}') AS age, k FROM mentions)
 SELECT mention_id, round(CASE WHEN age <= 0 THEN 1 ELSE pow(0.5, age / 14.0) END, 6) AS recency, round(CASE WHEN k <= 0 THEN 0 ELSE 1 - exp(-k / 50.0) END, 6) AS signal FROM a""")
 def fn28_recency_and_signal(spark, d):
-    return mentions(spark, d).select("mention_id", F.round(scoring.recency(F.date_diff(D, "day"), 14.0), 6).alias("recency"), F.round(scoring.saturate(F.col("k"), 50.0), 6).alias("signal"))
+    return mentions(spark, d).select("mention_id", F.round(scoring.recency(F.date_diff(today(), "day"), 14.0), 6).alias("recency"), F.round(scoring.saturate(F.col("k"), 50.0), 6).alias("signal"))
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -7,10 +7,9 @@ from pyspark.sql.window import Window
 
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, mentions, stories, trades
+from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, mentions, stories, today, trades
 from tessera.session import load
 
-D = F.lit(AS_OF).cast("date")
 
 
 # ---- filters and projections -------------------------------------------------------------
@@ -45,7 +44,7 @@ def pf5_date_shape(spark, d):
 
 @query(f"WITH {MENTIONS} SELECT sector, count(*) AS n FROM mentions WHERE day >= DATE '{AS_OF}' - 7 AND day <= DATE '{AS_OF}' GROUP BY sector")
 def pf6_relative_window(spark, d):
-    return mentions(spark, d).where(F.col("day").between(F.date_sub(D, 7), D)).groupBy("sector").agg(F.count("*").alias("n"))
+    return mentions(spark, d).where(F.col("day").between(F.date_sub(today(), 7), today())).groupBy("sector").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey, (regexp_matches(lower(s_name), 'unknown|n/a|various') OR (len(string_split(trim(s_name), ' ')) >= 3 AND upper(s_name) = s_name)) AS noise FROM supplier")
@@ -123,7 +122,7 @@ def pf18_prefix(spark, d):
 
 @query(f"WITH {MENTIONS} SELECT sector, max(day) AS last, date_diff('day', max(day), DATE '{AS_OF}') >= 1 AS due FROM mentions GROUP BY sector")
 def pf19_due(spark, d):
-    return mentions(spark, d).groupBy("sector").agg(F.max("day").alias("last"), (F.date_diff(D, F.max("day")) >= 1).alias("due"))
+    return mentions(spark, d).groupBy("sector").agg(F.max("day").alias("last"), (F.date_diff(today(), F.max("day")) >= 1).alias("due"))
 
 
 # ---- joins ------------------------------------------------------------------------------
@@ -251,7 +250,7 @@ def jn23_latest_each(spark, d):
 
 @query(f"""WITH {MENTIONS} SELECT entity_id, round(avg(CASE WHEN day >= DATE '{AS_OF}' - 2 THEN sentiment END), 6) AS recent, round(avg(CASE WHEN day < DATE '{AS_OF}' - 2 THEN sentiment END), 6) AS base FROM mentions GROUP BY entity_id""")
 def jn24_two_windows(spark, d):
-    recent = F.col("day") >= F.date_sub(D, 2)
+    recent = F.col("day") >= F.date_sub(today(), 2)
     return mentions(spark, d).groupBy("entity_id").agg(F.round(F.avg(F.when(recent, F.col("sentiment"))), 6).alias("recent"), F.round(F.avg(F.when(~recent, F.col("sentiment"))), 6).alias("base"))
 
 

@@ -6,14 +6,25 @@ expression with the same rows, which the oracles use.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.session import load
 
 #: Reference day of every look-back; nothing reads the clock.
 AS_OF = "2024-01-30"
 
+
+def today() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
+def by_day():
+    """The window of a ticker's bars in order."""
+    return Window.partitionBy("ticker").orderBy("day")
+
+
 MENTIONS = """mentions AS (
   SELECT event_id AS mention_id, user_id AS entity_id, event_type AS sector, CAST(ts AS DATE) AS day, ts,
          (value - 20.0) / 20.0 AS sentiment, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k

@@ -9,11 +9,9 @@ from tessera.functions import text
 from tessera.operators import ordered
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, mentions, stories, trades
+from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
 from tessera.session import load
 
-D = F.lit(AS_OF).cast("date")
-T = Window.partitionBy("ticker").orderBy("day")
 
 
 @query(f"WITH {MENTIONS} SELECT entity_id, mention_id, sector FROM mentions QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, mention_id) = 1")
@@ -37,37 +35,37 @@ SELECT ticker, day, round(CASE WHEN i >= 15 THEN avg(tr) OVER (PARTITION BY tick
 round(CASE WHEN i >= 15 THEN avg(tr) OVER (PARTITION BY ticker ORDER BY day ROWS 13 PRECEDING) / close ELSE 0 END, 6) AS atr_pct FROM r""")
 def wn7_atr(spark, d):
     """ATR(14): the mean of the last 14 true ranges, 0 with fewer than 15 bars; and as a share of the close."""
-    b = bars(spark, d).withColumn("pc", F.lag("close").over(T)).withColumn("i", F.row_number().over(T))
+    b = bars(spark, d).withColumn("pc", F.lag("close").over(by_day())).withColumn("i", F.row_number().over(by_day()))
     b = b.withColumn("tr", F.when(F.col("pc").isNotNull(), F.greatest(F.expr("high - low"), F.abs(F.expr("high - pc")), F.abs(F.expr("low - pc")))))
-    b = b.withColumn("atr", F.when(F.col("i") >= 15, F.avg("tr").over(T.rowsBetween(-13, 0))).otherwise(0.0))
+    b = b.withColumn("atr", F.when(F.col("i") >= 15, F.avg("tr").over(by_day().rowsBetween(-13, 0))).otherwise(0.0))
     return b.select("ticker", "day", F.round("atr", 6).alias("atr"), F.round(F.col("atr") / F.col("close"), 6).alias("atr_pct"))
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY day) AS pc FROM bars), r AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM t WHERE pc IS NOT NULL AND day >= DATE '2000-09-01')
 SELECT ticker, CASE WHEN count(*) >= 8 THEN round(avg(tr), 6) END AS atr FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) <= 14) GROUP BY ticker""")
 def wn8_atr_tolerant(spark, d):
-    b = bars(spark, d).withColumn("pc", F.lag("close").over(T)).where("pc is not null and day >= date'2000-09-01'")
+    b = bars(spark, d).withColumn("pc", F.lag("close").over(by_day())).where("pc is not null and day >= date'2000-09-01'")
     b = b.withColumn("tr", F.greatest(F.expr("high - low"), F.abs(F.expr("high - pc")), F.abs(F.expr("low - pc"))))
     return R.latest(b, ["ticker"], [F.desc("day")], 14).groupBy("ticker").agg(F.when(F.count("*") >= 8, F.round(F.avg("tr"), 6)).alias("atr"))
 
 
 @query(f"WITH {BARS} SELECT ticker, day, round(avg(close) OVER (PARTITION BY ticker ORDER BY day ROWS 9 PRECEDING), 6) AS sma, CASE WHEN close < avg(close) OVER (PARTITION BY ticker ORDER BY day ROWS 9 PRECEDING) THEN 0.5 ELSE 1.0 END AS size FROM bars")
 def wn10_sma_regime(spark, d):
-    sma = F.avg("close").over(T.rowsBetween(-9, 0))
+    sma = F.avg("close").over(by_day().rowsBetween(-9, 0))
     return bars(spark, d).select("ticker", "day", F.round(sma, 6).alias("sma"), F.when(F.col("close") < sma, 0.5).otherwise(1.0).alias("size"))
 
 
 @query(f"""WITH {BARS} SELECT ticker, day, round(stddev_samp(close) OVER (PARTITION BY ticker ORDER BY day ROWS 19 PRECEDING), 6) AS vol, round(avg(volume) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS prior_volume FROM bars""")
 def wn12_rolling(spark, d):
-    return bars(spark, d).select("ticker", "day", F.round(F.stddev_samp("close").over(T.rowsBetween(-19, 0)), 6).alias("vol"), F.round(F.avg("volume").over(T.rowsBetween(-20, -1)), 6).alias("prior_volume"))
+    return bars(spark, d).select("ticker", "day", F.round(F.stddev_samp("close").over(by_day().rowsBetween(-19, 0)), 6).alias("vol"), F.round(F.avg("volume").over(by_day().rowsBetween(-20, -1)), 6).alias("prior_volume"))
 
 
 @query(f"""WITH {BARS}, r AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY day)),
 v AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS sd, avg(volume) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS av FROM r)
 SELECT ticker, day, round(ret / sd, 6) AS z FROM v WHERE sd > 0 AND volume >= 1.5 * av""")
 def wn13_shock(spark, d):
-    prior = T.rowsBetween(-20, -1)
-    r = bars(spark, d).withColumn("ret", F.col("close") / F.lag("close").over(T) - 1)
+    prior = by_day().rowsBetween(-20, -1)
+    r = bars(spark, d).withColumn("ret", F.col("close") / F.lag("close").over(by_day()) - 1)
     v = r.withColumn("sd", F.stddev_samp("ret").over(prior)).withColumn("av", F.avg("volume").over(prior))
     return v.where("sd > 0 and volume >= 1.5 * av").select("ticker", "day", F.round(F.col("ret") / F.col("sd"), 6).alias("z"))
 
@@ -99,7 +97,7 @@ def wn18_clusters(spark, d):
 k AS (SELECT ticker, min(i) AS i FROM u GROUP BY ticker UNION ALL SELECT k.ticker, (SELECT min(u.i) FROM u WHERE u.ticker = k.ticker AND u.i >= k.i + 10) FROM k WHERE EXISTS (SELECT 1 FROM u WHERE u.ticker = k.ticker AND u.i >= k.i + 10))
 SELECT ticker, i FROM k""")
 def wn19_cooldown(spark, d):
-    s = bars(spark, d).withColumn("i", F.row_number().over(T).cast("bigint")).where("close > open").select("ticker", "i")
+    s = bars(spark, d).withColumn("i", F.row_number().over(by_day()).cast("bigint")).where("close > open").select("ticker", "i")
     return ordered.cooldown(s, "ticker", "i", 10)
 
 
@@ -113,8 +111,8 @@ def wn20_caps(spark, d):
 SELECT t.ticker, t.entry, round(max(b.high) / any_value(t.price) - 1, 6) AS mfe, round(min(b.low) / any_value(t.price) - 1, 6) AS mae FROM t JOIN bars b ON b.ticker = t.ticker AND b.day > t.entry AND b.day <= t.until WHERE t.i % 12 = 1 GROUP BY ALL""")
 def wn21_mfe_mae(spark, d):
     """Best and worst price of the next six bars: a frame of following rows, no join."""
-    ahead = T.rowsBetween(1, 6)
-    b = bars(spark, d).withColumn("hi", F.max("high").over(ahead)).withColumn("lo", F.min("low").over(ahead)).withColumn("until", F.lead("day", 6).over(T)).withColumn("i", F.row_number().over(T))
+    ahead = by_day().rowsBetween(1, 6)
+    b = bars(spark, d).withColumn("hi", F.max("high").over(ahead)).withColumn("lo", F.min("low").over(ahead)).withColumn("until", F.lead("day", 6).over(by_day())).withColumn("i", F.row_number().over(by_day()))
     return b.where("i % 12 = 1 and until is not null").select("ticker", F.col("day").alias("entry"), F.round(F.col("hi") / F.col("close") - 1, 6).alias("mfe"), F.round(F.col("lo") / F.col("close") - 1, 6).alias("mae"))
 
 
@@ -123,8 +121,8 @@ h AS (SELECT e.ticker, e.i, n.i - e.i AS after, CASE WHEN n.low <= p * 0.85 THEN
 SELECT ticker, i, coalesce(arg_min(hit, after), 'none') AS first_hit, min(after) AS bars_to FROM (SELECT ticker, i, hit, after FROM h WHERE hit IS NOT NULL UNION ALL SELECT ticker, i, NULL, NULL FROM e) GROUP BY ALL""")
 def wn22_first_hit(spark, d):
     """Which of stop and target comes first within 20 bars; the stop wins a tie. Bars stay in one window, no range join."""
-    b = bars(spark, d).withColumn("i", F.row_number().over(T).cast("bigint"))
-    ahead = F.collect_list(F.struct("i", "low", "high")).over(T.rowsBetween(1, 20))
+    b = bars(spark, d).withColumn("i", F.row_number().over(by_day()).cast("bigint"))
+    ahead = F.collect_list(F.struct("i", "low", "high")).over(by_day().rowsBetween(1, 20))
     b = b.withColumn("next", ahead).where("i % 12 = 1")
     hit = F.when(F.col("x.low") <= F.col("close") * 0.85, "stop").when(F.col("x.high") >= F.col("close") * 1.15, "target")
     x = b.select("ticker", "i", "close", F.explode_outer("next").alias("x")).select("ticker", "i", (F.col("x.i") - F.col("i")).alias("after"), hit.alias("hit"))
@@ -135,7 +133,7 @@ def wn22_first_hit(spark, d):
 SELECT k.entity_id, days.day, count(m.mention_id) AS n FROM k CROSS JOIN days LEFT JOIN mentions m ON m.entity_id = k.entity_id AND m.day = days.day GROUP BY ALL""")
 def wn23_sparkline(spark, d):
     m = mentions(spark, d)
-    dense = m.select("entity_id").distinct().withColumn("day", F.explode(F.sequence(F.date_sub(D, 13), D)))
+    dense = m.select("entity_id").distinct().withColumn("day", F.explode(F.sequence(F.date_sub(today(), 13), today())))
     n = m.groupBy("entity_id", "day").agg(F.count("*").alias("n"))
     return dense.join(n, ["entity_id", "day"], "left").select("entity_id", "day", F.coalesce("n", F.lit(0)).alias("n"))
 
