@@ -14,7 +14,7 @@ link if 100 * |intersection| >= 100 * threshold * |union|.
    cost, the number of documents expected to share l of its prefix shingles.
 4. Shingles in the prefixes of two or more classes are buckets. In buckets of up to ``SMALL``
    classes all pairs are formed, and pairs that share as many prefix shingles as the smaller l of the two
-   and fit in size are verified on the whole sets. Larger buckets (groups of near copies,
+   and fit in size and in the histogram of their hashes are verified on the whole sets. Larger buckets (groups of near copies,
    very common lines) are dealt into blocks of about ``SIDE`` classes; a task takes two blocks, counts all
    intersections by one matrix product and emits only the links that join what it has
    not joined yet, never all pairs.
@@ -63,31 +63,40 @@ def digest(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes begin with each value of the first 6 bits.
+
+    The differences of two such histograms add up to no more than the sets' symmetric difference.
+    """
+    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.int32)
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, size, key) of a document, and (token, count) of a shingle frequent in one block of documents."""
+    """Rows of two kinds: (doc_id, size, key, parts) of a document, and (token, count) of a shingle frequent in one block of documents."""
     small_batches(docs.sparkSession)
 
     def report(blocks: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(blocks), return_counts=True)
         often = counts >= max(REPORT, len(blocks) // 1000)
-        return batch([], [], [], _signed(tokens[often]), counts[often])
+        return batch([], [], _signed(tokens[often]), counts[often])
 
-    def batch(ids, sizes, keys, tokens, counts) -> pa.RecordBatch:
+    def batch(ids, sets, tokens, counts) -> pa.RecordBatch:
         a, b = len(ids), len(tokens)
         nulls = lambda k: [None] * k
-        cols = [[*ids, *nulls(b)], [*sizes, *nulls(b)], [*keys, *nulls(b)], [*nulls(a), *tokens], [*nulls(a), *counts]]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "size", "key", "token", "count"])
+        cols = [[*ids, *nulls(b)], [*map(len, sets), *nulls(b)], [*map(digest, sets), *nulls(b)], [*nulls(a), *tokens], [*nulls(a), *counts]]
+        parts = pa.array([*map(spread, sets), *nulls(b)], pa.list_(pa.int32()))
+        return pa.record_batch([*[pa.array(c, pa.int64()) for c in cols], parts], names=["doc_id", "size", "key", "token", "count", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total = 0
         for b in batches:
             sets = [shingles(t.as_py(), n) for t in b.column(1)]
-            yield batch(b.column(0).to_pylist(), [len(s) for s in sets], [digest(s) for s in sets], [], [])
+            yield batch(b.column(0).to_pylist(), sets, [], [])
             held += sets
             total += sum(map(len, sets))
             if total >= COUNTED:
@@ -96,7 +105,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield report(held)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, size bigint, key bigint, token bigint, count bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, size bigint, key bigint, token bigint, count bigint, parts array<int>")
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -278,6 +287,13 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tupl
         .agg(F.count("*").alias("met"), F.max(F.least("matches_a", "matches_b")).alias("needed"))
         .where(F.col("met") >= F.col("needed"))
     )
+    # linked sets differ in at most (a + b) (1 - t) / (1 + t) shingles, so their histograms do, too
+    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    side = lambda x: classes.select(F.col("key").alias(f"key_{x}"), F.col("parts").alias(f"parts_{x}"))
+    pairs = (
+        pairs.join(side("a"), "key_a").join(side("b"), "key_b")
+        .where(apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).drop("parts_a", "parts_b")
+    )
     pairs = materialize(pairs, "jaccard-pairs")
     large = sized.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / SIDE).cast("int"))
     large = materialize(large.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")), "jaccard-large")
@@ -326,13 +342,14 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     table = materialize(sketches(docs, n), "jaccard-sketches")
-    rows = table.where("key is not null").select("doc_id", "size", "key")
+    rows = table.where("key is not null").select("doc_id", "size", "key", "parts")
     top = table.where("token is not null").groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).collect()
     tokens, counts = (np.array([r[i] for r in top], dtype=np.int64) for i in (0, 1))
     order = np.argsort(tokens.view(np.uint64))
     heavy = (tokens.view(np.uint64)[order], counts[order].astype(np.float64))
-    classes = rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")).where("rep is not null")
-    found = links(docs, materialize(classes, "jaccard-classes"), n, percent, heavy)
+    classes = rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.any_value("parts").alias("parts")).where("rep is not null")
+    classes = materialize(classes, "jaccard-classes")
+    found = links(docs, classes, n, percent, heavy)
     # rows of one id with several texts are one node, too
     same = rows.where("size > 0 and doc_id is not null").join(classes.select("key", "rep"), "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     roots = components(found.unionAll(same))
