@@ -76,3 +76,9 @@ def extract_keywords(x: Column, stop: list[str], least: int = 3) -> Column:
 def escape_like(x: Column) -> Column:
     r"""x with \, % and _ escaped for LIKE."""
     return F.regexp_replace(x, r"([\\%_])", r"\\$1")
+
+
+def title_candidates(name: Column) -> Column:
+    """Page titles to try for a company name: as it is, without its legal suffix, and both in title case; each once."""
+    bare = F.trim(F.regexp_replace(name, r"(?i)[,\s]+(inc|corp|corporation|co|company|ltd|llc|plc|sa|ag|nv|group|holdings)\.?$", ""))
+    return F.filter(F.array_distinct(F.array(F.trim(name), bare, F.initcap(F.lower(F.trim(name))), F.initcap(F.lower(bare)))), lambda x: x != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -100,3 +101,35 @@ def simulate(signals: DataFrame, group: str, slots: int, capital: float, stop: f
         return pd.DataFrame(out, columns=["group", "ticker", "entry_day", "exit_day", "reason", "ret"])
 
     return signals.groupBy(group).applyInPandas(walk, "group string, ticker bigint, entry_day date, exit_day date, reason string, ret double")
+
+
+def distinct_results(df: DataFrame, group: str, rank: str, most: int = 2, overlap: float = 0.75, near: float = 0.85) -> DataFrame:
+    """Results of each query in rank order, without those too like a kept one.
+
+    df: group, rank, source, headline, embedding. A result goes if its headline words overlap with a
+    kept one's by more than ``overlap`` (of the smaller set), if its vector lies nearer than ``near`` to a
+    kept one of another source, or if its source has ``most`` kept ones. A group is one result list.
+    """
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(rank)
+        kept: list[tuple[str, set, np.ndarray]] = []
+        good = []
+        for source, headline, v in zip(pdf["source"], pdf["headline"], pdf["embedding"], strict=True):
+            words = set((headline or "").lower().split())
+            v = np.zeros(0) if v is None else np.asarray(v, dtype=np.float64)
+
+            def like(other: tuple[str, set, np.ndarray], source=source, words=words, v=v) -> bool:
+                smaller = min(len(words), len(other[1]))
+                if smaller and len(words & other[1]) / smaller > overlap:
+                    return True
+                norm = np.linalg.norm(v) * np.linalg.norm(other[2]) if len(v) == len(other[2]) else 0.0
+                return source != other[0] and norm > 0 and float(v @ other[2]) / norm > near
+
+            take = sum(k[0] == source for k in kept) < most and not any(like(k) for k in kept)
+            good.append(take)
+            if take:
+                kept.append((source, words, v))
+        return pdf[good]
+
+    return df.groupBy(group).applyInPandas(pick, df.schema)

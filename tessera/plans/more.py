@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import dates, scoring, sizing, text
-from tessera.operators import entities
+from tessera.operators import entities, ordered
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
 from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
@@ -253,3 +253,17 @@ def wn16_prior_relative(spark, d):
     j = b.join(b.groupBy("day").agg(F.avg("close").alias("m")), "day")
     back = lambda c: F.col(c) / F.lag(c, 6).over(by_day())
     return j.select("ticker", "day", F.round(back("close") - back("m"), 6).alias("rel"), F.round(F.avg(F.expr("close * volume")).over(by_day().rowsBetween(-9, 0)), 4).alias("dollar"))
+
+
+@query()
+def so8_semantic_dedup(spark, d):
+    """The first hundred documents as one result list: too similar ones and more than two of a source go."""
+    docs = load(spark, d, "documents").orderBy("doc_id").limit(100)
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    r = docs.join(e, "doc_id", "left").select(F.lit(1).alias("query_id"), F.col("doc_id").alias("rank"), "source", F.substring("text", 1, 80).alias("headline"), "embedding")
+    return ordered.distinct_results(r, "query_id", "rank").select("rank", "source")
+
+
+@query()
+def fn11_title_candidates(spark, d):
+    return load(spark, d, "supplier").select("s_suppkey", text.title_candidates(F.concat("s_name", F.lit(", Inc."))).alias("titles"))

@@ -98,3 +98,47 @@ def test_search(spark):
     lane = lambda rows: spark.createDataFrame(rows, "query_id int, doc_id int, score double, rank int")
     fused = {r["doc_id"]: (r["match_type"], r["score"]) for r in search.fuse(lane([(1, 1, 1.0, 0), (1, 2, 0.0, 1)]), lane([(1, 1, 0.9, 0)])).collect()}
     assert fused[1] == ("both", 1.0) and fused[2][0] == "keyword"
+
+
+def test_distinct_results(spark):
+    rows = [(1, 1, "a", "big news today here", [1.0, 0.0]), (1, 2, "b", "big news today there", [0.0, 1.0]), (1, 3, "b", "other words", [1.0, 0.1]), (1, 4, "a", "same source near", [1.0, 0.05]), (1, 5, "a", "third of a source", None), (1, 6, "c", None, None)]
+    df = spark.createDataFrame(rows, "query_id int, rank int, source string, headline string, embedding array<double>")
+    assert sorted(r["rank"] for r in ordered.distinct_results(df, "query_id", "rank").collect()) == [1, 2, 4, 6]
+
+
+def test_title_candidates(spark):
+    assert one(spark, text.title_candidates(F.lit("ACME WIDGETS, INC."))) == ["ACME WIDGETS, INC.", "ACME WIDGETS", "Acme Widgets, Inc.", "Acme Widgets"]
+
+
+def test_entities(spark):
+    from tessera.operators import entities
+
+    e = spark.createDataFrame([(1, "Acme Inc"), (2, "Blue Sky")], "entity_id bigint, entity string")
+    n = spark.createDataFrame([("acme inc",), ("ACME Corp",), ("the blue sky fund",), ("nobody",)], "name string")
+    got = {r["name"]: (r["entity_id"], float(r["confidence"])) for r in entities.tiered_match(n, e).collect()}
+    assert got == {"acme inc": (1, 0.95), "ACME Corp": (1, 0.85), "the blue sky fund": (2, 0.6)}
+    m = spark.createDataFrame([(1, "c1", None, "Acme Inc", "x"), (2, None, "ACM", "Acme", "x"), (3, "c1", None, "Other", "x"), (4, None, "ACM", "Something", "x"), (5, None, None, "Acme Labs", "x"), (6, None, None, "Zed", "x")], "mention_id bigint, cik string, ticker string, name string, block string")
+    assert {r["mention_id"]: r["canonical"] for r in entities.canonicalise(m).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
+
+
+def test_sizing_and_plugins(spark):
+    import numpy as np
+
+    from tessera.functions import plugins, sizing
+
+    s = sizing.Strategy()
+    assert s.with_changes(stop=-0.05).stop == -0.05
+    with pytest.raises(ValueError):
+        s.with_changes(weights=(0.3, 0.1, 0.3, 0.3, 0.0, 0.0, 0.0, 0.0))
+    with pytest.raises(ValueError):
+        s.with_changes(nothing=1)
+    w = sizing.bounded_weights([0.5, 0.3, 0.2], [3.0, -0.5, 0.1], [40, 40, 40], [20, 20, 20])
+    assert abs(sum(w) - 1) < 1e-9 and w[1] == 0.3
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    v = plugins.embed(docs, plugins.hash_embedder(8), "hash-8")
+    rows = {r["doc_id"]: r["embedding"] for r in v.collect()}
+    assert np.allclose(rows[1], plugins.hash_embedder(8)(["a b"], "document")[0]) and set(rows[2]) == {0.0}
+    assert plugins.one_space(v) is v
+    with pytest.raises(ValueError):
+        plugins.one_space(v.union(v.withColumn("model", F.lit("other"))))
+    assert plugins.extract(docs, lambda t: [(w, "word") for w in t.split()], "doc_id").count() == 2
