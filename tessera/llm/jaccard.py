@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, small_batches
 from tessera.llm.wordhash import run_hashes, word_hashes, words
 
-HEAVY = 1 << 17
+HEAVY = 1 << 19
 #: Shingles counted together before the frequent ones are reported, and the least count reported.
-COUNTED, REPORT = 1 << 22, 4
+COUNTED, REPORT = 1 << 22, 3
 MOST_MATCHES = 4
 SMALL, SIDE = 32, 512
 #: Ids (8 bytes each) that are broadcast to pick the texts to verify; more of them are joined by a shuffle.
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
 
     def report(blocks: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(blocks), return_counts=True)
-        often = counts >= max(REPORT, len(blocks) // 1000)
+        often = counts >= REPORT
         return batch([], [], _signed(tokens[often]), counts[often])
 
     def batch(ids, sets, tokens, counts) -> pa.RecordBatch:
@@ -343,8 +343,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     table = materialize(sketches(docs, n), "jaccard-sketches")
     rows = table.where("key is not null").select("doc_id", "size", "key", "parts")
-    top = table.where("token is not null").groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).collect()
-    tokens, counts = (np.array([r[i] for r in top], dtype=np.int64) for i in (0, 1))
+    top = table.where("token is not null").groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()  # 16 bytes a row
+    tokens, counts = (top.column(i).to_numpy().astype(np.int64) for i in (0, 1))
     order = np.argsort(tokens.view(np.uint64))
     heavy = (tokens.view(np.uint64)[order], counts[order].astype(np.float64))
     classes = rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.any_value("parts").alias("parts")).where("rep is not null")
