@@ -16,8 +16,7 @@ each block is broadcast on its own (its size has a fixed bound) and runs over al
 every task keeps its k best for each query, and only those are shuffled.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no
-part; nor do vectors of another length than the most frequent one; rows with equal ids
-are told apart except that a query never meets rows of its own id; ties go to the smaller
+part; a query meets the vectors of its own length; rows with equal ids are told apart except that a query never meets rows of its own id; ties go to the smaller
 id; queries with no candidate have no rows.
 """
 
@@ -68,19 +67,24 @@ class Resolutions:
         return out
 
 
-def best(query_ids: np.ndarray, queries: Resolutions, chunks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best of the chunks' rows for each query."""
-    n = len(query_ids)
-    scores = [np.zeros(0, dtype=np.int64)] * n
-    ids = [np.zeros(0, dtype=np.int64)] * n
-    floor = np.full(n, -np.inf)
-    half_q = queries.square / 2.0
-    for cand_ids, matrix in chunks:
+class Best:
+    """The k best rows so far for each query; queries and rows have one length."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+        self.query_ids, self.queries, self.k = ids, Resolutions(matrix), k
+        n = len(ids)
+        self.scores = [np.zeros(0, dtype=np.int64)] * n
+        self.ids = [np.zeros(0, dtype=np.int64)] * n
+        self.floor = np.full(n, -np.inf)
+        self.half_q = self.queries.square / 2.0
+
+    def add(self, cand_ids: np.ndarray, matrix: np.ndarray) -> None:
+        query_ids, queries, scores, ids, floor, k = self.query_ids, self.queries, self.scores, self.ids, self.floor, self.k
         c = Resolutions(matrix)
         # coarsest bound for all, then ever finer ones for what is left of each query
-        gap = half_q[:, None] + c.square[None, :] / 2.0
+        gap = self.half_q[:, None] + c.square[None, :] / 2.0
         bound = gap - _half_distance(queries.levels[0], c.levels[0])
-        for i in range(n):
+        for i in range(len(query_ids)):
             left = np.flatnonzero((bound[i] + 1e-3 * (1 + abs(gap[i])) * 1e-3 >= floor[i]) & (cand_ids != query_ids[i]))
             if len(scores[i]) == k:
                 for q_level, c_level in zip(queries.levels[1:], c.levels[1:], strict=True):
@@ -97,9 +101,24 @@ def best(query_ids: np.ndarray, queries: Resolutions, chunks: Iterator[tuple[np.
             scores[i], ids[i] = s[top], d[top]
             if len(top) == k:
                 floor[i] = s[top[-1]]
-    for i in range(n):
-        for d, s in zip(ids[i].tolist(), scores[i].tolist(), strict=True):
-            yield int(query_ids[i]), d, s
+
+    def found(self) -> Iterator[tuple[int, int, int]]:
+        """(query, candidate, score)."""
+        for q, ids, scores in zip(self.query_ids.tolist(), self.ids, self.scores, strict=True):
+            for d, s in zip(ids.tolist(), scores.tolist(), strict=True):
+                yield q, d, s
+
+
+def by_length(ids: np.ndarray, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix) of the rows of each length."""
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    sizes = np.unique(lengths).tolist()
+    if len(sizes) == 1:
+        yield sizes[0], ids, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), sizes[0])
+        return
+    for size in sizes:
+        at = np.flatnonzero(lengths == size)
+        yield size, ids[at], vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
 
 
 def _half_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,30 +130,30 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     v = integers(vectors)
-    sizes = v.groupBy(F.size("q").alias("size")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("vec_id") % every == 0, 1).otherwise(0)).alias("asked"))
-    head = sizes.orderBy(F.desc("n"), "size").first()
+    v = v.where(F.col("vec_id").isNotNull())
+    asked = v.where(F.col("vec_id") % every == 0)
+    sizes = {r["size"]: r["n"] for r in asked.groupBy(F.size("q").alias("size")).agg(F.count("*").alias("n")).collect()}
     result = "query_id bigint, vec_id bigint, score bigint"
-    if head is None or not head["asked"]:
+    if not sizes:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    size, blocks = head["size"], -(-head["asked"] // BLOCK)
-    v = v.where((F.size("q") == size) & F.col("vec_id").isNotNull())
-    asked = v.where(F.col("vec_id") % every == 0)
+    blocks = -(-sum(sizes.values()) // BLOCK)
+    v = v.where(F.size("q").isin(list(sizes)))
     parts = []
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).distinct().collect()
         if not rows:
             continue
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["q"] for r in rows], dtype=np.int64)))
+        shared = spark.sparkContext.broadcast(list(by_length(np.array([r["vec_id"] for r in rows], dtype=np.int64), pa.array([r["q"] for r in rows], pa.list_(pa.int64())))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            def chunks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for b in batches:
-                    for at in range(0, b.num_rows, CHUNK):
-                        part = b.slice(at, CHUNK)
-                        yield part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, size)
-
-            ids, matrix = shared.value
-            found = list(best(ids, Resolutions(matrix), chunks(), k))
+            best = {size: Best(ids, matrix, k) for size, ids, matrix in shared.value}
+            for b in batches:
+                for at in range(0, b.num_rows, CHUNK):
+                    part = b.slice(at, CHUNK)
+                    for size, ids, matrix in by_length(part.column(0).to_numpy(zero_copy_only=False), part.column(1)):
+                        if size in best:
+                            best[size].add(ids, matrix)
+            found = [x for b in best.values() for x in b.found()]
             columns = zip(*found, strict=True) if found else [[]] * 3
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 

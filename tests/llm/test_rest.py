@@ -113,6 +113,21 @@ def test_topk_edge_cases(spark, monkeypatch):
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_topk_of_every_length(spark):
+    vectors = [(i, [float(i % 7), 1.0, float(-i)]) for i in range(250)] + [(1000 + i, [float(i % 5), float(i)]) for i in range(150)] + [(5001, [1.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>"), 4).collect()))
+    want = []
+    for a, x in vectors:
+        if a % 100 == 0:
+            scored = sorted((-sum(1024 * int(p) * 1024 * int(q) for p, q in zip(x, y, strict=True)), b) for b, y in vectors if b != a and len(x) == len(y))[:4]
+            want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(scored)]
+    assert {w[0] for w in want} == {0, 100, 200, 1000, 1100}
+    assert got == want
+    # the most frequent length has no query
+    rare = [(1, [1.0]), (2, [2.0]), (3, [3.0]), (100, [1.0, 2.0]), (5, [1.0, 1.0])]
+    assert [tuple(r) for r in topk.top_k(spark.createDataFrame(rare, "vec_id bigint, embedding array<float>")).collect()] == [(100, 1, 5, 3 * 1024 * 1024)]
+
+
 # ---- URL filter
 
 
