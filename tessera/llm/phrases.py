@@ -7,7 +7,7 @@ words also start earlier (in a smaller doc_id, or before in the same document) i
    of least hash. Equal windows have equal leading phrases, and neighbouring windows mostly share
    theirs, so a document has about one phrase for each seven words. Phrases are counted
    over the corpus; those met once cannot lie in a repeated window.
-2. Location. Each document gets the hashes of its recurring phrases. Documents are streamed in
+2. Location. Each row gets the hashes of its recurring phrases. Documents are streamed in
    shards: the recurring phrases of a shard are compiled into an Aho-Corasick automaton
    over word numbers, and every document of the shard runs through it. A window is a candidate
    if its leading phrase is found at its place.
@@ -20,7 +20,8 @@ documents share costs one row for each task. Only one join has a hot key (phrase
 documents); both of its sides are plain exchanges, which Spark can split.
 
 Defined cases: null, empty and blank texts have no words; rows of one doc_id never count as
-earlier than each other; null doc_id comes after all others; with fewer than ``WINDOW`` words
+earlier than each other; null doc_id comes after all others (such rows are documents of their
+own, and never earlier than each other); with fewer than ``WINDOW`` words
 nothing is removed; texts of any length are held one shard (``SHARD_WORDS`` words, at least
 one document) at a time.
 """
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, small_batches
@@ -87,22 +88,22 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 
 def _phrases(docs: DataFrame) -> DataFrame:
-    """(phrase, doc, twice): the distinct leading phrases of every document, and whether the document leads with one at two places."""
+    """(phrase, row, twice): the distinct leading phrases of every row, and whether the row leads with one at two places."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for row, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = Text(_raw(t))
                 at = text.leaders()
                 if len(at):
                     h, n = np.unique(text.runs[at[np.flatnonzero(np.diff(at, prepend=-1))]], return_counts=True)
-                    out.append((h, np.full(len(h), doc), n > 1))
+                    out.append((h, np.full(len(h), row), n > 1))
             h, d, n = ((np.concatenate([o[i] for o in out]) if out else np.zeros(0, dtype=k)) for i, k in enumerate((np.uint64, np.int64, bool)))
-            yield pa.record_batch([_signed(h), pa.array(d, pa.int64()), pa.array(n, pa.bool_())], names=["phrase", "doc", "twice"])
+            yield pa.record_batch([_signed(h), pa.array(d, pa.int64()), pa.array(n, pa.bool_())], names=["phrase", "row", "twice"])
 
-    return docs.mapInArrow(run, "phrase bigint, doc bigint, twice boolean")
+    return docs.mapInArrow(run, "phrase bigint, row bigint, twice boolean")
 
 
 def locate(texts: list[Text], leaders: list[np.ndarray], recurring: list[np.ndarray]) -> list[np.ndarray]:
@@ -129,7 +130,7 @@ def locate(texts: list[Text], leaders: list[np.ndarray], recurring: list[np.ndar
     return [f[at] if len(at) else np.zeros(0, dtype=bool) for f, at in zip(flags, leaders, strict=True)]
 
 
-DONE = "doc bigint, text string, flags binary, n_words bigint, n_removed bigint, kept_sha256 string"
+DONE = "row bigint, doc bigint, text string, flags binary, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
 def _located(rows: DataFrame) -> DataFrame:
@@ -140,32 +141,32 @@ def _located(rows: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            texts = [s[1] for s in shard]
+            texts = [s[2] for s in shard]
             leaders = [t.leaders() for t in texts]
             out = []
-            for (doc, text, _), flags in zip(shard, locate(texts, leaders, [s[2] for s in shard]), strict=True):
+            for (row, doc, text, _), flags in zip(shard, locate(texts, leaders, [s[3] for s in shard]), strict=True):
                 n = len(text.starts)
                 if flags.any():
-                    out.append((doc, text.raw.decode(), np.packbits(flags).tobytes(), n, None, None))
+                    out.append((row, doc, text.raw.decode(), np.packbits(flags).tobytes(), n, None, None))
                 else:
-                    out.append((doc, None, None, n, 0, hashlib.sha256(text.kept(np.zeros(n, dtype=bool))).hexdigest()))
+                    out.append((row, doc, None, None, n, 0, hashlib.sha256(text.kept(np.zeros(n, dtype=bool))).hexdigest()))
             shard.clear()
             return batch(out)
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in DONE.split(", ")])
 
         for b in batches:
             out = []
-            for doc, t, known in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for row, doc, t, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 text = Text(_raw(t))
                 if not known.is_valid or len(text.starts) < WINDOW:
                     n = len(text.starts)
-                    out.append((doc, None, None, n, 0, hashlib.sha256(text.kept(np.zeros(n, dtype=bool))).hexdigest()))
+                    out.append((row, doc, None, None, n, 0, hashlib.sha256(text.kept(np.zeros(n, dtype=bool))).hexdigest()))
                     continue
-                shard.append((doc, text, np.asarray(known.values).view(np.uint64)))
+                shard.append((row, doc, text, np.asarray(known.values).view(np.uint64)))
                 size += len(text.starts)
                 if size >= SHARD_WORDS:
                     yield flush()
@@ -182,26 +183,26 @@ def _flags(text: Text, packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=n).astype(bool)
 
 
-def _windows(located: DataFrame) -> DataFrame:
-    """(window, doc): the distinct candidate windows of every document."""
+def _windows(located: DataFrame, key: str) -> DataFrame:
+    """(window, key): the distinct candidate windows of every row, with its column ``key`` (row or doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, t, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for own, t, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 text = Text(_raw(t))
                 h = np.unique(text.windows()[_flags(text, packed)])
-                yield pa.record_batch([_signed(h), pa.array(np.full(len(h), doc), pa.int64())], names=["window", "doc"])
+                yield pa.record_batch([_signed(h), pa.array(np.full(len(h), own), pa.int64())], names=["window", key])
 
-    return located.mapInArrow(run, "window bigint, doc bigint")
+    return located.select(key, "text", "flags").mapInArrow(run, f"window bigint, {key} bigint")
 
 
 def _resolved(rows: DataFrame, whole_text: bool) -> DataFrame:
-    """The results of documents with candidates, from (doc, text, flags, owned)."""
+    """The results of documents with candidates, from (row, doc, text, flags, owned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, t, packed, owned in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
+            for row, doc, t, packed, owned in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4), strict=True):
                 text = Text(_raw(t))
                 n = len(text.starts)
                 flags = _flags(text, packed)
@@ -216,37 +217,58 @@ def _resolved(rows: DataFrame, whole_text: bool) -> DataFrame:
                 np.add.at(cover, gone + WINDOW, -1)
                 removed = np.cumsum(cover[:-1]) > 0
                 kept = text.kept(removed)
-                out.append((doc, n, int(removed.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode() if removed.any() else text.raw.decode()) if whole_text else None))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                out.append((row, doc, n, int(removed.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode() if removed.any() else text.raw.decode()) if whole_text else None))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    return rows.mapInArrow(run, "row bigint, doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
-    return rows.mapInArrow(run, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
+def _removed(d: DataFrame, whole_text: bool) -> DataFrame:
+    """row, doc, n_words, n_removed, kept_sha256, kept_text (of rows with candidates, if asked for), from (row, doc, text).
 
-def _removed(docs: DataFrame, whole_text: bool) -> DataFrame:
-    """doc, n_words, n_removed, kept_sha256, kept_text (of documents with candidates, if asked for)."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), "text")
-    phrases = _phrases(d)
+    Rows that share a number must have one doc, or null ids and equal texts. What a row gets from
+    ``known`` only says which of its phrases recur, so even a number met twice by chance changes nothing.
+    """
+    phrases = _phrases(d.select("row", "text"))
     again = phrases.groupBy("phrase").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("phrase")
     again = materialize(again, "phrases-recurring")
-    known = phrases.select("phrase", "doc").join(again, "phrase").groupBy("doc").agg(F.collect_list("phrase").alias("known"))
-    done = materialize(_located(d.join(known, "doc", "left").select("doc", "text", "known")), "phrases-located")
-    located = done.where("flags is not null").select("doc", "text", "flags")
-    owned = _windows(located).groupBy("window").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("window").alias("owned"))
-    resolved = _resolved(located.join(owned, "doc", "left").select("doc", "text", "flags", "owned"), whole_text)
-    rest = done.where("flags is null").select("doc", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
+    known = phrases.select("phrase", "row").join(again, "phrase").groupBy("row").agg(F.collect_list("phrase").alias("known"))
+    done = materialize(_located(d.join(known, "row", "left").select("row", "doc", "text", "known")), "phrases-located")
+    located = done.where("flags is not null").select("row", "doc", "text", "flags")
+    first = _windows(located, "doc").groupBy("window").agg(F.min("doc").alias("doc"))
+    nameless = located.where(F.col("doc") == LAST)
+    none = F.lit(0).cast("bigint").alias("own")
+    if nameless.isEmpty():
+        owned = first.select("doc", none, "window")
+    else:
+        # a row without an id gets its own windows only, not those of all such rows
+        first = materialize(first, "phrases-first")
+        theirs = _windows(nameless, "row").join(first.where(F.col("doc") == LAST), "window")
+        owned = first.where(F.col("doc") != LAST).select("doc", none, "window").unionAll(theirs.select("doc", F.col("row").alias("own"), "window"))
+    owned = owned.groupBy("doc", "own").agg(F.collect_list("window").alias("owned"))
+    own = F.when(F.col("doc") == LAST, F.col("row")).otherwise(F.lit(0).cast("bigint"))
+    resolved = _resolved(located.withColumn("own", own).join(owned, ["doc", "own"], "left").select("row", "doc", "text", "flags", "owned"), whole_text)
+    rest = done.where("flags is null").select("row", "doc", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
     return resolved.unionAll(rest)
 
 
+def _ordered() -> Column:
+    """doc_id as the order of windows; null comes last."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    return _removed(docs, False).select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    row = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("row")
+    return _removed(docs.select(row, _ordered(), "text"), False).select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut out of the texts; texts that lose nothing stay as they are. One row for each doc_id is expected."""
-    kept = _removed(docs, True).where("n_removed > 0").select(F.col("doc").alias("_doc"), "kept_text")
-    key = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST))
-    out = docs.withColumn("_key", key).join(materialize(kept, "phrases-kept"), F.col("_key") == F.col("_doc"), "left")
+    """docs with repeated passages cut out of the texts; texts that lose nothing stay as they are. Every row stays one row."""
+    # row numbers are stable once written
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "phrases-rows")
+    kept = _removed(rows.select(F.col("_row").alias("row"), _ordered(), "text"), True).where("n_removed > 0").select(F.col("row").alias("_row"), "kept_text")
+    out = rows.join(materialize(kept, "phrases-kept"), "_row", "left")
     return out.withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns)

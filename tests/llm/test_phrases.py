@@ -69,5 +69,16 @@ def test_texts_without_repeats_stay(spark):
     assert got == {1: rows[0][1], 2: None, 3: rows[2][1], 4: "x"}
 
 
+def test_rows_of_null_or_repeated_ids_keep_their_own_texts(spark):
+    passage, other = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(30))
+    rows = [(1, passage), (None, f"first {passage}"), (None, f"second {passage} end"), (None, "third"), (None, None), (None, f"fourth {other}"), (None, f"fifth {other}")]
+    rows += [(7, f"a {passage}"), (7, f"b {passage}"), (7, f"b {passage}"), (7, "c")]
+    got = [(r["doc_id"], r["text"]) for r in phrases.without_repeats(table(spark, rows)).collect()]
+    want = [(1, passage), (None, "first"), (None, "second end"), (None, "third"), (None, None), (None, f"fourth {other}"), (None, f"fifth {other}"), (7, "a"), (7, "b"), (7, "b"), (7, "c")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    removed = sorted((i, n) for i, _, n, _ in run(table(spark, rows)))
+    assert removed == [(-1, 0)] * 4 + [(-1, 30)] * 2 + [(1, 0), (7, 0)] + [(7, 30)] * 3
+
+
 def test_empty_table(spark):
     assert phrases.remove_repeats(table(spark, [])).count() == 0
