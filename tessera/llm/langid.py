@@ -9,9 +9,10 @@ Words (runs of letters, lower case, with a blank on both sides) are parsed one b
 their phrase counts are looked up when a word returns; a text's count is the sum.
 
 Training: a bounded sample, ``SAMPLE_ROWS`` labelled rows of each language (those of
-least hashed id), at most ``SAMPLE_CHARS`` letters of each language in all; the number of
-languages is bounded by ``MOST_LANGUAGES`` (the most frequent labels). The sampled text is
-broadcast, so its size has a fixed bound. Prediction covers all rows and whole texts.
+least hashed id, of those with a letter), at most ``SAMPLE_CHARS`` letters of each language
+in all. Every label is learned. Automata are large, so ``PASS_LANGUAGES`` languages at a time are
+broadcast and compared in one pass over the texts; each further pass carries on the fewest
+and second fewest phrases so far. Prediction covers all rows and whole texts.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; so is every
 text if nothing was learned. Ties go to the language first in order. The score is
@@ -29,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import resident, small_batches
+from tessera.llm.common import materialize, resident, small_batches
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 60_000
-MOST_LANGUAGES = 64
+#: Languages whose automata a worker holds at once.
+PASS_LANGUAGES = 64
 #: Entries of a worker's table of chunks and their counts; it starts anew when full.
 CHUNK_CACHE = 200_000
 
@@ -98,9 +100,10 @@ class Model:
         found = [f" {w} " for w in letters(chunk)]
         return [sum([a.phrases(w) for w in found]) for a in self.automata] + [len(found)]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def total(self, text: str | None) -> np.ndarray | None:
+        """Phrases of each language, then the number of words; None if the text has no word."""
         if not text or not self.langs:
-            return "und", 0.0
+            return None
         chunks = text.lower().split()
         total = np.zeros(self.counts.shape[1], dtype=np.int64)
         for at in range(0, len(chunks), 1 << 14):
@@ -109,12 +112,25 @@ class Model:
                 self.index.clear()
             index = self.index
             total += self.counts[[index[c] for c in part]].sum(axis=0, dtype=np.int64)
-        if not total[-1]:
-            return "und", 0.0
-        best = int(np.argmin(total[:-1]))
-        if len(self.langs) == 1:
-            return self.langs[0], 1.0
-        return self.langs[best], float(1 - total[best] / np.partition(total[:-1], 1)[1])
+        return total if total[-1] else None
+
+    def compare(self, text: str | None, best: tuple[str, int, int] | None = None) -> tuple[str, int, int] | None:
+        """The language of fewest phrases, its and the second fewest count (-1 if none), given what earlier languages had."""
+        total = self.total(text)
+        if total is None:
+            return best
+        counts, names = total[:-1].tolist(), self.langs
+        if best is not None:
+            counts, names = [n for n in best[1:] if n >= 0] + counts, [best[0], ""][: 1 + (best[2] >= 0)] + names
+        at = counts.index(min(counts))
+        return names[at], counts[at], min(counts[:at] + counts[at + 1 :], default=-1)
+
+
+def verdict(best: tuple[str, int, int] | None) -> tuple[str, float]:
+    """lang_pred and score."""
+    if best is None:
+        return "und", 0.0
+    return best[0], 1.0 if best[2] < 0 else 1 - best[1] / best[2]
 
 
 class _Chunks(dict):
@@ -138,17 +154,15 @@ def held_out(col: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame) -> dict[str, str]:
     """Language -> sampled text, from labelled rows that are not held out."""
-    known = docs.where(F.col("lang").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return {}
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     # thin out by hashed id first, so that a window never sorts a large share of the rows
-    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * SAMPLE_ROWS / r["count"])) for r in counts], "lang string, share double"))
+    # (one row a label: broadcast, so that texts are not dealt out by label)
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * SAMPLE_ROWS / F.count("*")).alias("share"))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     w = Window.partitionBy("lang").orderBy("rank", "text")
     rows = (
-        known.where("text is not null").select("lang", "text", rank.alias("rank"))
-        .join(share, "lang").where(F.col("rank") < F.col("share") * (1 << 40))
+        known.select("lang", "text", rank.alias("rank"))
+        .join(F.broadcast(share), "lang").where(F.col("rank") < F.col("share") * (1 << 40))
         .withColumn("n", F.row_number().over(w)).where(F.col("n") <= SAMPLE_ROWS)
         .select("lang", "n", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     )
@@ -169,20 +183,40 @@ def _model(sample: dict[str, str]) -> Model:
 
 
 def identify(docs: DataFrame, sample: dict[str, str], keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: id) with lang_pred and score, in one pass without a shuffle."""
+    """The columns ``keep`` (default: id) with lang_pred and score, without a shuffle."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(sample)
     keep = ["doc_id"] if keep is None else keep
+    langs = sorted(sample)
+    groups = [langs[at : at + PASS_LANGUAGES] for at in range(0, len(langs), PASS_LANGUAGES)] or [[]]
     rows = docs.select(*keep, docs["text"].alias("_text"))
+    for n, group in enumerate(groups):
+        rows = _pass(rows, {x: sample[x] for x in group}, n > 0, n == len(groups) - 1)
+        if n < len(groups) - 1:
+            rows = materialize(rows, "langid-pass")  # else the passes' workers would hold all automata side by side
+    return rows
+
+
+def _pass(rows: DataFrame, sample: dict[str, str], later: bool, last: bool) -> DataFrame:
+    """One group of languages; _text is the last column, or before _best (what earlier passes found)."""
+    shared = rows.sparkSession.sparkContext.broadcast(sample)
+    kind = pa.struct([("lang", pa.string()), ("least", pa.int64()), ("second", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for b in batches:
-            found = [model.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.record_batch([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["lang_pred string", "score double"])
-    return rows.mapInArrow(run, schema)
+            at = b.num_columns - 1 - later
+            before = [x and (x["lang"], x["least"], x["second"]) for x in b.column(at + 1).to_pylist()] if later else [None] * b.num_rows
+            found = [model.compare(t.as_py(), x) for t, x in zip(b.column(at), before, strict=True)]
+            if last:
+                given = [verdict(x) for x in found]
+                yield pa.record_batch([*b.columns[:at], pa.array([x for x, _ in given], pa.string()), pa.array([y for _, y in given], pa.float64())], names=[*b.schema.names[:at], "lang_pred", "score"])
+            else:
+                best = pa.array([x and {"lang": x[0], "least": x[1], "second": x[2]} for x in found], kind)
+                yield pa.record_batch([*b.columns[: at + 1], best], names=[*b.schema.names[: at + 1], "_best"])
+
+    own = rows.schema[: len(rows.columns) - 1 - later]
+    out = ["lang_pred string", "score double"] if last else ["_text string", "_best struct<lang:string,least:bigint,second:bigint>"]
+    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + out))
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -47,6 +47,24 @@ def test_languages_held_out_accuracy_and_defined_cases(spark):
     assert {r["lang_pred"] for r in langid.languages(table(spark).drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    # 70 languages, each of three letters of its own; the label of most rows has texts in few of them
+    word = lambda k: "".join(chr(0x4E00 + 3 * k + i) for i in range(3))
+    rows = [(100 * k + i, f"{word(k)} {word(k)}", f"l{k:02d}") for k in range(70) for i in range(8 if k else 12)]
+    rows += [(100_000 + i, None if i % 3000 else f"{word(99)} {word(99)}", "zz") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for size in (64, 7):
+        monkeypatch.setattr(langid, "PASS_LANGUAGES", size, raising=False)
+        got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(docs).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i] == ("und" if t is None else x) for i, t, x in rows)
+
+
+def test_pipeline_keeps_texts_without_any_label(spark):
+    docs = table(spark).selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [0, 1, 5, 5, 6, 7]
+
+
 # ---- fingerprints
 
 
