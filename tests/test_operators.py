@@ -142,3 +142,22 @@ def test_sizing_and_plugins(spark):
     with pytest.raises(ValueError):
         plugins.one_space(v.union(v.withColumn("model", F.lit("other"))))
     assert plugins.extract(docs, lambda t: [(w, "word") for w in t.split()], "doc_id").count() == 2
+
+
+def test_every_nearest_neighbour_query_is_answered(spark, tmp_path, monkeypatch):
+    # 70 queries, more than the 64 that were once answered, in several blocks
+    import random
+
+    import duckdb
+
+    from tessera.plans import catalog
+    from tests.oracle import difference
+
+    monkeypatch.setattr(search, "BLOCK", 30, raising=False)
+    rng = random.Random(5)
+    rows = [(i, i % 5, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(4200)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("sl5_knn", "sl6_older_knn", "ag48_metrics"):
+        assert difference(spark, con, str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name]) is None, name
