@@ -36,10 +36,14 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import resident, small_batches
 
-#: Entries kept in a worker's caches and in its pair table; each starts anew when full.
-CHUNK_CACHE = 400_000
-WORD_CACHE = 250_000
-PAIR_CACHE = 2_000_000
+#: Entries kept in a worker's table of words and in its pair table; each starts anew when full.
+WORD_CACHE = 400_000
+PAIR_CACHE = 1_000_000
+#: Longer words are not kept.
+KEPT_CHARS = 64
+#: Letters before this one are letters by Python and by the word pattern alike: a run of them is one word.
+LATIN_END = "\u0250"
+MARKS = frozenset(".,;:!?)")
 #: White space for str.split(), but not by the Unicode property that the word pattern uses.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Ids that are decoded at once.
@@ -74,6 +78,45 @@ class OffsetTable:
             yield self.buffer[np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)]
 
 
+class _Pairs(dict):
+    """left << 20 | right -> whether right may follow left, filled when first asked for."""
+
+    def __init__(self, bpe: WordBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= PAIR_CACHE:
+            self.clear()
+        good = self[key] = self.bpe._compatible(key >> 20, key & 0xFFFFF)
+        return good
+
+
+class _Words(dict):
+    """Lower-case text without white space -> its ids as bytes, filled when first asked for.
+
+    Only words are kept: a word with punctuation after it is put together from the two.
+    """
+
+    def __init__(self, bpe: WordBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not (chunk.isalpha() and (chunk.isascii() or max(chunk) < LATIN_END)):
+            stem, last = chunk[:-1], chunk[-1]
+            if last in MARKS and stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
+                return self[stem] + self[last]
+            if len(found := self.bpe.words(chunk)) != 1 or found[0] != chunk:
+                return b"".join([self[w] for w in found])
+        ids = self.bpe._word(chunk)
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= WORD_CACHE:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file (its bytes are the argument)."""
 
@@ -82,7 +125,8 @@ class WordBpe:
         model, norm, pre = spec["model"], spec["normalizer"], spec["pre_tokenizer"]
         kinds = [x["type"] for x in norm["normalizers"]]
         split = pre["pretokenizers"][0]
-        if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"]:
+        blanks = kinds == ["NFC", "Replace", "Lowercase"] and (norm["normalizers"][1]["pattern"], norm["normalizers"][1]["content"]) == ({"Regex": r"\s+"}, " ")
+        if model["type"] != "BPE" or not blanks or split["type"] != "Split" or not split["invert"]:
             raise ValueError("unsupported vocabulary file")
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
@@ -123,10 +167,9 @@ class WordBpe:
                 self.finder.add_word(s, r)
         self.finder.make_automaton()
         #: The longest token that is a proper prefix of a token; -1 if none.
-        self.shorter = [self._longest(s, 0, len(s) - 1) for s in rank]
-        self.pairs: dict[int, bool] = {}
-        self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.shorter = [self._longest_prefix(s[:-1]) for s in rank]
+        self.pairs = _Pairs(self)
+        self.cache = _Words(self)
 
         top = max([*vocab.values(), *special.values()]) + 1
         names = [b""] * top
@@ -159,91 +202,59 @@ class WordBpe:
             else:
                 limit, b = b + 1, parts[b][0]
 
-    def _longest(self, s: str, at: int, most: int) -> int:
-        """The longest token of at most ``most`` symbols that s has at a position; -1 if none."""
-        finder = self.finder
-        for size in range(min(most, finder.longest_prefix(s[at : at + most])), 0, -1):
-            if (token := finder.get(s[at : at + size], -1)) >= 0:
+    def _longest_prefix(self, s: str) -> int:
+        for size in range(self.finder.longest_prefix(s), 0, -1):
+            if (token := self.finder.get(s[:size], -1)) >= 0:
                 return token
         return -1
 
-    def _fits(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        good = self.pairs.get(key)
-        if good is None:
-            if len(self.pairs) >= PAIR_CACHE:
-                self.pairs.clear()
-            good = self.pairs[key] = self._compatible(a, b)
-        return good
-
     def _word(self, word: str) -> bytes:
         raw = word.encode()
         s = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
-        out = [token for _, token in self.finder.iter_long(s)]
-        fits, sizes, public = self._fits, self.sizes, self.public
-        for k in range(1, len(out)):
-            if not fits(out[k - 1], out[k]):
-                break
-        else:
-            return b"".join([public[x] for x in out])
-
-        n, shorter = len(s), self.shorter
-        token = out[k]
-        del out[k:]
-        pos = sum([sizes[x] for x in out])
+        n, sizes = len(s), self.sizes
+        if n == 1:
+            return self.public[ord(s)]
+        longest = [-1] * n
+        for end, token in self.finder.iter(s):  # by rising end: what stays is the longest
+            longest[end + 1 - sizes[token]] = token
+        pairs, shorter, out = self.pairs, self.shorter, []
         dead = bytearray(n + 1)
+        pos, last = 0, -1
+        token = longest[0]
         while True:
-            while token >= 0 and (dead[pos + sizes[token]] or (out and not fits(out[-1], token))):
-                token = shorter[token]
+            if last < 0:
+                while token >= 0 and dead[pos + sizes[token]]:
+                    token = shorter[token]
+            else:
+                left = last << 20
+                while token >= 0 and (dead[pos + sizes[token]] or not pairs[left | token]):
+                    token = shorter[token]
             if token >= 0:
                 out.append(token)
                 pos += sizes[token]
                 if pos == n:
+                    public = self.public
                     return b"".join([public[x] for x in out])
-                token = self._longest(s, pos, n - pos)
+                last, token = token, longest[pos]
             else:
                 dead[pos] = 1
                 token = out.pop()
                 pos -= sizes[token]
-                token = shorter[token]
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of lower-case text without white space."""
-        cache, out = self.cache, []
-        for word in self.words(chunk):
-            ids = cache.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(word) <= 64:
-                    if len(cache) >= WORD_CACHE:
-                        cache.clear()
-                    cache[word] = ids
-            out.append(ids)
-        return b"".join(out)
+                last, token = out[-1] if out else -1, shorter[token]
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         if any([x in text for x in SEPARATORS]):
-            return self._chunk(text)  # str.split() would cut at these, the pattern does not
-        chunks, out = self.chunks, []
-        for chunk in text.split():
-            ids = chunks.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(chunks) >= CHUNK_CACHE:
-                        chunks.clear()
-                    chunks[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+            return b"".join(map(self.cache.__getitem__, self.words(text)))  # str.split() would cut at these, the pattern does not
+        return b"".join(map(self.cache.__getitem__, text.split()))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids (uint32) of a text."""
         if not text:
             return np.zeros(0, dtype=np.uint32)
-        if self.cut is None or "<|" not in text:
+        if not any([x in text for x in self.special]):
             raw = self._plain(text)
         else:
             raw = b"".join(np.uint32(self.special[x]).tobytes() if i % 2 else self._plain(x) for i, x in enumerate(self.cut(text)))

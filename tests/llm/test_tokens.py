@@ -12,7 +12,7 @@ from tessera.llm import bpe, packing
 from tests.llm.helpers import AWKWARD, documents, table
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-LETTERS = "aàß Σσςİé́‍ẞ\x1c\x85\u3000'sTtll1²½Ⅷ٣!?<|endoftext|>\n\t日本語한글😀_-"
+LETTERS = "aàß Σσςİé́‍ẞ\x1c\x85\u3000'sTtll1²½Ⅷ٣!?.,., <|endoftext|>\n\t日本語한글😀_-"
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def test_fuzz_against_the_library(theirs, ours, monkeypatch):
     texts += ["<|endoftext|>a<|startoftext|>", "".join(rng.choice("thenigao") for _ in range(3000)), "tt" * 500, ""]
     monkeypatch.setattr(bpe, "BLOCK", 7)
     monkeypatch.setattr(bpe, "WORD_CACHE", 50)
-    monkeypatch.setattr(bpe, "CHUNK_CACHE", 50)
+    monkeypatch.setattr(bpe, "PAIR_CACHE", 50)
     for text, want in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
         ids = ours.encode(text)
         assert ids.tolist() == want.ids, text
