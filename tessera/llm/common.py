@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -10,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python. Documents can be very long, so a
-#: batch is kept small enough for a few hundred long texts to fit in a worker.
-ARROW_ROWS = 256
+#: Rows and bytes in one Arrow batch handed to Python. Documents can be very long, so a
+#: batch ends with the row that exceeds either.
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the Python operators by rows."""
+    """Bound the Arrow batches of the Python operators by rows and bytes.
+
+    The session keeps this setting: Spark reads it when the query runs, not when it is made.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,13 +55,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again, and let Spark drop the shuffles behind them."""
+    sc = SparkSession.active().sparkContext
+    jvm, hadoop = sc._jvm, sc._jsc.hadoopConfiguration()
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(hadoop).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # Spark's cleaner only sees that a shuffle is unreachable when the JVM collects
 
 
 def null_safe_text(df: DataFrame, col: str = "text") -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col), F.lit("")))
 
 
+def release() -> None:
+    """Give memory that Python no longer uses back to the system."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _resident: dict[tuple, object] = {}
 
 
@@ -65,7 +91,8 @@ def resident(key: tuple, build: Callable[[], object]):
     Python workers outlive their tasks; only the one large model in use stays in memory.
     """
     if key not in _resident:
-        _resident.clear()
-        gc.collect()
+        if _resident:
+            _resident.clear()
+            release()
         _resident[key] = build()
     return _resident[key]

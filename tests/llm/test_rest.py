@@ -25,11 +25,59 @@ def naive_phrases(corpus, text):
     return n
 
 
+def naive_languages(sample, text):
+    """(entropy, language) in order of preference; empty if there is no letter."""
+    raw = langid.normal(text)
+    if not raw:
+        return []
+    blocks = [raw[at : at + langid.BLOCK] for at in range(0, len(raw), langid.BLOCK)]
+    return sorted((math.log2(len(s)) * sum(naive_phrases(s, b) for b in blocks) / len(raw), x) for x, s in sample.items())
+
+
 def test_suffix_automaton_against_search():
-    corpus = " the theatre then athens banana bandana "
-    a = langid.SuffixAutomaton(corpus)
-    for text in [" then ", " banana theatre ", "xyz", " x the", "anana", ""]:
-        assert a.phrases(text) == naive_phrases(corpus, text), text
+    corpus = b" the theatre then athens banana bandana "
+    model = langid.Model({"x": corpus, "y": b" zz "})
+    texts = [b" then ", b" banana theatre ", b"xyz", b" x the", b"anana", b"", b" zzz th"]
+    for text, (x, y) in zip(texts, model.phrases(texts).tolist(), strict=True):
+        assert (x, y) == (naive_phrases(corpus, text), naive_phrases(b" zz ", text)), text
+
+
+def test_blocks_side_by_side(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    monkeypatch.setattr(langid, "LANES", 3)
+    sample = {"x": b" the theatre then ", "y": b" athens banana "}
+    texts = ["then banana! the theatre", "ÄÖ the", "", None, "a", "12", "athens athens athens athens"]
+    for text, found in zip(texts, langid.Model(sample).compare(texts), strict=True):
+        want = naive_languages(sample, text)
+        assert found == ((want[0][1], want[0][0], want[1][0]) if want else None), text
+
+
+def test_languages_against_search(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 3000)
+    docs = documents(spark).orderBy("doc_id").limit(60).select("doc_id", "text", "lang")
+    docs = docs.unionByName(table(spark).select("doc_id", "text", "lang"))
+    sample = langid.learn(docs)
+    assert len(sample) >= 3 and all(len(x) <= 3000 for x in sample.values())
+    for size in (6 << 16, 5000):  # one pass, or one for each language
+        monkeypatch.setattr(langid, "PASS_BYTES", size)
+        rows = langid.identify(docs, sample).select("row.*", "lang_pred", "score").collect()
+        assert len(rows) == docs.count()
+        for r in rows:
+            want = naive_languages(sample, r["text"])
+            assert r["lang_pred"] == (want[0][1] if want else "und"), r["text"]
+            assert r["score"] == pytest.approx(1 - want[0][0] / want[1][0] if want else 0.0)
+
+
+def test_languages_of_ties_long_texts_and_clashing_names(spark):
+    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 4 != 2][:40]  # all are learned from, half of them for each language
+    rows = [(i, "same words here", "ba"[k % 2]) for k, i in enumerate(ids)] + [(100, "same " * 400_000 + "!", None), (101, "日本", None), (102, None, "a")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2.0, "y") for r in rows], "doc_id bigint, text string, lang string, row int, lang_pred string, score double, best string")
+    got = {r["doc_id"]: r for r in langid.languages(docs).collect()}
+    assert {got[i]["lang_pred"] for i in ids} == {"a"} and got[100]["lang_pred"] == "a" and got[100]["score"] == 0.0
+    assert got[101]["lang_pred"] == "a" and got[102]["lang_pred"] == "und"
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [*ids, 100, 101]
+    assert tuple(kept.where(f"doc_id = {ids[1]}").first()) == (ids[1], "same words here", "a", 1, "x", 2.0, "y")
 
 
 def test_languages_held_out_accuracy_and_defined_cases(spark):
@@ -53,8 +101,8 @@ def test_every_label_is_learned(spark, monkeypatch):
     rows = [(100 * k + i, f"{word(k)} {word(k)}", f"l{k:02d}") for k in range(70) for i in range(8 if k else 12)]
     rows += [(100_000 + i, None if i % 3000 else f"{word(99)} {word(99)}", "zz") for i in range(12_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    for size in (64, 7):
-        monkeypatch.setattr(langid, "PASS_LANGUAGES", size, raising=False)
+    for size in (6 << 16, 200):
+        monkeypatch.setattr(langid, "PASS_BYTES", size)
         got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(docs).collect()}
         assert len(got) == len(rows)
         assert all(got[i] == ("und" if t is None else x) for i, t, x in rows)
