@@ -5,25 +5,28 @@ words also start earlier (in a smaller doc_id, or before in the same document) i
 
 1. Candidate phrases. Every window has a leading phrase: of its runs of ``PHRASE`` words the one
    of least hash. Equal windows have equal leading phrases, and neighbouring windows mostly share
-   theirs, so a document has about one phrase for each seven words. Phrases are counted
-   over the corpus; those met once cannot lie in a repeated window.
-2. Location. Each row gets the hashes of its recurring phrases. Documents are streamed in
-   shards: the recurring phrases of a shard are compiled into an Aho-Corasick automaton
-   over word numbers, and every document of the shard runs through it. A window is a candidate
-   if its leading phrase is found at its place.
-3. Confirmation. Candidate windows are hashed as a whole (64 bits over all words); for each hash
-   the smallest doc_id is kept. A document owns the windows of which it is the smallest;
-   a candidate window it does not own, or has had before, is removed.
+   theirs, so a document has about one phrase for each seven words. Hashes of phrases are counted
+   over the corpus; a phrase whose hash is met once cannot lie in a repeated window.
+2. Confirmation. Rows write out the words of their candidate phrases, and those whose words
+   are met twice are the recurring phrases.
+3. Location. Each row gets the recurring phrases of its hashes, as words. Documents are streamed in
+   shards: the phrases of a shard are compiled into an Aho-Corasick automaton over word numbers, and
+   every document of the shard runs through it. A window is a candidate if the automaton finds its leading
+   phrase at its place; hashes of phrases play no part in that.
+4. Windows. Candidate windows are hashed as a whole (128 bits over all words); for each hash
+   the smallest doc_id is kept. A document owns the windows of which it is the smallest (it is told by
+   64 bits which of its own windows these are); a candidate window it does not own, or has had before, is removed.
 
 Phrases and windows are aggregated before every shuffle, so a passage that a third of all
-documents share costs one row for each task. Only one join has a hot key (phrase to
-documents); both of its sides are plain exchanges, which Spark can split.
+documents share costs one row for each task. Joins with a hot key (phrase to
+documents) are plain exchanges, which Spark can split. What one step writes for the next is deleted
+when it has been used.
 
 Defined cases: null, empty and blank texts have no words; rows of one doc_id never count as
 earlier than each other; null doc_id comes after all others (such rows are documents of their
 own, and never earlier than each other); with fewer than ``WINDOW`` words
 nothing is removed; texts of any length are held one shard (``SHARD_WORDS`` words, at least
-one document) at a time.
+one document) at a time; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,22 +40,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches
-from tessera.llm.wordhash import run_hashes, word_hashes, words
+from tessera.llm.common import discard, materialize, small_batches
+from tessera.llm.wordhash import mix, run_hashes, word_hashes, words
 
 WINDOW, PHRASE = 20, 8
 SHARD_WORDS = 400_000
+#: Values of one character in the automata.
+BASE = 64
 LAST = (1 << 63) - 1
 
 
 class Text:
     """A document's words, their runs and each window's leading phrase."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, bits: int = 64):
         self.raw = raw
         self.starts, self.ends = words(raw)
         self.hashes = word_hashes(raw, self.starts, self.ends)
-        self.runs = run_hashes(self.hashes, PHRASE)
+        #: Hashes of phrases; only their first ``bits`` are used.
+        self.runs = run_hashes(self.hashes, PHRASE) >> np.uint64(64 - bits)
 
     def leaders(self) -> np.ndarray:
         """For each window the place of its leading phrase (the first of least hash)."""
@@ -69,14 +75,19 @@ class Text:
             size += step
         return at
 
-    def windows(self) -> np.ndarray:
-        return run_hashes(self.hashes, WINDOW)
+    def places(self) -> np.ndarray:
+        """The places of leading phrases, each once."""
+        at = self.leaders()
+        return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
-    def kept(self, removed: np.ndarray) -> bytes:
-        if not removed.any():
-            return b" ".join([self.raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)])
-        keep = np.flatnonzero(~removed)
-        return b" ".join([self.raw[a:b] for a, b in zip(self.starts[keep].tolist(), self.ends[keep].tolist(), strict=True)])
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the windows at some places."""
+        return run_hashes(self.hashes, WINDOW)[at], run_hashes(second(self.hashes), WINDOW)[at]
+
+
+def second(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the same words that do not follow the first ones' sums."""
+    return mix(hashes ^ np.uint64(0xA0761D6478BD642F))
 
 
 def _raw(text) -> bytes:
@@ -87,7 +98,7 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64), pa.int64())
 
 
-def _phrases(docs: DataFrame) -> DataFrame:
+def _phrases(docs: DataFrame, bits: int) -> DataFrame:
     """(phrase, row, twice): the distinct leading phrases of every row, and whether the row leads with one at two places."""
     small_batches(docs.sparkSession)
 
@@ -95,10 +106,10 @@ def _phrases(docs: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for row, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = Text(_raw(t))
-                at = text.leaders()
+                text = Text(_raw(t), bits)
+                at = text.places()
                 if len(at):
-                    h, n = np.unique(text.runs[at[np.flatnonzero(np.diff(at, prepend=-1))]], return_counts=True)
+                    h, n = np.unique(text.runs[at], return_counts=True)
                     out.append((h, np.full(len(h), row), n > 1))
             h, d, n = ((np.concatenate([o[i] for o in out]) if out else np.zeros(0, dtype=k)) for i, k in enumerate((np.uint64, np.int64, bool)))
             yield pa.record_batch([_signed(h), pa.array(d, pa.int64()), pa.array(n, pa.bool_())], names=["phrase", "row", "twice"])
@@ -106,68 +117,99 @@ def _phrases(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "phrase bigint, row bigint, twice boolean")
 
 
-def locate(texts: list[Text], leaders: list[np.ndarray], recurring: list[np.ndarray]) -> list[np.ndarray]:
-    """For each text of a shard a flag for each window: its leading phrase recurs and was found at its place."""
+def _spelled(rows: DataFrame, bits: int) -> DataFrame:
+    """(phrase, words, twice): the distinct words of every row's candidate phrases, from (text, known hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, bytes, bool]] = []
+            for t, known in zip(b.column(0), b.column(1), strict=True):
+                text = Text(_raw(t), bits)
+                at = text.places()
+                at = at[np.isin(text.runs[at], np.asarray(known.values).view(np.uint64))]
+                split = text.raw.split()
+                seen: dict[tuple[int, bytes], int] = {}
+                for h, p in zip(text.runs[at].view(np.int64).tolist(), at.tolist(), strict=True):
+                    key = (h, b" ".join(split[p : p + PHRASE]))
+                    seen[key] = seen.get(key, 0) + 1
+                out += [(*key, n > 1) for key, n in seen.items()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["phrase", "words", "twice"])
+
+    return rows.mapInArrow(run, "phrase bigint, words binary, twice boolean")
+
+
+def locate(texts: list[Text], phrases: set[bytes]) -> list[np.ndarray]:
+    """For each text of a shard the places where the automaton of the phrases finds one.
+
+    Word numbers are spelled with characters of ``BASE`` values, another range of characters for each digit: so a
+    node has few children (pyahocorasick searches them one by one), and no match can begin inside a number.
+    """
     numbers: dict[bytes, int] = {}
-    finder = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    coded, seen = [], set()
-    for text, at, known in zip(texts, leaders, recurring, strict=True):
-        row = tuple([numbers.setdefault(text.raw[a:b], len(numbers)) for a, b in zip(text.starts.tolist(), text.ends.tolist(), strict=True)])
-        coded.append(row)
-        places = at[np.flatnonzero(np.diff(at, prepend=-1))]
-        h = text.runs[places]
-        for place in places[np.isin(h, known)].tolist():
-            phrase = row[place : place + PHRASE]
-            if phrase not in seen:
-                seen.add(phrase)
-                finder.add_word(phrase)
-    flags = [np.zeros(len(t.runs), dtype=bool) for t in texts]
-    if seen:
-        finder.make_automaton()
-        for row, flag in zip(coded, flags, strict=True):
-            if len(row) >= WINDOW:
-                flag[[end - PHRASE + 1 for end, _ in finder.iter(row)]] = True
-    return [f[at] if len(at) else np.zeros(0, dtype=bool) for f, at in zip(flags, leaders, strict=True)]
-
-
-DONE = "row bigint, doc bigint, text string, flags binary, n_words bigint, n_removed bigint, kept_sha256 string"
-
-
-def _located(rows: DataFrame) -> DataFrame:
-    """Documents with candidates: text and packed window flags. Others: their result."""
+    keys = [[numbers.setdefault(w, len(numbers)) for w in p.split()] for p in phrases]
+    width = 1
+    while BASE**width < len(numbers):
+        width += 1
+    names = ["".join([chr(1 + d * BASE + n // BASE**d % BASE) for d in range(width)]) for n in range(len(numbers))]
+    finder = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for key in keys:
+        finder.add_word("".join([names[n] for n in key]))
+    finder.make_automaton()
+    name, unknown, out = dict(zip(numbers, names, strict=True)).get, "\0" * width, []
+    for text in texts:
+        found = [end for end, _ in finder.iter("".join([name(w, unknown) for w in text.raw.split()]))]
+        out.append((np.array(found, dtype=np.int64) + 1) // width - PHRASE)
+    return out
+
+
+LOCATED = "row bigint, doc bigint, text string, flags binary, n_words bigint, n_removed bigint, kept_sha256 string"
+
+
+def _located(rows: DataFrame, bits: int) -> DataFrame:
+    """Documents with candidates: text and packed window flags. Others: their result.
+
+    From (row, doc, text, spelled: recurring phrases of the row's hashes).
+    """
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+    names = [x.split()[0] for x in LOCATED.split(", ")]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def untouched(row: int, doc: int, raw: bytes) -> tuple:
+        split = raw.split()
+        return row, doc, None, None, len(split), 0, hashlib.sha256(b" ".join(split)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple] = []
+        shard: list[tuple[int, int, Text]] = []
+        phrases: set[bytes] = set()
         size = 0
 
         def flush() -> pa.RecordBatch:
-            texts = [s[2] for s in shard]
-            leaders = [t.leaders() for t in texts]
             out = []
-            for (row, doc, text, _), flags in zip(shard, locate(texts, leaders, [s[3] for s in shard]), strict=True):
-                n = len(text.starts)
+            for (row, doc, text), places in zip(shard, locate([s[2] for s in shard], phrases), strict=True):
+                found = np.zeros(len(text.runs), dtype=bool)
+                found[places] = True
+                flags = found[text.leaders()]
                 if flags.any():
-                    out.append((row, doc, text.raw.decode(), np.packbits(flags).tobytes(), n, None, None))
+                    out.append((row, doc, text.raw.decode(), np.packbits(flags).tobytes(), len(text.starts), None, None))
                 else:
-                    out.append((row, doc, None, None, n, 0, hashlib.sha256(text.kept(np.zeros(n, dtype=bool))).hexdigest()))
+                    out.append(untouched(row, doc, text.raw))
             shard.clear()
+            phrases.clear()
             return batch(out)
 
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in DONE.split(", ")])
-
         for b in batches:
             out = []
-            for row, doc, t, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                text = Text(_raw(t))
-                if not known.is_valid or len(text.starts) < WINDOW:
-                    n = len(text.starts)
-                    out.append((row, doc, None, None, n, 0, hashlib.sha256(text.kept(np.zeros(n, dtype=bool))).hexdigest()))
+            for row, doc, t, spelled in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                raw = _raw(t)
+                if not spelled.is_valid:
+                    out.append(untouched(row, doc, raw))
                     continue
-                shard.append((row, doc, text, np.asarray(known.values).view(np.uint64)))
-                size += len(text.starts)
+                shard.append((row, doc, Text(raw, bits)))
+                phrases.update(spelled.values.to_pylist())
+                size += len(shard[-1][2].starts)
                 if size >= SHARD_WORDS:
                     yield flush()
                     size = 0
@@ -175,49 +217,51 @@ def _located(rows: DataFrame) -> DataFrame:
         if shard:
             yield flush()
 
-    return rows.mapInArrow(run, DONE)
+    return rows.mapInArrow(run, LOCATED)
 
 
-def _flags(text: Text, packed: bytes) -> np.ndarray:
-    n = max(0, len(text.starts) - WINDOW + 1)
-    return np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=n).astype(bool)
+def _flagged(packed: bytes, n: int) -> np.ndarray:
+    """The places of a text's candidate windows; n: its words."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=n - WINDOW + 1))
 
 
 def _windows(located: DataFrame, key: str) -> DataFrame:
-    """(window, key): the distinct candidate windows of every row, with its column ``key`` (row or doc)."""
+    """(a, b, key): the distinct candidate windows of every row, with its column ``key`` (row or doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for own, t, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for own, t, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = Text(_raw(t))
-                h = np.unique(text.windows()[_flags(text, packed)])
-                yield pa.record_batch([_signed(h), pa.array(np.full(len(h), own), pa.int64())], names=["window", key])
+                a, b = text.windows(_flagged(packed, len(text.starts)))
+                out.append((a, b, np.full(len(a), own)))
+            a, b, own = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, dtype=k) for i, k in enumerate((np.uint64, np.uint64, np.int64)))
+            yield pa.record_batch([_signed(a), _signed(b), pa.array(own, pa.int64())], names=["a", "b", key])
 
-    return located.select(key, "text", "flags").mapInArrow(run, f"window bigint, {key} bigint")
+    return located.select(key, "text", "flags").mapInArrow(run, f"a bigint, b bigint, {key} bigint")
 
 
 def _resolved(rows: DataFrame, whole_text: bool) -> DataFrame:
-    """The results of documents with candidates, from (row, doc, text, flags, owned)."""
+    """The results of documents with candidates, from (row, doc, text, flags, owned: first hashes of windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for batch in batches:
             out = []
-            for row, doc, t, packed, owned in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4), strict=True):
+            for row, doc, t, packed, owned in zip(*(batch.column(i).to_pylist() if i in (0, 1, 3) else batch.column(i) for i in range(5)), strict=True):
                 text = Text(_raw(t))
-                n = len(text.starts)
-                flags = _flags(text, packed)
-                at = np.flatnonzero(flags)
-                h = text.windows()[at]
-                first = np.zeros(len(h), dtype=bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                mine = np.isin(h, np.asarray(owned.values).view(np.uint64)) if owned.is_valid else np.zeros(len(h), dtype=bool)
-                gone = at[~(mine & first)]
-                cover = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(cover, gone, 1)
-                np.add.at(cover, gone + WINDOW, -1)
+                raw, n = text.raw, len(text.starts)
+                at = _flagged(packed, n)
+                a, _ = text.windows(at)
+                first = np.zeros(len(a), dtype=bool)
+                first[np.unique(a, return_index=True)[1]] = True
+                mine = np.isin(a, np.asarray(owned.values).view(np.uint64)) if owned.is_valid else np.zeros(len(a), dtype=bool)
+                gone = at[~(first & mine)]
+                cover = np.bincount(gone, minlength=n + 1) - np.bincount(gone + WINDOW, minlength=n + 1)
                 removed = np.cumsum(cover[:-1]) > 0
-                kept = text.kept(removed)
-                out.append((row, doc, n, int(removed.sum()), hashlib.sha256(kept).hexdigest(), (kept.decode() if removed.any() else text.raw.decode()) if whole_text else None))
+                lost = int(removed.sum())
+                split = raw.split()
+                kept = b" ".join([split[i] for i in np.flatnonzero(~removed).tolist()] if lost else split)
+                out.append((row, doc, n, lost, hashlib.sha256(kept).hexdigest(), (kept if lost else raw).decode() if whole_text else None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
@@ -225,31 +269,43 @@ def _resolved(rows: DataFrame, whole_text: bool) -> DataFrame:
     return rows.mapInArrow(run, "row bigint, doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
-def _removed(d: DataFrame, whole_text: bool) -> DataFrame:
+def _recurs(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select(*keys)
+
+
+def _removed(d: DataFrame, whole_text: bool, bits: int = 64) -> DataFrame:
     """row, doc, n_words, n_removed, kept_sha256, kept_text (of rows with candidates, if asked for), from (row, doc, text).
 
-    Rows that share a number must have one doc, or null ids and equal texts. What a row gets from
-    ``known`` only says which of its phrases recur, so even a number met twice by chance changes nothing.
+    Rows that share a number must have one doc, or null ids and equal texts. What such a row gets
+    from the others are more phrases for its automaton, which change nothing. ``bits`` of a phrase's hash are used.
     """
-    phrases = _phrases(d.select("row", "text"))
-    again = phrases.groupBy("phrase").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("phrase")
-    again = materialize(again, "phrases-recurring")
-    known = phrases.select("phrase", "row").join(again, "phrase").groupBy("row").agg(F.collect_list("phrase").alias("known"))
-    done = materialize(_located(d.join(known, "row", "left").select("row", "doc", "text", "known")), "phrases-located")
+    phrases = materialize(_phrases(d.select("row", "text"), bits), "phrases")
+    again = materialize(_recurs(phrases, "phrase"), "phrases-again")
+    known = materialize(phrases.join(again.hint("shuffle_hash"), "phrase").select("phrase", "row"), "phrases-known")
+    discard(phrases, again)
+    hashes = known.groupBy("row").agg(F.collect_list("phrase").alias("known"))
+    spelled = _recurs(_spelled(d.select("row", "text").join(hashes.hint("shuffle_hash"), "row").select("text", "known"), bits), "phrase", "words")
+    spelled = materialize(spelled, "phrases-spelled")
+    mine = materialize(known.join(spelled.hint("shuffle_hash"), "phrase").select("row", "words"), "phrases-mine")
+    discard(known, spelled)
+    theirs = mine.groupBy("row").agg(F.collect_list("words").alias("spelled")).hint("shuffle_hash")
+    done = materialize(_located(d.join(theirs, "row", "left").select("row", "doc", "text", "spelled"), bits), "phrases-located")
+    discard(mine)
     located = done.where("flags is not null").select("row", "doc", "text", "flags")
-    first = _windows(located, "doc").groupBy("window").agg(F.min("doc").alias("doc"))
+    first = _windows(located, "doc").groupBy("a", "b").agg(F.min("doc").alias("doc"))
     nameless = located.where(F.col("doc") == LAST)
     none = F.lit(0).cast("bigint").alias("own")
     if nameless.isEmpty():
-        owned = first.select("doc", none, "window")
+        owned = first.select("doc", none, "a")
     else:
         # a row without an id gets its own windows only, not those of all such rows
         first = materialize(first, "phrases-first")
-        theirs = _windows(nameless, "row").join(first.where(F.col("doc") == LAST), "window")
-        owned = first.where(F.col("doc") != LAST).select("doc", none, "window").unionAll(theirs.select("doc", F.col("row").alias("own"), "window"))
-    owned = owned.groupBy("doc", "own").agg(F.collect_list("window").alias("owned"))
+        theirs = _windows(nameless, "row").distinct().join(first.where(F.col("doc") == LAST), ["a", "b"])
+        owned = first.where(F.col("doc") != LAST).select("doc", none, "a").unionAll(theirs.select("doc", F.col("row").alias("own"), "a"))
+    owned = materialize(owned.groupBy("doc", "own").agg(F.collect_list("a").alias("owned")), "phrases-owned")
+    discard()
     own = F.when(F.col("doc") == LAST, F.col("row")).otherwise(F.lit(0).cast("bigint"))
-    resolved = _resolved(located.withColumn("own", own).join(owned, ["doc", "own"], "left").select("row", "doc", "text", "flags", "owned"), whole_text)
+    resolved = _resolved(located.withColumn("own", own).join(owned.hint("shuffle_hash"), ["doc", "own"], "left").select("row", "doc", "text", "flags", "owned"), whole_text)
     rest = done.where("flags is null").select("row", "doc", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
     return resolved.unionAll(rest)
 
@@ -267,8 +323,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of the texts; texts that lose nothing stay as they are. Every row stays one row."""
-    # row numbers are stable once written
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "phrases-rows")
-    kept = _removed(rows.select(F.col("_row").alias("row"), _ordered(), "text"), True).where("n_removed > 0").select(F.col("row").alias("_row"), "kept_text")
-    out = rows.join(materialize(kept, "phrases-kept"), "_row", "left")
-    return out.withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns)
+    # row numbers are stable once written; docs' columns travel in a struct, so no name can clash
+    columns = F.struct(*[docs[c] for c in docs.columns]).alias("columns")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), columns), "phrases-rows")
+    kept = _removed(rows.select("row", "columns.doc_id", "columns.text").select("row", _ordered(), "text"), True).where("n_removed > 0").select("row", "kept_text")
+    out = rows.join(materialize(kept, "phrases-kept"), "row", "left")
+    text = F.coalesce("kept_text", "columns.text")
+    return out.select(*[text.alias(c) if c == "text" else F.col("columns")[c].alias(c) for c in docs.columns])

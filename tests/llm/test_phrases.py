@@ -55,6 +55,28 @@ def test_small_shards(spark, monkeypatch):
     assert run(table(spark, rows)) == brute(rows)
 
 
+def test_equal_hashes_of_different_phrases(spark):
+    # with two bits most phrases have the hash of others; the automata, which hold words, must tell them apart
+    rows = made(5)
+    docs = table(spark, rows).selectExpr("doc_id as row", "doc_id as doc", "text")
+    got = phrases._removed(docs, False, bits=2)
+    assert sorted((r["doc"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == brute(rows)
+
+
+def test_automaton_finds_words_not_hashes():
+    words = [f"w{i}".encode() for i in range(30)]
+    texts = [phrases.Text(b" ".join(words)), phrases.Text(b"x " + b"  ".join(words[5:13]) + b"\ny"), phrases.Text(b"w5 w6")]
+    places = phrases.locate(texts, {b" ".join(words[5:13]), b"no such phrase of eight words at all here"})
+    assert [p.tolist() for p in places] == [[5], [1], []]
+
+
+def test_clashing_names(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"{i} {passage}", "x", 1, 2, 3, 4) for i in range(2)], "doc_id bigint, text string, kept_text string, row int, columns int, _row int, doc int")
+    out = phrases.without_repeats(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(0, f"0 {passage}", "x", 1, 2, 3, 4), (1, "1", "x", 1, 2, 3, 4)]
+
+
 def test_whole_table_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     assert run(documents(spark)) == brute(rows)
