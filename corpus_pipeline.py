@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = langid.learn(docs)
     if not learned:  # no label to learn from: only texts without a letter are sure to have no language
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return langid.identify(docs, learned, docs.columns).where(F.col("lang_pred") != "und").select(*docs.columns)
+    return langid.identify(docs, learned).where(F.col("lang_pred") != "und").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
