@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import secretscan
 from tests.llm.helpers import AWKWARD, documents, table
 
@@ -38,7 +40,9 @@ def test_base_spans_and_added_spans(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest(), text
         assert [got[i][f"n_{k}"] for k in secretscan.KINDS[:3]] == [sum(s[0] == k for s in base) for k in secretscan.KINDS[:3]]
         assert set(joined(base).split(",")) <= set(got[i]["spans"].split(",")) | {""}
-    assert got[24]["spans"] == "random:4:44"
+    # a lone token of its class is told only if it looks more random than half of all random ones
+    p = spark.createDataFrame([(TRICKY[4][1][4:44],)], "t string").select(secretscan.p_value(secretscan.combined(F.col("t"), secretscan.ALPHABETS["base62"][0]))).first()[0]
+    assert got[24]["spans"] == ("random:4:44" if p > 0.5 else "")
     assert got[25]["spans"] == ""
 
 
@@ -50,6 +54,52 @@ def test_whole_table_against_brute_force(spark):
         assert r["base_sha256"] == hashlib.sha256(joined(brute(texts[r["doc_id"]])).encode()).hexdigest()
 
 
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+FORMS = [UPPER + DIGITS, LOWER + DIGITS, UPPER + LOWER, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", LOWER + DIGITS + "-_", DIGITS + "ABCDEF", UPPER + "234567"]
+ORDINARY = [
+    "thisisaverylongordinarywordwithoutanything", "AndSomeCamelCaseIdentifierNames", "report_2024_01_01_final_version", "getElementsByTagName", "src/main/resources/index2",
+    "chapter12section3", "Donaudampfschifffahrtsgesellschaft", "well-known-facts-about-2024", "version-1-2-3-alpha", "abcdefghijklmnop123", "2024-01-01T00", "aaaaaaaaaaaa1111", "JavaScriptCoreLibrary",
+    "photos/2019/summer/beach001", "MacBookPro16inch", "000000000001A", "item_000123456789", "ABCDEFGHIJKLMNOP12", "http/www/example/com/page/12",
+]
+
+
+def test_planted_truth(spark):
+    # 240 random keys of all forms and lengths between ordinary texts; recall and precision over the whole table
+    rng = random.Random(11)
+    keys = ["".join(rng.choices(FORMS[k % len(FORMS)], k=rng.choice([14, 18, 24, 32, 40, 64]))) for k in range(240)]
+    rows = [(i, f"the key is {key} and so on") for i, key in enumerate(keys)] + [(1000 + i, f"plain {ORDINARY[i % len(ORDINARY)]} text {ORDINARY[(7 * i + 3) % len(ORDINARY)]}.") for i in range(200)]
+    got = {r["doc_id"]: r for r in secretscan.scan_documents(table(spark, rows)).collect()}
+    caught = sum(f":11:{11 + len(key)}" in got[i]["spans"] for i, key in enumerate(keys))
+    found = {rows[240 + i - 1000][1][int(a) : int(b)] for i, r in got.items() if i >= 1000 for _, a, b in (x.split(":") for x in r["spans"].split(",") if x)}
+    assert caught >= 0.9 * len(keys), caught
+    assert caught / (caught + len(found)) >= 0.95, found
+
+
+def test_p_values_of_random_tokens_are_even(spark):
+    rng = random.Random(5)
+    for name, (alphabet, _) in secretscan.ALPHABETS.items():
+        rows = [("".join(rng.choices(alphabet, k=30)),) for _ in range(600)]
+        p = [r[0] for r in spark.createDataFrame(rows, "t string").select(secretscan.p_value(secretscan.combined(F.col("t"), alphabet))).collect()]
+        assert abs(sum(x > 0.5 for x in p) / len(p) - 0.5) < 0.1 and sum(x < 0.01 for x in p) < 0.04 * len(p), name
+
+
+def test_thresholds():
+    assert secretscan.least_threshold({}) is None
+    even = {k: round(1000 * 2 ** (-k / 4) * (1 - 2**-0.25)) for k in range(40)}
+    assert secretscan.least_threshold(even) <= 0.002
+    crowded = dict(even) | {k: 5000 for k in range(20, 40)}  # others below 2 ** -5
+    assert 2**-5.1 < secretscan.least_threshold(crowded) < 0.3
+    assert secretscan.least_threshold({39: 500}) is None
+
+
+def test_clashing_names(spark):
+    names = [*secretscan.KINDS, "base", "row", "token", "tested", "_tested", "_text"]
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", *range(10)), (2, None, *range(10))], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    out = secretscan.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "[SECRET]", *range(10)), (2, None, *range(10))]
+
+
 def test_redaction_keeps_columns_and_clean_texts(spark):
     docs = table(spark, AWKWARD + TRICKY)
     out = secretscan.redact(docs)
