@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tessera.llm import pii
@@ -70,5 +71,40 @@ def test_bootstrapping_finds_what_the_base_patterns_miss(spark):
     assert got[91] == got[92] == ""
 
 
+def test_planted_truth_of_unseen_forms(spark):
+    # cards, phones and addresses teach contexts; identifiers of forms that no base pattern has follow the same words
+    rng = random.Random(2)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    words = lambda n: " ".join(rng.choices(["der", "Hund", "und", "die", "Katze", "im", "Jahr", "mit", "Haus", "am"], k=n))
+    rows, truth = [], {}
+    for i in range(300):
+        label = ["Konto", "Kundennummer ist", "erreichbar unter"][i % 3]
+        seed = ["49" + digits(14), f"+49 30 {digits(7)}", f"a{digits(3)}@example.org"][i % 3]
+        while i % 3 == 0 and not luhn(seed):
+            seed = "49" + digits(14)
+        rows.append((i, f"{words(8)} {label} {seed} {words(3)}"))
+    for i in range(300, 330):
+        new = [f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"030/{digits(7)}"][i // 3 % 3]
+        start = f"{words(6)} {['Konto', 'Kundennummer ist', 'erreichbar unter'][i % 3]}: "
+        rows.append((i, f"{start}{new}, {words(4)}"))
+        truth[i] = f"context:{len(start)}:{len(start) + len(new)}"
+    rows += [(i, f"{words(5)} im Jahr {1900 + i % 100}/{digits(4)} {words(5)} am {digits(6)} mit {digits(3)}.{digits(3)} {words(2)}") for i in range(400, 700)]
+    got = {r["doc_id"]: r for r in pii.scan_documents(table(spark, rows)).collect()}
+    caught = sum(got[i]["spans"] == want for i, want in truth.items())
+    wrong = sum(r["n_context"] for i, r in got.items() if i not in truth)
+    missed = [(got[i]["spans"], want, dict((r[0], r[1]) for r in rows)[i]) for i, want in truth.items() if got[i]["spans"] != want]
+    assert caught >= 0.9 * len(truth), missed[:8]
+    assert caught / (caught + wrong) >= 0.9, wrong
+
+
+def test_long_words_and_clashing_names(spark):
+    names = [*pii.KINDS, "base", "row", "likely", "seen", "number", "spans", "o"]
+    long = "1" + "x" * 300_000 + "2345"
+    docs = spark.createDataFrame([(1, f"see {long} and a@b.c", *range(len(names))), (2, None, *range(len(names)))], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    got = {r["doc_id"]: r["spans"] for r in pii.scan_documents(docs).collect()}
+    assert got == {1: f"email:{len(long) + 9}:{len(long) + 14}", 2: ""}
+    assert pii.find_personal(docs, docs.columns).select("row.*").columns == docs.columns
+
+
 def test_empty_table(spark):
     assert pii.scan_documents(table(spark, [])).count() == 0
