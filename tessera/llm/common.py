@@ -46,6 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders written by ``materialize`` in this process and not deleted yet.
+written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -55,6 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._folder = path
     return table
@@ -62,19 +67,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing will read again, and let Spark drop the shuffles behind them."""
+    delete([t._folder for t in tables])
+
+
+def delete(folders: list[str]) -> None:
+    """Delete folders in the shared folder, and let Spark drop the shuffles that nothing refers to."""
     sc = SparkSession.active().sparkContext
     jvm, hadoop = sc._jvm, sc._jsc.hadoopConfiguration()
-    for table in tables:
-        path = jvm.org.apache.hadoop.fs.Path(table._folder)
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(hadoop).delete(path, True)
+        if folder in written:
+            written.remove(folder)
     gc.collect()
     jvm.System.gc()  # Spark's cleaner only sees that a shuffle is unreachable when the JVM collects
 
 
-def null_safe_text(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn(col, F.coalesce(F.col(col), F.lit("")))
-
-
 def release() -> None:
     """Give memory that Python no longer uses back to the system."""
     gc.collect()

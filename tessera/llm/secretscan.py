@@ -37,7 +37,8 @@ from tessera.llm.common import materialize
 from tessera.llm.spans import SPAN, find, kept, let, listed
 
 KINDS = ["assign", "access", "hex", "random"]
-LEAST = 12
+#: Characters of a token of the battery; the tests cannot tell shorter random ones from identifiers like `chapter12verse3`.
+LEAST = 16
 LEVEL = 0.05
 #: Tokens of a smaller p-value are not random, whatever the class; p-values are counted in steps of 2 ** (-1 / STEPS).
 ALPHA, STEPS = 0.001, 4
