@@ -14,14 +14,12 @@ copies all stay if it is the smallest id.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, langid, packing, phrases, secretscan
-from tessera.llm.common import shared_dir
+from tessera.llm import common, jaccard, langid, packing, phrases, secretscan
 from tessera.llm.registry import word_vocabulary
 
 #: Near duplicates of the pipeline: five words, a similarity of 0.8 or more.
@@ -66,10 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on documents; what lies between two stages is written to the shared folder."""
+    """The result of all stages on documents. What lies between two stages is written to the shared folder, and deleted when it has been read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        used = list(common.written)
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        docs = common.materialize(out, f"stage-{name}")
+        common.delete([x for x in common.written if x != docs._folder and (x not in used or "/stage-" in x)])
