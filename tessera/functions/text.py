@@ -73,6 +73,17 @@ def extract_keywords(x: Column, stop: list[str], least: int = 3) -> Column:
     return F.filter(F.array_distinct(words), lambda w: (F.length(w) >= least) & ~w.isin(stop))
 
 
+def words(x: Column) -> Column:
+    """The distinct words of a text in lower case, cut at white space."""
+    return F.filter(F.array_distinct(F.split(F.lower(x), r"\s+")), lambda w: w != "")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared words over all words of two arrays of distinct words; 0 if either is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+
+
 def escape_like(x: Column) -> Column:
     r"""x with \, % and _ escaped for LIKE."""
     return F.regexp_replace(x, r"([\\%_])", r"\\$1")

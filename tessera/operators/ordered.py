@@ -107,12 +107,15 @@ def distinct_results(df: DataFrame, group: str, rank: str, most: int = 2, overla
     """Results of each query in rank order, without those too like a kept one.
 
     df: group, rank, source, headline, embedding. A result goes if its headline words overlap with a
-    kept one's by more than ``overlap`` (of the smaller set), if its vector lies nearer than ``near`` to a
-    kept one of another source, or if its source has ``most`` kept ones. A group is one result list.
+    kept one's by more than ``overlap`` (of their union), if its vector lies nearer than ``near`` to a
+    kept one of another source, or if its source has ``most`` kept ones. A group is one result list,
+    bounded by the limit of the search; lists of three or fewer stay as they are.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(rank)
+        if len(pdf) <= 3:
+            return pdf
         kept: list[tuple[str, set, np.ndarray]] = []
         good = []
         for source, headline, v in zip(pdf["source"], pdf["headline"], pdf["embedding"], strict=True):
@@ -120,8 +123,8 @@ def distinct_results(df: DataFrame, group: str, rank: str, most: int = 2, overla
             v = np.zeros(0) if v is None else np.asarray(v, dtype=np.float64)
 
             def like(other: tuple[str, set, np.ndarray], source=source, words=words, v=v) -> bool:
-                smaller = min(len(words), len(other[1]))
-                if smaller and len(words & other[1]) / smaller > overlap:
+                union = len(words | other[1])
+                if words and other[1] and len(words & other[1]) / union > overlap:
                     return True
                 norm = np.linalg.norm(v) * np.linalg.norm(other[2]) if len(v) == len(other[2]) else 0.0
                 return source != other[0] and norm > 0 and float(v @ other[2]) / norm > near

@@ -169,14 +169,14 @@ def cp26_lessons(spark, d):
     return trades(spark, d).select("trade_id", F.array_compact(tags).alias("lessons"))
 
 
-@query("""WITH k AS (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))[1:8]) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
-d AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents WHERE n_chars < 3000), h AS (SELECT item_id, doc_id, count(*) AS c FROM k JOIN d USING (w) GROUP BY ALL), b AS (SELECT item_id, max(c) AS c FROM h GROUP BY 1)
-SELECT n.item_id, CASE WHEN coalesce(c, 0) / n.n >= 0.6 THEN 'validated' WHEN coalesce(c, 0) / n.n >= 0.3 THEN 'partial' ELSE 'open' END AS verdict FROM n LEFT JOIN b USING (item_id) WHERE false OR n.n >= 0""".replace("list_distinct(string_split(lower(text), ' '))[1:8]", "list_sort(list_distinct(string_split(lower(text), ' ')))[1:8]"))
+@query("""WITH k AS (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
+d AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents), h AS (SELECT item_id, doc_id, count(*) AS c FROM k JOIN d USING (w) GROUP BY ALL), b AS (SELECT item_id, max(c) AS c FROM h GROUP BY 1)
+SELECT n.item_id, CASE WHEN coalesce(c, 0) / n.n >= 0.6 THEN 'validated' WHEN coalesce(c, 0) / n.n >= 0.3 THEN 'partial' ELSE 'open' END AS verdict FROM n LEFT JOIN b USING (item_id) WHERE false OR n.n >= 0""")
 def cp28_validation(spark, d):
     """The best share of a prediction's keywords in one story."""
-    k = load(spark, d, "benchmark").select("item_id", F.explode(F.slice(F.array_sort(F.array_distinct(F.split(F.lower("text"), " "))), 1, 8)).alias("w"))
+    k = load(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
     n = k.groupBy("item_id").agg(F.count("*").alias("n"))
-    s = load(spark, d, "documents").where("n_chars < 3000").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    s = load(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
     best = s.join(k, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("c")).groupBy("item_id").agg(F.max("c").alias("c"))
     share = F.coalesce("c", F.lit(0)) / F.col("n")
     return n.join(best, "item_id", "left").select("item_id", F.when(share >= 0.6, "validated").when(share >= 0.3, "partial").otherwise("open").alias("verdict"))
@@ -263,12 +263,12 @@ def cp43_gap(spark, d):
 LCG = "(x * 1103515245 + 12345) % 2147483648"
 
 
-@query(f"""WITH {TRADES}, t AS (SELECT trade_id, pnl / invested AS ret, (trade_id % 13) / 12.0 AS score FROM trades WHERE trade_id % 50 = 0), n AS (SELECT *, row_number() OVER (ORDER BY trade_id) AS i FROM t),
+@query(f"""WITH {TRADES}, t AS (SELECT trade_id, pnl / invested AS ret, (trade_id % 13) / 12.0 AS score FROM trades), n AS (SELECT *, row_number() OVER (ORDER BY trade_id) AS i FROM t),
 p AS (SELECT k, n.i, row_number() OVER (PARTITION BY k ORDER BY ((n.i * 2654435761 + k * 40503) % 1000003), n.i) AS j FROM n, range(1, 101) r(k)), s AS (SELECT k, sum(a.score * b.ret) AS v FROM p JOIN n a ON a.i = p.i JOIN n b ON b.i = p.j GROUP BY k), r AS (SELECT sum(score * ret) AS v FROM n)
 SELECT round((SELECT v FROM r), 6) AS real, count_if(s.v >= (SELECT v FROM r)) AS above, round(avg(CASE WHEN s.v >= (SELECT v FROM r) THEN 1.0 ELSE 0 END), 6) AS p FROM s""")
 def ag50_permutation(spark, d):
     """Permutation test with an arithmetic shuffle: the pairing of each replicate is a sort by a hashed key."""
-    t = trades(spark, d).where("trade_id % 50 = 0").select("trade_id", F.expr("pnl / invested").alias("ret"), (F.col("trade_id") % 13 / 12.0).alias("score"))
+    t = trades(spark, d).select("trade_id", F.expr("pnl / invested").alias("ret"), (F.col("trade_id") % 13 / 12.0).alias("score"))
     n = t.withColumn("i", F.row_number().over(Window.orderBy("trade_id"))).drop("trade_id")  # a stated sample of trades
     rep = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100))))
     p = rep.withColumn("j", F.row_number().over(Window.partitionBy("k").orderBy((F.col("i") * F.lit(2654435761) + F.col("k") * 40503) % 1000003, "i")))

@@ -89,9 +89,9 @@ def fn17_json_paths(spark, d):
     return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"), F.get_json_object("props", "$.none").alias("none"))
 
 
-@query("""SELECT user_id, '[' || string_agg(k, ',' ORDER BY event_id) || ']' AS ks FROM (SELECT user_id, event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 50 = 0) GROUP BY user_id""")
+@query("""SELECT user_id, '[' || string_agg(k, ',' ORDER BY event_id) || ']' AS ks FROM (SELECT user_id, event_id, json_extract_string(props, '$.k') AS k FROM events) GROUP BY user_id""")
 def fn18_json_rebuild(spark, d):
-    e = load(spark, d, "events").where("event_id % 50 = 0").select("user_id", F.struct("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).alias("s"))
+    e = load(spark, d, "events").select("user_id", F.struct("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).alias("s"))
     return e.groupBy("user_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["k"])).alias("ks"))
 
 
@@ -182,7 +182,7 @@ def fn43_stale(spark, d):
     return load(spark, d, "events").select("event_id", (F.col("ts") < F.lit("2024-01-29 12:00:00").cast("timestamp_ntz")).alias("stale"))
 
 
-@query("SELECT o_orderkey, format('{:.0f}%', round(o_totalprice / 5000, 0)) AS odds, CASE WHEN o_totalprice >= 1000 THEN format('{:.1f}k', round(o_totalprice / 1000, 1)) ELSE format('{:.0f}', o_totalprice) END AS volume FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, format('{:.0f}%', round(o_totalprice / 5000, 0)) AS odds, CASE WHEN o_totalprice >= 1000 THEN format('{:.1f}k', round(o_totalprice / 1000, 1)) ELSE format('{:.0f}', o_totalprice) END AS volume FROM orders")
 def fn44_labels(spark, d):
     p = F.col("o_totalprice")
-    return load(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.format_string("%.0f%%", F.round(p / 5000, 0)).alias("odds"), F.when(p >= 1000, F.format_string("%.1fk", F.round(p / 1000, 1))).otherwise(F.format_string("%.0f", p)).alias("volume"))
+    return load(spark, d, "orders").select("o_orderkey", F.format_string("%.0f%%", F.round(p / 5000, 0)).alias("odds"), F.when(p >= 1000, F.format_string("%.1fk", F.round(p / 1000, 1))).otherwise(F.format_string("%.0f", p)).alias("volume"))

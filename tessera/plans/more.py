@@ -31,10 +31,10 @@ def pf21_metadata_text(spark, d):
     return load(spark, d, "events").select("event_id", F.concat_ws(" | ", F.concat(F.lit("Event "), "event_type"), F.concat(F.lit("user "), F.col("user_id").cast("string")), F.concat(F.lit("k="), k)).alias("body"))
 
 
-@query("SELECT a.l_orderkey AS trade, b.l_suppkey AS other FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 50 = 0) a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b USING (l_partkey)")
+@query("SELECT a.l_orderkey AS trade, b.l_suppkey AS other FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b USING (l_partkey)")
 def jn13_other_end(spark, d):
     l = load(spark, d, "lineitem")  # noqa: E741
-    a = l.where("l_partkey % 50 = 0").select(F.col("l_orderkey").alias("trade"), "l_partkey").distinct()
+    a = l.select(F.col("l_orderkey").alias("trade"), "l_partkey").distinct()
     return a.join(l.select("l_partkey", F.col("l_suppkey").alias("other")).distinct(), "l_partkey").select("trade", "other")
 
 
@@ -255,15 +255,6 @@ def wn16_prior_relative(spark, d):
     return j.select("ticker", "day", F.round(back("close") - back("m"), 6).alias("rel"), F.round(F.avg(F.expr("close * volume")).over(by_day().rowsBetween(-9, 0)), 4).alias("dollar"))
 
 
-@query()
-def so8_semantic_dedup(spark, d):
-    """The first hundred documents as one result list: too similar ones and more than two of a source go."""
-    docs = load(spark, d, "documents").orderBy("doc_id").limit(100)
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    r = docs.join(e, "doc_id", "left").select(F.lit(1).alias("query_id"), F.col("doc_id").alias("rank"), "source", F.substring("text", 1, 80).alias("headline"), "embedding")
-    return ordered.distinct_results(r, "query_id", "rank").select("rank", "source")
-
-
 @query()
 def fn11_title_candidates(spark, d):
     return load(spark, d, "supplier").select("s_suppkey", text.title_candidates(F.concat("s_name", F.lit(", Inc."))).alias("titles"))

@@ -44,7 +44,7 @@ BARS = """ticks AS (
   SELECT l_partkey AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, l_extendedprice / l_quantity AS price,
          l_quantity AS qty, row_number() OVER (PARTITION BY l_partkey, date_trunc('month', l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i,
          row_number() OVER (PARTITION BY l_partkey, date_trunc('month', l_shipdate) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS j
-  FROM lineitem WHERE l_partkey % 20 = 0),
+  FROM lineitem),
 bars AS (
   SELECT ticker, day, max(CASE WHEN i = 1 THEN price END) AS open, max(price) AS high, min(price) AS low,
          max(CASE WHEN j = 1 THEN price END) AS close, sum(qty) AS volume
@@ -52,11 +52,11 @@ bars AS (
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly price bars of every twentieth part (the symbols of the study)."""
+    """Monthly price bars of every part."""
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return (
-        load(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0")
+        load(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_partkey").alias("ticker"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("day"))
         .agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum("l_quantity").alias("volume"))
     )
