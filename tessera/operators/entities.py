@@ -36,22 +36,32 @@ def canonicalise(mentions: DataFrame, block: str = "block") -> DataFrame:
     """Adds ``canonical``: the first earlier mention of the block with the same cik, else ticker, else bare name, else a contained name; else itself.
 
     Greedy in mention order, so one block is handled in one place; blocks must be bounded (for
-    example the first letters of the bare name).
+    example the first letters of the bare name). A mention costs the square of its words, whatever the block's size.
     """
 
+    def parts(name: str) -> list[str]:
+        """Every run of whole words of a name."""
+        words = (name or "").split(" ")
+        return [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("mention_id")
         by: dict[tuple, int] = {}
-        names: list[tuple[str, int]] = []
+        # of first names: the name, and the first name that holds a run of words; values count up in order
+        names: dict[str, tuple[int, int]] = {}
+        holding: dict[str, tuple[int, int]] = {}
         out = []
         for m, cik, ticker, name in zip(pdf["mention_id"], pdf["cik"], pdf["ticker"], pdf["bare"], strict=True):
             keys = [(k, v) for k, v in (("cik", cik), ("ticker", ticker), ("name", name)) if v is not None and v == v]
             hit = next((by[k] for k in keys if k in by), None)
             if hit is None:
-                hit = next((i for x, i in names if f" {x} " in f" {name} " or f" {name} " in f" {x} "), None)
+                met = [names[x] for x in parts(name) if x in names] + [holding[x] for x in (name,) if x in holding]
+                hit = min(met)[1] if met else None
             if hit is None:
                 hit = m
-                names.append((name, m))
+                names[name] = (len(names), m)
+                for x in parts(name):
+                    holding.setdefault(x, names[name])
             for k in keys:
                 by.setdefault(k, hit)
             out.append(hit)
@@ -69,9 +79,23 @@ def expand(words: DataFrame, aliases: DataFrame, most: int = 3) -> DataFrame:
 
 
 def contained(issuers: DataFrame, topics: DataFrame) -> DataFrame:
-    """(topic, filings): distinct filings whose issuer equals, contains or is contained in the topic, blocked by shared words."""
+    """(topic, filings): distinct filings whose issuer equals, contains or is contained in the topic.
+
+    Whichever contains the other, the three letters at the start of the shorter one are somewhere in the longer; names
+    shorter than that meet on each of their letters' runs of the same length.
+    """
     i = issuers.select("filing", bare(F.col("issuer")).alias("i")).distinct()
     t = topics.select("topic", bare(F.col("topic")).alias("t")).distinct()
-    word = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-    met = i.withColumn("w", word("i")).join(t.withColumn("w", word("t")), "w").where(F.contains("i", F.col("t")) | F.contains("t", F.col("i")))
+
+    def start(c: str) -> Column:
+        return F.substring(c, 1, 3)
+
+    def runs(c: str) -> Column:
+        """All runs of one to three letters."""
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda p: F.substring(c, p, F.lit(n)))
+        return F.explode(F.array_distinct(F.flatten(F.array(of(1), of(2), of(3)))))
+
+    wide = i.withColumn("w", runs("i")).join(t.withColumn("w", start("t")), "w").where(F.contains("i", F.col("t")))
+    narrow = i.withColumn("w", start("i")).join(t.withColumn("w", runs("t")), "w").where(F.contains("t", F.col("i")))
+    met = wide.select("topic", "filing").unionByName(narrow.select("topic", "filing"))
     return met.groupBy("topic").agg(F.count_distinct("filing").alias("filings"))

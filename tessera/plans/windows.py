@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
-from tessera.operators import ordered
+from tessera.operators import ordered, search
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
 from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
@@ -211,9 +211,10 @@ def sl16_stratified(spark, d):
     return R.latest(stories(spark, d), ["sector"], [F.desc("importance"), F.col("story_id")], 40).select("story_id", "sector")
 
 
-@query()
+@query(f"""WITH {STORIES}, t AS (SELECT sector, importance, story_id, string_split(summary, '.')[1] AS title FROM stories QUALIFY row_number() OVER (PARTITION BY sector, title ORDER BY importance, story_id) = 1)
+SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY sector ORDER BY importance, story_id) <= 25""")
 def sl17_claims(spark, d):
-    s = stories(spark, d).select("sector", "importance", "story_id", F.substring("summary", 1, 40).alias("title"))
+    s = stories(spark, d).select("sector", "importance", "story_id", search.headline(F.col("summary")).alias("title"))
     return ordered.claim(s, "sector", ["importance", "story_id"], "story_id", "title", 25)
 
 

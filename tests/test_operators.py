@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, scoring, text
-from tessera.operators import ordered, search
+from tessera.operators import entities, ordered, search
 from tessera.operators import relational as R
 
 
@@ -91,6 +91,26 @@ def test_ordered(spark):
     assert sorted((r["entry_day"].day, r["exit_day"].day, r["reason"]) for r in sim.collect()) == [(1, 3, "stop"), (4, 5, "target"), (6, 6, "data_end")]
 
 
+def test_simulation_on_admissible_rows_is_the_whole_simulation(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [("s", dt.date(2024, 1, 1) + dt.timedelta(d), t, rng.choice([None, round(rng.random(), 1)]), 100 * rng.uniform(0.8, 1.25)) for d in range(40) for t in range(30) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "g string, day date, ticker bigint, score double, close double")
+    few = ordered.admissible(df, "g", 2, 4)
+    assert few.count() < 0.6 * len(rows)
+    got = sorted(map(tuple, ordered.simulate(df, "g", 2, 1000.0, 0.1, 0.15, 4).collect()))
+    pdf = df.toPandas()
+    want = ordered.walk(pdf.assign(end=pdf["day"].max()), "g", 2, 1000.0, 0.1, 0.15, 4, 0.0)
+    assert got == sorted(map(tuple, want.itertuples(index=False))) and len(got) > 20
+
+
+def test_containment_inside_words(spark):
+    issuers = spark.createDataFrame([(1, "Steelworks Inc"), (2, "steel"), (3, "Stee"), (4, "al"), (5, "copper")], "filing bigint, issuer string")
+    topics = spark.createDataFrame([("steel",), ("metal",)], "topic string")
+    assert {r["topic"]: r["filings"] for r in entities.contained(issuers, topics).collect()} == {"steel": 3, "metal": 1}
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue bird")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["score"] for r in search.minmax(search.bm25(docs, spark.createDataFrame([(1, "Red fox")], "query_id bigint, text string"), {"text": 1.0}), "query_id").collect()}
@@ -153,7 +173,8 @@ def test_every_nearest_neighbour_query_is_answered(spark, tmp_path, monkeypatch)
     from tessera.plans import catalog
     from tests.oracle import difference
 
-    monkeypatch.setattr(search, "BLOCK", 30, raising=False)
+    monkeypatch.setattr(search, "TASK_QUERIES", 30)
+    monkeypatch.setattr(search, "TASK_ROWS", 900)
     rng = random.Random(5)
     rows = [(i, i % 5, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(4200)]
     spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
