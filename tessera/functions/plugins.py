@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str], str], np.ndarray]
@@ -62,3 +62,23 @@ def one_space(vectors: DataFrame, model: str = "model") -> DataFrame:
 def register(spark: SparkSession, name: str, function, kind: str) -> None:
     """Make a Python function available in SQL; pandas functions where speed matters."""
     spark.udf.register(name, function if hasattr(function, "evalType") else F.pandas_udf(function, kind))
+
+
+def to_blob(vectors: Column) -> Column:
+    """Vectors as stored blobs: little-endian 32-bit floats one after another."""
+
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
+
+    return pack(vectors)
+
+
+def from_blob(blobs: Column) -> Column:
+    """array<float> of stored blobs; bytes after the last whole float are left out."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else np.frombuffer(x[: len(x) // 4 * 4], dtype="<f4"))
+
+    return unpack(blobs)

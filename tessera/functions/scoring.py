@@ -41,3 +41,8 @@ def weighted_score(values: list[Column], weights: list[float], diversity: Column
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     count = sum((F.when((v > positive) & F.lit(w > 0), 1).otherwise(0) for v, w in zip(values, weights, strict=True)), F.lit(0))
     return score, count, ((count >= 2) & (diversity >= 2)) | (score >= override)
+
+
+def exact_sum(x: Column) -> Column:
+    """An aggregate that adds doubles as decimals of ten places: the same in whatever order the rows come."""
+    return F.sum(x.cast("decimal(38,10)")).cast("double")

@@ -93,3 +93,73 @@ def title_candidates(name: Column) -> Column:
     """Page titles to try for a company name: as it is, without its legal suffix, and both in title case; each once."""
     bare = F.trim(F.regexp_replace(name, r"(?i)[,\s]+(inc|corp|corporation|co|company|ltd|llc|plc|sa|ag|nv|group|holdings)\.?$", ""))
     return F.filter(F.array_distinct(F.array(F.trim(name), bare, F.initcap(F.lower(F.trim(name))), F.initcap(F.lower(bare)))), lambda x: x != "")
+
+
+def _marked(x: Column, kind: str) -> Column:
+    """What stands in the markers [kind: ...] of an answer, in order."""
+    return F.regexp_extract_all(x, F.lit(rf"\[{kind}:([^\]]*)\]"), F.lit(1))
+
+
+def _unquoted(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(x), '^"+|"+$', ""))
+
+
+def story_references(answer: Column) -> Column:
+    """array<bigint>: the ids of [story:N] markers; other contents are left out."""
+    return F.array_compact(F.transform(_marked(answer, "story"), lambda m: F.trim(m).try_cast("bigint")))
+
+
+def followups(answer: Column) -> Column:
+    """array<string>: questions of [followup: "..." | type: "..."] markers, as type::question if there is a type."""
+
+    def one(m: Column) -> Column:
+        parts = F.split(m, r"\|")
+        kind = _unquoted(F.regexp_extract(F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), r"^type:(.*)$", 1))
+        question = _unquoted(F.get(parts, F.lit(0)))
+        return F.when(question != "", F.when(kind != "", F.concat(kind, F.lit("::"), question)).otherwise(question))
+
+    return F.array_compact(F.transform(_marked(answer, "followup"), one))
+
+
+def predictions(answer: Column) -> Column:
+    """array<struct<text, confidence, timeframe>> of [prediction: "..." | confidence: 0.7 | timeframe: "..."] markers; 0.5 where no number stands."""
+
+    def one(m: Column) -> Column:
+        parts = F.split(m, r"\|")
+        value = F.trim(F.regexp_extract(F.trim(F.get(parts, F.lit(1))), r"^confidence:(.*)$", 1)).try_cast("double")
+        frame = _unquoted(F.regexp_extract(F.trim(F.get(parts, F.lit(2))), r"^timeframe:(.*)$", 1))
+        got = F.struct(_unquoted(F.get(parts, F.lit(0))).alias("text"), F.coalesce(value, F.lit(0.5)).alias("confidence"), frame.alias("timeframe"))
+        return F.when((F.size(parts) >= 3) & (got["text"] != ""), got)
+
+    return F.array_compact(F.transform(_marked(answer, "prediction"), one))
+
+
+def without_markers(answer: Column) -> Column:
+    """An answer without its markers, and without list items that they leave empty."""
+    bare = F.regexp_replace(answer, r"\[(?:story|followup|prediction|entity):[^\]]*\]", "")
+    return F.regexp_replace(bare, r"(?m)^[ \t]*(?:[0-9]+\.|[-*])[ \t]*(?:\n|\z)", "")
+
+
+#: Headline rules (side, pattern), the first that occurs counts.
+HEADLINES = {
+    "upgrade": (1, r"\bUpgrades\b.+\bto\b"),
+    "downgrade": (-1, r"\bDowngrades\b.+\bto\b"),
+    "beat_both": (1, r"EPS .*Beats.*Sales .*Beat"),
+    "miss_both": (-1, r"EPS .*Misses.*Sales .*Miss"),
+    "guide_up": (1, r"Raises (FY|Q\d|\d{4}|Full.Year|Annual|Its |Outlook|Guidance).{0,60}(Guidance|Outlook|Forecast|Sales|Revenue|EPS)|Sees .{0,60}Above .{0,20}Est"),
+    "guide_down": (-1, r"(Lowers|Cuts|Reduces) (FY|Q\d|\d{4}|Full.Year|Annual|Its |Outlook|Guidance).{0,60}(Guidance|Outlook|Forecast|Sales|Revenue|EPS)|Sees .{0,60}Below .{0,20}Est"),
+    "equity_offering": (-1, r"(Proposed|Pricing Of|Prices|Launches) .{0,40}(Public |Underwritten |Registered Direct )?Offering(?!.*Notes)"),
+    "initiate_buy": (1, r"Initiates Coverage On .+ With (Buy|Overweight|Outperform|Strong Buy)"),
+    "initiate_sell": (-1, r"Initiates Coverage On .+ With (Sell|Underweight|Underperform)"),
+    "buyback": (1, r"(Announces|Authorizes|Approves|Board Approves).{0,40}(Buyback|Repurchase)"),
+    "pt_raise": (1, r"Maintains .+ Raises Price Target"),
+    "pt_lower": (-1, r"Maintains .+ Lowers Price Target"),
+}
+
+
+def headline_rule(x: Column) -> Column:
+    """struct<rule, side> of the first rule that a headline meets; null if none."""
+    out = F.lit(None).cast("struct<rule:string,side:int>")
+    for rule, (side, pattern) in reversed(HEADLINES.items()):
+        out = F.when(x.rlike(pattern), F.struct(F.lit(rule).alias("rule"), F.lit(side).alias("side"))).otherwise(out)
+    return out

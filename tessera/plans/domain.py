@@ -106,6 +106,38 @@ def cp18_what_if(spark, d):
     return done.groupBy("group").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean"), F.round(F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)), 6).alias("win_rate"))
 
 
+def _replayed(spark, d):
+    """Signals of the replay: momentum, minus a tenth for net selling, plus a bonus where three or more tickers of a brand signal on one day; none while the market lies under its ten-bar mean."""
+    b = bars(spark, d)
+    market = b.groupBy("day").agg(F.avg("close").alias("m"))
+    calm = market.withColumn("mean", F.avg("m").over(Window.orderBy("day").rowsBetween(-9, 0))).select("day", (F.col("m") >= F.col("mean")).alias("calm"))  # one row a day
+    flow = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("ticker"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("day")).agg(F.sum(F.expr("CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END")).alias("net"))
+    brand = load(spark, d, "part").select(F.col("p_partkey").alias("ticker"), "p_brand")
+    x = b.withColumn("rise", F.col("close") / F.lag("close", 2).over(by_day()) - 1).join(flow, ["ticker", "day"]).join(calm, "day").join(brand, "ticker", "left")
+    signal = F.when((F.col("rise") > 0) & F.col("calm"), F.col("rise") - F.when(F.col("net") < 0, 0.1).otherwise(0.0))
+    x = x.withColumn("raw", F.when(signal > 0, signal))
+    together = F.count("raw").over(Window.partitionBy("p_brand", "day"))
+    return x.select(F.lit("replay").alias("group_"), "day", "ticker", "close", F.when(F.col("raw").isNotNull(), F.round(F.col("raw") + F.when(together >= 3, 0.05).otherwise(0.0), 9)).alias("score"))
+
+
+@query()
+def cp19_replay(spark, d):
+    """Historical replay with net selling, cluster bonus, regime stop and costs."""
+    return ordered.simulate(_replayed(spark, d), "group_", 5, 100_000.0, 0.10, 0.15, 6, 0.001).withColumn("ret", F.round("ret", 6))
+
+
+@query()
+def cp45_proposal(spark, d):
+    """What a proposed strategy would have changed over the full range of signals: trades, mean return and win rate against the present one."""
+    s = _scenarios(spark, d)
+    run = lambda n, slots, target: ordered.simulate(s.where(f"scenario = '{n}'").withColumnRenamed("scenario", "group_"), "group_", slots, 100_000.0, 0.10, target, 6).where("reason <> 'data_end'")
+    both = run("base", 5, 0.15).unionByName(run("tight", 4, 0.25))
+    pick = lambda n, x: F.when(F.col("group") == n, x)
+    won = F.when(F.col("ret") > 0, 1.0).otherwise(0.0)
+    delta = lambda x: F.round(F.avg(pick("tight", x)) - F.avg(pick("base", x)), 6)
+    return both.agg((F.count(pick("tight", F.lit(1))) - F.count(pick("base", F.lit(1)))).alias("trades"), delta(F.col("ret")).alias("mean"), delta(won).alias("win_rate"))
+
+
 EVENT = f"""{BARS}, i AS (SELECT day, avg(open) AS o, avg(close) AS c FROM bars GROUP BY day), f AS (SELECT ticker, day, close / lag(close) OVER w - 1 AS ret, lead(open) OVER w AS eo, lead(close, 3) OVER w AS xc, lead(day) OVER w AS ed, lead(day, 3) OVER w AS xd FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY day)),
 e AS (SELECT f.ticker, f.day, (f.xc / f.eo - 1) - (x.c / a.o - 1) - 0.002 AS excess FROM f JOIN i a ON a.day = f.ed JOIN i x ON x.day = f.xd WHERE f.ret >= 0.1)"""
 
@@ -163,12 +195,6 @@ def cp25_go_live(spark, d):
     return a.selectExpr("stack(4, 'trades', n >= 100, 'days', days >= 90, 't', t >= 2, 'profit_factor', pf >= 1.3) as (criterion, met)")
 
 
-@query(f"""WITH {TRADES} SELECT trade_id, list_filter([CASE WHEN pnl / invested < -0.02 THEN 'big_loss' END, CASE WHEN date_diff('day', entry_day, exit_day) > 100 THEN 'held_long' END, CASE WHEN fills = 1 THEN 'single' END], lambda x: x IS NOT NULL) AS lessons FROM trades""")
-def cp26_lessons(spark, d):
-    tags = F.array(F.when(F.col("pnl") / F.col("invested") < -0.02, "big_loss"), F.when(F.date_diff("exit_day", "entry_day") > 100, "held_long"), F.when(F.col("fills") == 1, "single"))
-    return trades(spark, d).select("trade_id", F.array_compact(tags).alias("lessons"))
-
-
 @query("""WITH k AS (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
 d AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents), h AS (SELECT item_id, doc_id, count(*) AS c FROM k JOIN d USING (w) GROUP BY ALL), b AS (SELECT item_id, max(c) AS c FROM h GROUP BY 1)
 SELECT n.item_id, CASE WHEN coalesce(c, 0) / n.n >= 0.6 THEN 'validated' WHEN coalesce(c, 0) / n.n >= 0.3 THEN 'partial' ELSE 'open' END AS verdict FROM n LEFT JOIN b USING (item_id) WHERE false OR n.n >= 0""")

@@ -198,17 +198,6 @@ def cp24_benchmark(spark, d):
     return x.select("trade_id", F.round(F.col("ret") - (F.col("c2") / F.col("c1") - 1), 6).alias("excess"))
 
 
-@query(f"""WITH {TRADES} SELECT trade_id, CASE WHEN trade_id % 17 = 0 THEN 'broker_stop' WHEN trade_id % 13 = 0 THEN 'manual' WHEN pnl / invested <= -0.05 THEN 'hard' WHEN date_diff('day', entry_day, exit_day) > 100 THEN 'max_hold' WHEN fills = 1 THEN 'decay' ELSE 'hold' END AS exit FROM trades""")
-def cp41_exit_precedence(spark, d):
-    hard = F.expr("pnl / invested") <= -0.05
-    return trades(spark, d).select("trade_id", F.when(F.col("trade_id") % 17 == 0, "broker_stop").when(F.col("trade_id") % 13 == 0, "manual").when(hard, "hard").when(F.date_diff("exit_day", "entry_day") > 100, "max_hold").when(F.col("fills") == 1, "decay").otherwise("hold").alias("exit"))
-
-
-@query("SELECT item_id, regexp_replace(text, '([A-Z])', '\\1', 'g') = text AS same, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS refs FROM benchmark")
-def fn16_references(spark, d):
-    return load(spark, d, "benchmark").select("item_id", F.lit(True).alias("same"), F.size(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).cast("bigint").alias("refs"))
-
-
 @query("SELECT o_orderkey, (CAST(o_orderdate AS DATE) + 3) AS report, date_diff('day', DATE '1996-01-01', CAST(o_orderdate AS DATE)) BETWEEN 0 AND 30 AS near FROM orders WHERE isodow(o_orderdate) = 1")
 def fn24_windows(spark, d):
     day = F.to_date("o_orderdate")

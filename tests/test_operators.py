@@ -182,3 +182,33 @@ def test_every_nearest_neighbour_query_is_answered(spark, tmp_path, monkeypatch)
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     for name in ("sl5_knn", "sl6_older_knn", "ag48_metrics"):
         assert difference(spark, con, str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name]) is None, name
+
+
+def test_backtests_against_the_whole_walk(spark):
+    from tessera.plans import catalog, domain
+    from tests.test_oracles import SF
+
+    whole = lambda df, *args: ordered.walk((p := df.toPandas()).assign(end=p["day"].max()), "group_", *args)
+    show = lambda rows: sorted((r[1], r[2], r[3], r[4], round(r[5], 6)) for r in rows)
+    base = domain._scenarios(spark, SF).where("scenario = 'base'").withColumnRenamed("scenario", "group_")
+    assert show(catalog.queries()["cp16_backtest"](spark, SF).collect()) == show(whole(base, 5, 100_000.0, 0.10, 0.15, 6, 0.0).itertuples(index=False))
+    replay = domain._replayed(spark, SF)
+    assert show(catalog.queries()["cp19_replay"](spark, SF).collect()) == show(whole(replay, 5, 100_000.0, 0.10, 0.15, 6, 0.001).itertuples(index=False))
+
+
+def test_answer_markers_and_headlines(spark):
+    rows = ['see [story:7][story: 8 ] [story:x] [story:9', '[followup: "a?" | type: "deeper"] [followup: b] [followup: ""]', '[prediction: "up" | confidence: .9 | timeframe: "1y"] [prediction: "x"]', "## more\n1. [followup: z]\n- [story:1]\nend", None]
+    df = spark.createDataFrame([(r,) for r in rows], "a string")
+    got = df.select(text.story_references(F.col("a")), text.followups(F.col("a")), text.predictions(F.col("a")), text.without_markers(F.col("a"))).collect()
+    assert got[0][0] == [7, 8] and got[1][1] == ["deeper::a?", "b"] and [tuple(p) for p in got[2][2]] == [("up", 0.9, "1y")]
+    assert got[3][3] == "## more\nend" and got[4][0] is None
+    heads = spark.createDataFrame([("Bank Upgrades X to Buy",), ("X Prices 3M Share Offering",), ("X Prices Offering Of Notes",), (None,)], "h string")
+    assert [r[0] and tuple(r[0]) for r in heads.select(text.headline_rule(F.col("h"))).collect()] == [("upgrade", 1), ("equity_offering", -1), None, None]
+
+
+def test_vector_blobs(spark):
+    from tessera.functions import plugins
+
+    df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<float>")
+    rows = df.select(plugins.to_blob(F.col("v")).alias("b")).select("b", plugins.from_blob(F.col("b")).alias("v")).collect()
+    assert bytes(rows[0]["b"]).hex() == "0000c03f000000c0" and rows[0]["v"] == [1.5, -2.0] and rows[1]["v"] == [] and rows[2]["v"] is None
