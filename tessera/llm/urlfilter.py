@@ -9,12 +9,12 @@ Urls that no rule fits are judged by a template tree learnt from labelled urls:
    numbers, hexadecimal strings or dates become typed wildcards at once. At a node whose
    children vary (more than ``FEW`` of them, and on average fewer than ``REPEATS`` urls each)
    all literal children become one wildcard; the tree is walked level by level over the
-   counted shapes, not over the urls, down to ``DEPTH`` segments, below which
-   a path is one wildcard;
+   counted shapes, not over the urls; segments after the first ``DEPTH`` are one segment;
 2. every template counts the allowed and blocked urls below it; branches whose block rate
-   does not differ significantly (two-proportion z below ``Z``) from the rate of the same
-   template in all hosts of the domain are merged into that, and so on to all hosts;
-3. a template's purity is its smoothed share of blocked urls, with the wider template's purity
+   does not differ significantly (two-proportion z below ``Z``) are merged: a labelled template with its labelled
+   siblings (of the same host and parent), the templates of a host with the same template in all
+   hosts of the domain, and so on to all hosts;
+3. a template's purity is its smoothed share of blocked urls, with the wider branch's purity
    as prior of weight ``PRIOR``; a url is blocked if the purity exceeds ``REJECT``.
 
 Everything is an aggregate over (host, template) counts, so a host that holds a third of
@@ -85,7 +85,7 @@ def templates(urls: DataFrame) -> DataFrame:
     """
     t = urls.select("host", "shape", "n", F.array().cast("array<string>").alias("done"))
     deepest = urls.agg(F.max(F.size("shape"))).first()[0] or 0
-    for depth in range(min(DEPTH, deepest)):
+    for depth in range(deepest):
         # each level reads the one before from the shared folder, so the plan stays short
         t = materialize(t, "url-level") if depth else t
         here = F.get("shape", F.lit(depth))
@@ -103,12 +103,12 @@ def templates(urls: DataFrame) -> DataFrame:
             .when(F.col("varies").isNotNull() & ~here.startswith("{"), F.concat("done", F.array(F.lit("{*}"))))
             .otherwise(F.concat("done", F.array(here))),
         ).drop("varies")
-    whole = F.when(F.size("shape") > DEPTH, F.concat("done", F.array(F.lit("{**}")))).otherwise(F.col("done"))
-    return t.select("host", "shape", F.concat(F.lit("/"), F.array_join(whole, "/")).alias("template"))
+    parent = F.when(F.size("done") > 0, F.array_join(F.slice("done", F.lit(1), F.size("done") - 1), "/"))
+    return t.select("host", "shape", F.concat(F.lit("/"), F.array_join("done", "/")).alias("template"), parent.alias("parent"))
 
 
 def _pure(counts: DataFrame) -> DataFrame:
-    """host, template, purity from (host, template, allowed, blocked); unlabelled templates included."""
+    """host, template, purity from (host, template, parent, allowed, blocked); unlabelled templates included."""
     domain = F.substring_index("host", ".", -2)
     own = counts.withColumn("domain", domain)
     total = F.col("allowed") + F.col("blocked")
@@ -129,8 +129,11 @@ def _pure(counts: DataFrame) -> DataFrame:
     mid = mid.join(wide, "template").crossJoin(F.broadcast(overall))  # one row
     pg = smooth(F.col("gb"), F.col("gn"), F.col("p0"))
     mid = mid.withColumn("pg", pg).withColumn("pd", F.when(differs(F.col("db"), F.col("dn"), F.col("gb"), F.col("gn")), smooth(F.col("db"), F.col("dn"), F.col("pg"))).otherwise(F.col("pg")))
-    own = own.join(mid, ["domain", "template"])
-    purity = F.when(differs(F.col("blocked"), total, F.col("db"), F.col("dn")), smooth(F.col("blocked"), total, F.col("pd"))).otherwise(F.col("pd"))
+    near = own.groupBy("host", "parent").agg(F.sum("blocked").alias("sb"), F.sum(total).alias("sn"))
+    own = own.join(mid, ["domain", "template"]).join(near, own["host"].eqNullSafe(near["host"]) & own["parent"].eqNullSafe(near["parent"])).drop(near["host"], near["parent"])
+    # against the domain; then, of those that differ, a labelled branch against its siblings
+    alone = F.when(differs(F.col("blocked"), total, F.col("sb"), F.col("sn")), smooth(F.col("blocked"), total, F.col("pd"))).otherwise(smooth(F.col("sb"), F.col("sn"), F.col("pd")))
+    purity = F.when(differs(F.col("blocked"), total, F.col("db"), F.col("dn")), alone).otherwise(F.col("pd"))
     return own.select("host", "template", purity.alias("purity"))
 
 
@@ -142,6 +145,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     u = parse(pages.select("page_id", "url"))
     rule, decided = rule_for(F.col("host"), F.col("path"), rules)
     shape = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _typed)
+    rest = F.array_join(F.slice(shape, F.lit(DEPTH + 1), F.greatest(F.size(shape) - DEPTH, F.lit(0))), "/")
+    shape = F.when(F.size(shape) > DEPTH, F.concat(F.slice(shape, 1, DEPTH), F.array(rest))).otherwise(shape)
     u = u.withColumn("rule", rule).withColumn("decided", decided).withColumn("shape", shape)
     counts = u.groupBy("host", "shape").agg(
         F.count("*").alias("n"),
@@ -150,8 +155,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     counts = materialize(counts, "url-counts")
     named = materialize(templates(counts), "url-templates")
-    merged = counts.join(named, ["host", "shape"]).groupBy("host", "template").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
-    verdicts = named.join(_pure(merged), ["host", "template"])
+    merged = counts.join(named, ["host", "shape"]).groupBy("host", "template").agg(F.any_value("parent").alias("parent"), F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+    verdicts = named.select("host", "shape", "template").join(_pure(merged), ["host", "template"])
     verdict = F.coalesce("decided", F.when(F.col("purity") > REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return u.join(verdicts, ["host", "shape"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
