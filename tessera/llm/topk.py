@@ -11,9 +11,10 @@ so segment statistics bound every score from above. The bounds are computed from
 fine (``LEVELS`` segments); a candidate whose bound falls below the query's k-th best
 exact score so far is dropped. Exact integer scores are computed for the survivors.
 
-Queries are a stated set. They are dealt into blocks of about ``BLOCK`` by hashed id, and
-each block is broadcast on its own (its size has a fixed bound) and runs over all rows;
-every task keeps its k best for each query, and only those are shuffled.
+Queries are a stated set. A task is a pair of a block of ``BLOCK`` queries and a range of ``RANGE`` rows (about):
+both are dealt evenly, whatever their ids; a row goes to as many tasks as there are blocks, and a query to as many
+as there are ranges. Nothing passes through the driver but the two counts. Every task keeps its k best for
+each query, and only those are shuffled.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no
 part; a query meets the vectors of its own length; rows with equal ids are told apart except that a query never meets rows of its own id; ties go to the smaller
@@ -32,7 +33,8 @@ from pyspark.sql.window import Window
 
 K = 10
 SCALE = 1024
-BLOCK = 2048
+#: Queries and rows (about) of one task.
+BLOCK, RANGE = 4096, 200_000
 LEVELS = (2, 4, 8, 16)
 #: Candidates compared at once in a task.
 CHUNK = 2048
@@ -129,38 +131,53 @@ def _half_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def top_k(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    v = integers(vectors)
-    v = v.where(F.col("vec_id").isNotNull())
-    asked = v.where(F.col("vec_id") % every == 0)
-    sizes = {r["size"]: r["n"] for r in asked.groupBy(F.size("q").alias("size")).agg(F.count("*").alias("n")).collect()}
-    result = "query_id bigint, vec_id bigint, score bigint"
-    if not sizes:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    blocks = -(-sum(sizes.values()) // BLOCK)
-    v = v.where(F.size("q").isin(list(sizes)))
-    parts = []
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).distinct().collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(list(by_length(np.array([r["vec_id"] for r in rows], dtype=np.int64), pa.array([r["q"] for r in rows], pa.list_(pa.int64())))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = {size: Best(ids, matrix, k) for size, ids, matrix in shared.value}
-            for b in batches:
-                for at in range(0, b.num_rows, CHUNK):
-                    part = b.slice(at, CHUNK)
-                    for size, ids, matrix in by_length(part.column(0).to_numpy(zero_copy_only=False), part.column(1)):
-                        if size in best:
-                            best[size].add(ids, matrix)
-            found = [x for b in best.values() for x in b.found()]
-            columns = zip(*found, strict=True) if found else [[]] * 3
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-        parts.append(v.mapInArrow(run, result))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    v = integers(vectors).where(F.col("vec_id").isNotNull())
+    asked = v.where(F.col("vec_id") % every == 0).distinct()
+    rows, queries = v.count(), asked.count()
+    blocks = max(1, -(-queries // BLOCK))
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    ranges = max(1, -(-rows // RANGE), min(width, -(-rows // CHUNK)))
+    number = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)).cast("int")  # they are distinct, so they spread
+    dealt = asked.select(block.alias("block"), F.lit(0).alias("kind"), "vec_id", "q").withColumn("range", each(ranges))
+    dealt = dealt.unionByName(v.select(number(ranges).alias("range"), F.lit(1).alias("kind"), "vec_id", "q").withColumn("block", each(blocks)))
+    dealt = dealt.select((F.col("range") * blocks + F.col("block")).alias("task"), "kind", "vec_id", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[pa.Array, pa.Array]] = []  # queries, which come first; then rows
+        best: dict[int, Best] | None = None
+
+        def joined() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            ids, vectors = (pa.concat_arrays([w[i] for w in waiting]) for i in (0, 1))
+            waiting.clear()
+            return by_length(ids.to_numpy(zero_copy_only=False), vectors)
+
+        def compare() -> None:
+            for size, ids, matrix in joined():
+                if size in best:
+                    best[size].add(ids, matrix)
+
+        for b in batches:
+            first = int(np.searchsorted(b.column(1).to_numpy(zero_copy_only=False), 1))
+            if first:
+                waiting.append((b.column(2).slice(0, first), b.column(3).slice(0, first)))
+            if first == b.num_rows:
+                continue
+            if best is None:
+                best = {size: Best(ids, matrix, k) for size, ids, matrix in joined()} if waiting else {}
+            for at in range(first, b.num_rows, CHUNK):
+                waiting.append((b.column(2).slice(at, CHUNK), b.column(3).slice(at, CHUNK)))
+                if sum(len(w[0]) for w in waiting) >= CHUNK:
+                    compare()
+        if best and waiting:
+            compare()
+        found = [x for b in (best or {}).values() for x in b.found()]
+        columns = zip(*found, strict=True) if found else [[]] * 3
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    pairs = dealt.repartitionById(ranges * blocks, F.col("task")).sortWithinPartitions("kind")
+    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
