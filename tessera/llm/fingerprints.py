@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,9 @@ from tessera.llm.common import small_batches
 from tessera.llm.wordhash import mix, word_hashes, words
 
 EXACT, LANES = 4, 128
-#: Rows of one id range (about), and the most ranges; what the driver holds is one id for each range.
+#: Least rows of one id range (about). Ranges are as long as there are many, the root of all rows, so what the
+#: driver holds (one id for each) stays small beside the table; a range streams through its task.
 RANGE_ROWS = 5_000
-MOST_RANGES = 10_000
 
 
 class Fingerprint:
@@ -138,7 +139,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     count = d.count()
-    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS)))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // max(RANGE_ROWS, math.isqrt(count))))
     cuts = sorted(set(d.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if count and n > 1 else []
     splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     ranges = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep")
@@ -146,7 +147,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     def ranged(x: DataFrame) -> DataFrame:
         return ranges.transform(x.withColumn("_id", F.col("doc_id").cast("double"))).withColumn("_range", F.col("_range").cast("int")).drop("_id")
 
-    # the first id of each range: one row for each of at most MOST_RANGES + 1 ranges
+    # the first id of each range: one row for each range
     firsts = [(r["_range"], r["first"]) for r in ranged(d.select("doc_id")).groupBy("_range").agg(F.min("doc_id").alias("first")).orderBy("_range").collect()]
     follows = [(firsts[i][0], firsts[(i + 1) % len(firsts)][1]) for i in range(len(firsts))]
     guide = F.broadcast(spark.createDataFrame(follows, "_range int, first bigint"))
@@ -158,7 +159,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     )
     rows = ranged(d).select("_range", F.lit(0).alias("_guest"), "doc_id", "text").unionByName(guests)
     return (
-        rows.repartition(n, "_range")
+        rows.repartitionById(len(splits), F.col("_range"))
         .sortWithinPartitions("_range", "_guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
         .mapInArrow(_compare, RESULT)
     )
