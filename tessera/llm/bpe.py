@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import resident, small_batches
 
 #: Entries kept in a worker's table of words and in its pair table; each starts anew when full.
-WORD_CACHE = 400_000
+WORD_CACHE = 700_000
 PAIR_CACHE = 1_000_000
 #: Longer words are not kept.
 KEPT_CHARS = 64

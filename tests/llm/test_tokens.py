@@ -103,6 +103,33 @@ def test_packing(spark, theirs, which):
         assert at <= 4096
 
 
+def test_cut_checksums():
+    rng = random.Random(4)
+    for n in (33, 64, 100, 1000, 4095):
+        raw = np.array([rng.randrange(50_000) for _ in range(n)], dtype="<u4")
+        crc = lambda a, b, raw=raw: zlib.crc32(raw[a:b].tobytes())
+        marks = np.array([crc(0, at) for at in range(packing.STEP, n + 1, packing.STEP)], dtype="<u4")
+        piece = packing.Piece(1, 50, n, crc(0, n), n + 50, marks)
+        at = 0
+        for _ in range(4):
+            parts = piece.cut(rng.randrange(1, piece.length + 1))
+            if parts is None:
+                continue
+            first, piece = parts
+            assert first.start == 50 + at and first.crc == crc(at, at + first.length)
+            at += first.length
+            assert piece.start == 50 + at and piece.length == n - at and piece.crc == crc(at, n)
+
+
+def test_sequences_are_full(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    loads = defaultdict(int)
+    for r in packing.pack_documents(docs, PATH).collect():
+        loads[r["sequence_id"]] += r["length"]
+    assert max(loads.values()) <= 4096
+    assert sum(loads.values()) >= 0.99 * 4096 * len(loads)
+
+
 def test_empty_table(spark):
     assert bpe.round_trip_digests(table(spark, []), PATH).count() == 0
     assert packing.pack_documents(table(spark, []), PATH).count() == 0
