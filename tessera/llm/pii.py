@@ -176,7 +176,7 @@ def find_personal(docs: DataFrame, keep: list[str]) -> DataFrame:
     seen = kept_rows.where(F.size("seen") > 0).select("number", F.explode("seen").alias("o")).select("number", "o.start", "o.end", "o.seed", "o.before", "o.two", "o.after", "o.instance")
     linked = seen.select("number", "start", "end", "seed", F.md5("instance").alias("instance"), F.explode(patterns()).alias("pattern"))
     edges = materialize(linked.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    trusted, known = discover(edges, misses(texts, seen))
+    trusted, known = discover(edges, materialize(misses(texts, seen), "pii-misses"))
     added = (
         linked.where(~F.col("seed")).join(trusted, "pattern", "left_semi").join(known, "instance", "left_semi").select("number", "start", "end").distinct()
         .groupBy("number").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("spans"))
