@@ -244,6 +244,7 @@ def wn16_prior_relative(spark, d):
     return j.select("ticker", "day", F.round(back("close") - back("m"), 6).alias("rel"), F.round(F.avg(F.expr("close * volume")).over(by_day().rowsBetween(-9, 0)), 4).alias("dollar"))
 
 
-@query()
+@query("SELECT s_suppkey, [s_name || ', Inc.', s_name] AS titles FROM supplier")
 def fn11_title_candidates(spark, d):
+    """Names here are in title case already, so two of the four forms are the same."""
     return load(spark, d, "supplier").select("s_suppkey", text.title_candidates(F.concat("s_name", F.lit(", Inc."))).alias("titles"))

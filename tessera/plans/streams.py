@@ -5,14 +5,13 @@ Results lie in the folder that driver and executors share (spark.checkpoint.dir)
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import relational as R
 from tessera.plans.catalog import query
 from tessera.session import load
+from tessera.sources import scratch
 from tessera.streaming import streams
 
 
@@ -23,27 +22,33 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return scratch.folder(spark, "stream")
 
 
-WINDOWED = "SELECT event_type, CAST({0} AS TIMESTAMP) AS start, CAST({0} + INTERVAL 1 DAY AS TIMESTAMP) AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+# what the watermark (an hour behind the last event) has closed; the last windows stay open
+CLOSED = "m AS (SELECT max(ts) - INTERVAL 1 HOUR AS t FROM events)"
+COUNTS = "count(*) AS n, round(sum(value), 4) AS total"
 
 
-@query()
+@query(f"""WITH {CLOSED}, w AS (SELECT *, date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS "end" FROM events) SELECT event_type, start, "end", {COUNTS} FROM w, m WHERE "end" <= t GROUP BY event_type, start, "end" """)
 def st3_tumbling(spark, d):
     """Days that the watermark has closed (the last, open one is not emitted)."""
-    return streams.run_to_end(streams.tumbling(_events(spark, d), ["event_type"]), _folder(spark))
+    return _plain(streams.run_to_end(streams.tumbling(_events(spark, d), ["event_type"]), _folder(spark)))
 
 
-@query()
+@query(f"""WITH {CLOSED}, w AS (SELECT *, date_trunc('day', ts)::TIMESTAMP - to_days(k::INTEGER) AS start FROM events, range(0, 7) r(k)) SELECT event_type, start, start + INTERVAL 7 DAY AS "end", {COUNTS} FROM w, m WHERE start + INTERVAL 7 DAY <= t GROUP BY event_type, start, "end" """)
 def st2_sliding(spark, d):
-    return streams.run_to_end(streams.sliding(_events(spark, d), ["event_type"]), _folder(spark))
+    return _plain(streams.run_to_end(streams.sliding(_events(spark, d), ["event_type"]), _folder(spark)))
 
 
-@query()
+@query(f"""WITH {CLOSED}, g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+x AS (SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP + INTERVAL 6 HOUR AS "end", {COUNTS} FROM s GROUP BY user_id, k) SELECT x.* FROM x, m WHERE "end" <= t""")
 def st4_sessions(spark, d):
-    return streams.run_to_end(streams.sessions(_events(spark, d), ["user_id"], "6 hours"), _folder(spark))
+    return _plain(streams.run_to_end(streams.sessions(_events(spark, d), ["user_id"], "6 hours"), _folder(spark)))
+
+
+def _plain(df):
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -53,26 +58,30 @@ def st6_dedup(spark, d):
     return streams.run_to_end(streams.first_seen(e, ["user_id", "event_type", "day"]).select("user_id", "event_type"), _folder(spark)).distinct()
 
 
-def _last(spark, d, stream, mode="complete"):
+def _last(spark, d, stream, keys: list[str], mode="complete"):
+    """The state after the last batch: of a complete sink its last batch, of an update sink the last row of each key."""
     path = _folder(spark)
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     streams.run_batches(stream, mode, keep, f"{path}-checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{path}/*")
+    rows = spark.read.parquet(f"{path}/v*")
+    if mode == "complete":
+        return rows.where(F.col("epoch") == rows.agg(F.max("epoch")).first()[0]).drop("epoch")
+    return R.latest(rows, keys, [F.desc("epoch")]).drop("epoch")
 
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
 def st7_running_totals(spark, d):
-    return _last(spark, d, streams.running_totals(_events(spark, d), ["user_id"]))
+    return _last(spark, d, streams.running_totals(_events(spark, d), ["user_id"]), ["user_id"])
 
 
 @query("SELECT user_id, max(value) AS high, round(max(value) * 0.9, 6) AS stop FROM events GROUP BY user_id")
 def st8_high_water(spark, d):
-    return _last(spark, d, streams.high_water(_events(spark, d)), "update")
+    return _last(spark, d, streams.high_water(_events(spark, d)), ["user_id"], "update")
 
 
 @query("SELECT user_id, arg_max(value, event_id) AS last, max(ts) AS at FROM events GROUP BY user_id")
 def st13_last_price(spark, d):
-    return _last(spark, d, streams.last_price(_events(spark, d), "user_id", "value")).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return _last(spark, d, streams.last_price(_events(spark, d), "user_id", "value"), ["user_id"]).withColumn("at", F.col("at").cast("timestamp_ntz"))

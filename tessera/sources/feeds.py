@@ -6,12 +6,17 @@ a feed that fails is a row in the failure report, not a failed run.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources import scratch
+
 #: The record that all connectors normalise to.
 ARTICLE = T.StructType(
     [
@@ -114,22 +119,62 @@ def attention(views: DataFrame, as_of: Column, least: float = 10.0, delta: float
     return x.where(F.col("base") > least).withColumn("delta", (F.col("recent") - F.col("base")) * 100 / F.col("base")).where(F.abs("delta") >= delta)
 
 
-def collect(feeds: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(articles of all feeds, failures): each feed is probed alone, a broken one is dropped and reported."""
+def collect(feeds: dict[str, Callable[[], DataFrame]], spark: SparkSession, seconds: float = 600, at_once: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(articles of all feeds, failures): feeds are read whole, several at a time, each within so many seconds.
+
+    What a feed gives is written to the scratch folder, so a bad record anywhere in it is found here; a feed
+    that fails or takes too long is dropped and reported, and its jobs are cancelled.
+    """
+    sc = spark.sparkContext
+
+    def one(name: str) -> DataFrame:
+        sc.addJobTag(tag(name))
+        return scratch.written(spark.createDataFrame([], ARTICLE).unionByName(feeds[name](), allowMissingColumns=True), "feed")
+
+    run = uuid.uuid4().hex
+    tag = lambda name: f"{run}-{hashlib.md5(name.encode()).hexdigest()}"
     good, bad = [], []
-    for name, read in feeds.items():
+    pool = ThreadPoolExecutor(max(1, min(at_once, len(feeds))))
+    waiting = {name: pool.submit(one, name) for name in feeds}
+    for name, future in waiting.items():
         try:
-            df = read()
-            df.limit(1).collect()
-            good.append(df)
+            good.append(future.result(timeout=seconds))
         except Exception as e:  # any feed may fail in any way; the report names it
+            sc.cancelJobsWithTag(tag(name))
+            future.cancel()
             bad.append((name, f"{type(e).__name__}: {str(e)[:200]}"))
+    pool.shutdown(wait=False, cancel_futures=True)
     out = spark.createDataFrame([], ARTICLE)
     for df in good:
-        out = out.unionByName(df, allowMissingColumns=True)
+        out = out.unionByName(df)
     return out, spark.createDataFrame(bad, "feed string, error string")
 
 
+def research(entries: DataFrame, since: Column) -> DataFrame:
+    """The last version of every paper updated on or after ``since``; entries: paper_id, version, updated, title."""
+    new = entries.where(F.col("updated") >= since)
+    return new.groupBy("paper_id").agg(F.max_by(F.struct("version", "updated", "title"), "version").alias("x")).select("paper_id", "x.*")
+
+
+def records(raw: DataFrame, kind: str, title: Column, day: Column, metadata: list[str]) -> DataFrame:
+    """Awards, contributions, lobbying or rules as articles: the listed columns become financial_metadata, with their kind."""
+    return article(raw, title=title, published_at=day, source_name=F.lit(kind), source_type=F.lit("financial"), financial_metadata=F.to_json(F.struct(F.lit(kind).alias("kind"), *metadata)))
+
+
+def patents(spark: SparkSession, path: str) -> DataFrame:
+    """Patents as {"patents": [...]}, one row for each assignee."""
+    schema = "patents array<struct<patent_id:string,patent_title:string,patent_date:string,assignees:array<struct<assignee_organization:string>>>>"
+    p = spark.read.schema(schema).json(path).select(F.inline("patents"))
+    return p.select("patent_id", "patent_title", F.try_to_date("patent_date").alias("day"), F.explode("assignees.assignee_organization").alias("assignee"))
+
+
+def batched(names: DataFrame, col: str, most: int) -> DataFrame:
+    """Names with the number of the request that asks for them, ``most`` names to a request. A watch list: small."""
+    from pyspark.sql.window import Window
+
+    return names.select(col).distinct().withColumn("request", F.floor((F.row_number().over(Window.orderBy(col)) - 1) / most))
+
+
 def page_windows(fetch: Callable[[str, str], list], start: str, end: str, cap: int) -> list:
     """Rows of [start, end] from a paged service: a window that reaches the row cap is halved. Driver side, for small calendars."""
     from datetime import date, timedelta

@@ -30,6 +30,25 @@ def liquid_panel(df: DataFrame, least: float = 1e7, days: int = 20) -> DataFrame
     return dollar.withColumn("m", F.max("d").over(Window.partitionBy("sym"))).where(F.col("m") >= least).drop("d", "m")
 
 
+def wide(df: DataFrame, symbols: list[str], value: str = "c") -> DataFrame:
+    """One column for each of a short list of symbols, one row a date."""
+    return df.where(F.col("sym").isin(symbols)).groupBy("date").pivot("sym", symbols).agg(F.max(value))
+
+
+def preload(df: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Bars of the listed tickers, the high standing in for itself or the close: a join, where single statements would need chunks of ids."""
+    return by_ids(df, tickers, "sym").withColumn("h", F.coalesce("h", "c")).withColumn("l", F.coalesce("l", "c"))
+
+
+def insider_features(trades: DataFrame) -> DataFrame:
+    """Per symbol and filing day: net dollars bought, number of buyers, of officers among them, largest ownership change, mean lag."""
+    buy = F.col("code") == "P"
+    return trades.where(F.col("code").isin("P", "S")).groupBy("sym", "filed").agg(
+        F.sum(F.when(buy, F.col("usd")).otherwise(-F.col("usd"))).alias("net_usd"), F.count_distinct(F.when(buy, F.col("owner"))).alias("buyers"),
+        F.count_distinct(F.when(buy & F.col("is_officer"), F.col("owner"))).alias("officers"), F.max(F.when(buy, F.col("own_chg"))).alias("own_chg"), F.avg("lag_days").alias("lag"),
+    )
+
+
 def insider_trades(spark: SparkSession, folder: str) -> DataFrame:
     """Three tab-separated tables of ownership forms, joined on the accession number, with ownership change and filing lag."""
     read = lambda n, schema: spark.read.option("sep", "\t").option("header", True).schema(schema).csv(f"{folder}/{n}")
