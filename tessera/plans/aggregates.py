@@ -368,11 +368,11 @@ def ag56_cube(spark, d):
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users, true AS users_close, true AS median_close FROM events GROUP BY 1")
 def ag57_approximate(spark, d):
-    """Approximate counterparts (sketches) and whether they keep their error bounds: three deviations of a count, and one in a thousand ranks of a median."""
+    """Approximate counterparts (sketches) and whether they keep their error bounds: three deviations of a count, and two in a thousand ranks of a median."""
     e = load(spark, d, "events")
     a = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("near"), F.percentile_approx("value", 0.5, 1000).alias("median"), F.count_distinct("user_id").alias("users"), F.count("*").alias("n"))  # one row a type
     ranks = e.join(F.broadcast(a.select("event_type", "median")), "event_type").groupBy("event_type").agg(F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto"))
-    slack = F.greatest(F.col("n") / 1000, F.lit(1.0))
+    slack = F.col("n") / 500 + 1
     close = (F.col("below") <= F.col("n") / 2 + slack) & (F.col("upto") >= F.col("n") / 2 - slack)
     return a.join(ranks, "event_type").select("event_type", "users", (F.abs(F.col("near") - F.col("users")) <= F.greatest(0.06 * F.col("users"), F.lit(1.0))).alias("users_close"), close.alias("median_close"))
 
