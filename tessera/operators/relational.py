@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources import scratch
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in the given order."""
@@ -88,3 +90,24 @@ def upper_median(df: DataFrame, keys: list[str], value: str, order: list[Column]
     w = Window.partitionBy(*keys)
     ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
     return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("median"))
+
+
+def dense_index(df: DataFrame, order: str, name: str = "i") -> DataFrame:
+    """Adds the rows' numbers from 1 in the order of a unique column, without sorting the table in one task.
+
+    Rows are dealt into ranges and written once; a range's first number follows from the counts of those before it,
+    one number for each range.
+    """
+    parts = scratch.written(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())
+    first = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
+    starts = df.sparkSession.createDataFrame(first, "_part int, _first bigint")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.withColumn("_n", inside).join(F.broadcast(starts), "_part").withColumn(name, F.col("_n") + F.col("_first")).drop("_part", "_n", "_first")
+
+
+def coprime_powers(n: int, count: int, base: int = 2654435761) -> list[int]:
+    """Powers of a prime modulo n, for shuffles i -> (i * power + k) mod n; the prime does not divide n."""
+    while n % base == 0:
+        base = {2654435761: 4294967291, 4294967291: 1000003}[base]  # all three together exceed 64 bits
+    return [pow(base, k, n) for k in range(1, count + 1)]

@@ -286,19 +286,19 @@ def cp43_gap(spark, d):
     return load(spark, d, "orders").join(f, "o_orderkey", "left").select("o_orderkey", (F.abs(F.coalesce("got", F.lit(0.0)) - F.col("o_totalprice")) <= 0.5 * F.col("o_totalprice")).alias("explained"))
 
 
-LCG = "(x * 1103515245 + 12345) % 2147483648"
-
-
-@query(f"""WITH {TRADES}, t AS (SELECT trade_id, pnl / invested AS ret, (trade_id % 13) / 12.0 AS score FROM trades), n AS (SELECT *, row_number() OVER (ORDER BY trade_id) AS i FROM t),
-p AS (SELECT k, n.i, row_number() OVER (PARTITION BY k ORDER BY ((n.i * 2654435761 + k * 40503) % 1000003), n.i) AS j FROM n, range(1, 101) r(k)), s AS (SELECT k, sum(a.score * b.ret) AS v FROM p JOIN n a ON a.i = p.i JOIN n b ON b.i = p.j GROUP BY k), r AS (SELECT sum(score * ret) AS v FROM n)
+@query(f"""WITH RECURSIVE {TRADES}, n AS (SELECT pnl / invested AS ret, (trade_id % 13) / 12.0 AS score, row_number() OVER (ORDER BY trade_id) AS i FROM trades), z AS (SELECT count(*) AS n FROM n),
+pw AS (SELECT 1 AS k, 2654435761::HUGEINT % n AS a, n FROM z UNION ALL SELECT k + 1, a * 2654435761 % n, n FROM pw WHERE k < 100),
+p AS (SELECT k, i, score, ((i - 1) * a + k) % n + 1 AS j FROM n, pw), s AS (SELECT k, sum(p.score * b.ret) AS v FROM p JOIN n b ON b.i = p.j GROUP BY k), r AS (SELECT sum(score * ret) AS v FROM n)
 SELECT round((SELECT v FROM r), 6) AS real, count_if(s.v >= (SELECT v FROM r)) AS above, round(avg(CASE WHEN s.v >= (SELECT v FROM r) THEN 1.0 ELSE 0 END), 6) AS p FROM s""")
 def ag50_permutation(spark, d):
-    """Permutation test with an arithmetic shuffle: the pairing of each replicate is a sort by a hashed key."""
+    """Permutation test with an arithmetic shuffle: replicate k pairs the score of row i with the return of row (i * P^k + k) mod n."""
     t = trades(spark, d).select("trade_id", F.expr("pnl / invested").alias("ret"), (F.col("trade_id") % 13 / 12.0).alias("score"))
-    n = t.withColumn("i", F.row_number().over(Window.orderBy("trade_id"))).drop("trade_id")  # a stated sample of trades
-    rep = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100))))
-    p = rep.withColumn("j", F.row_number().over(Window.partitionBy("k").orderBy((F.col("i") * F.lit(2654435761) + F.col("k") * 40503) % 1000003, "i")))
-    s = p.select("k", "score", "j").join(n.select(F.col("i").alias("j"), F.col("ret").alias("other")), "j").groupBy("k").agg(F.sum(F.col("score") * F.col("other")).alias("v"))
+    n = R.dense_index(t, "trade_id").select(F.col("i").cast("decimal(20,0)").alias("i"), "ret", "score")
+    count = n.count()
+    powers = F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lit(a).cast("decimal(18,0)").alias("a")) for k, a in enumerate(R.coprime_powers(max(count, 1), 100))])
+    rep = n.withColumn("x", F.explode(powers))
+    p = rep.select("x.k", "score", (((F.col("i") - 1) * F.col("x.a") + F.col("x.k")) % count + 1).cast("decimal(20,0)").alias("j"))
+    s = p.join(n.select(F.col("i").alias("j"), "ret"), "j").groupBy("k").agg(F.sum(F.col("score") * F.col("ret")).alias("v"))
     real = n.agg(F.sum(F.col("score") * F.col("ret")).alias("r"))
     return s.crossJoin(F.broadcast(real)).agg(F.round(F.first("r"), 6).alias("real"), F.count_if(F.col("v") >= F.col("r")).alias("above"), F.round(F.avg(F.when(F.col("v") >= F.col("r"), 1.0).otherwise(0.0)), 6).alias("p"))
 

@@ -212,3 +212,14 @@ def test_vector_blobs(spark):
     df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<float>")
     rows = df.select(plugins.to_blob(F.col("v")).alias("b")).select("b", plugins.from_blob(F.col("b")).alias("v")).collect()
     assert bytes(rows[0]["b"]).hex() == "0000c03f000000c0" and rows[0]["v"] == [1.5, -2.0] and rows[1]["v"] == [] and rows[2]["v"] is None
+
+
+def test_dense_index_and_shuffles(spark):
+    import math
+
+    df = spark.range(0, 5000, 7).withColumn("v", F.col("id") * 2)
+    rows = R.dense_index(df, "id").orderBy("id").collect()
+    assert [r["i"] for r in rows] == list(range(1, len(rows) + 1)) and rows[0].asDict().keys() == {"id", "v", "i"}
+    assert R.dense_index(df.where("id < 0"), "id").count() == 0
+    for n in (1, 2, 10, 2654435761, 2 * 2654435761):
+        assert all(math.gcd(a, n) == 1 or n == 1 for a in R.coprime_powers(n, 5))
