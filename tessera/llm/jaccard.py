@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import freed, materialize, small_batches
 from tessera.llm.wordhash import run_hashes, word_hashes, words
 
 HEAVY = 1 << 19
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield report(held)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, size bigint, key bigint, token bigint, count bigint, parts array<int>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(freed(run), "doc_id bigint, size bigint, key bigint, token bigint, count bigint, parts array<int>")
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -159,7 +159,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.
             cols = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out]
             yield pa.record_batch(cols, names=["token", "key", "size", "matches"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "token bigint, key bigint, size bigint, matches bigint")
+    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(freed(run), "token bigint, key bigint, size bigint, matches bigint")
 
 
 def _buckets(prefix_rows: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _buckets(prefix_rows: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(r, pa.int64()) for r in last], names=names)
 
     width = int(prefix_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return prefix_rows.repartition(width, "token").sortWithinPartitions("token", "key").mapInArrow(run, "token bigint, key bigint, size bigint, matches bigint")
+    return prefix_rows.repartition(width, "token").sortWithinPartitions("token", "key").mapInArrow(freed(run), "token bigint, key bigint, size bigint, matches bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -203,7 +203,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             sets = [shingles(t.as_py(), n) for t in b.column(0)]
             yield pa.record_batch([pa.array([digest(s) for s in sets], pa.int64()), pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))], names=["key", "set"])
 
-    found = few.mapInArrow(run, "key bigint, set array<bigint>").join(wanted.select("key"), "key", "left_semi")
+    found = few.mapInArrow(freed(run), "key bigint, set array<bigint>").join(wanted.select("key"), "key", "left_semi")
     return found.groupBy("key").agg(F.any_value("set").alias("set"))
 
 
@@ -268,7 +268,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         out = flush()
         yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(freed(run), "a bigint, b bigint")
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:

@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize, small_batches
+from tessera.llm.common import discard, freed, materialize, small_batches
 from tessera.llm.wordhash import mix, run_hashes, word_hashes, words
 
 WINDOW, PHRASE = 20, 8
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 #: Values of one character in the automata.
 BASE = 64
 LAST = (1 << 63) - 1
@@ -114,7 +114,7 @@ def _phrases(docs: DataFrame, bits: int) -> DataFrame:
             h, d, n = ((np.concatenate([o[i] for o in out]) if out else np.zeros(0, dtype=k)) for i, k in enumerate((np.uint64, np.int64, bool)))
             yield pa.record_batch([_signed(h), pa.array(d, pa.int64()), pa.array(n, pa.bool_())], names=["phrase", "row", "twice"])
 
-    return docs.mapInArrow(run, "phrase bigint, row bigint, twice boolean")
+    return docs.mapInArrow(freed(run), "phrase bigint, row bigint, twice boolean")
 
 
 def _spelled(rows: DataFrame, bits: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _spelled(rows: DataFrame, bits: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["phrase", "words", "twice"])
 
-    return rows.mapInArrow(run, "phrase bigint, words binary, twice boolean")
+    return rows.mapInArrow(freed(run), "phrase bigint, words binary, twice boolean")
 
 
 def locate(texts: list[Text], phrases: set[bytes]) -> list[np.ndarray]:
@@ -217,7 +217,7 @@ def _located(rows: DataFrame, bits: int) -> DataFrame:
         if shard:
             yield flush()
 
-    return rows.mapInArrow(run, LOCATED)
+    return rows.mapInArrow(freed(run), LOCATED)
 
 
 def _flagged(packed: bytes, n: int) -> np.ndarray:
@@ -238,7 +238,7 @@ def _windows(located: DataFrame, key: str) -> DataFrame:
             a, b, own = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, dtype=k) for i, k in enumerate((np.uint64, np.uint64, np.int64)))
             yield pa.record_batch([_signed(a), _signed(b), pa.array(own, pa.int64())], names=["a", "b", key])
 
-    return located.select(key, "text", "flags").mapInArrow(run, f"a bigint, b bigint, {key} bigint")
+    return located.select(key, "text", "flags").mapInArrow(freed(run), f"a bigint, b bigint, {key} bigint")
 
 
 def _resolved(rows: DataFrame, whole_text: bool) -> DataFrame:
@@ -266,7 +266,7 @@ def _resolved(rows: DataFrame, whole_text: bool) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return rows.mapInArrow(run, "row bigint, doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(freed(run), "row bigint, doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
 def _recurs(rows: DataFrame, *keys: str) -> DataFrame:
