@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, jaccard, langid, packing, phrases, pii, secretscan, topk, urlfilter
+from tessera.llm import bpe, decontam, fingerprints, jaccard, langid, manifest, packing, phrases, pii, resample, secretscan, topk, urlfilter
 from tessera.llm.common import documents
 
 
@@ -66,6 +66,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(documents(spark, sf_dir))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a window of a benchmark item."""
+    return decontam.benchmark(spark, sf_dir)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the words of the benchmark."""
+    return resample.benchmark_like(spark, sf_dir)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, every row checked by its proof."""
+    return manifest.checked(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -78,8 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard": op8_jaccard,
         "op9_langid": op9_langid,
         "op10_fingerprints": op10_fingerprints,
+        "op11_decontamination": op11_decontamination,
+        "op12_resampling": op12_resampling,
+        "op13_manifest": op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.ORACLE}
+    return {"op6_topk": topk.ORACLE, "op11_decontamination": decontam.ORACLE, "op12_resampling": resample.ORACLE, "op13_manifest": manifest.ORACLE}
