@@ -95,3 +95,19 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("story_id"), F.col("lang").alias("sector"), F.col("source").alias("source_name"), F.col("text").alias("summary"), "n_chars",
         F.expr("date_add(DATE'2024-01-01', cast(doc_id % 60 as int))").alias("day"), F.expr("1 + (doc_id * 7) % 10").alias("importance"),
     )
+
+
+ARTICLES = r"""articles AS (
+  SELECT doc_id, coalesce(string_split(text, '.')[1], '') AS headline, coalesce(text, '') AS summary, coalesce(string_split(text, chr(10))[-1], '') AS key_facts,
+         coalesce(string_split(text, '.')[2], '') AS why_it_matters, coalesce(source, '') AS context_prefix
+  FROM documents WHERE doc_id IS NOT NULL)"""
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as stories with the fields of a search: first and second sentence, whole text, last line, source."""
+    sentences, lines = F.split("text", r"\."), F.split("text", "\n")
+    return load(spark, sf_dir, "documents").where("doc_id is not null").select(
+        "doc_id", *[F.coalesce(c, F.lit("")).alias(n) for n, c in {
+            "headline": F.get(sentences, F.lit(0)), "summary": F.col("text"), "key_facts": F.get(lines, F.size(lines) - 1), "why_it_matters": F.get(sentences, F.lit(1)), "context_prefix": F.col("source"),
+        }.items()],
+    )
