@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators import ordered
+from tessera.operators import entries, ordered
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
 from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
@@ -237,12 +237,74 @@ def cp32_decision(spark, d):
     return t.select("trade_id", F.expr(DECIDE).alias("decision"))
 
 
-@query("""SELECT o_orderkey, coalesce(CASE WHEN c_acctbal < 0 THEN 'insider_selling' END, CASE WHEN c_mktsegment IS NULL THEN 'universe' END, CASE WHEN o_totalprice < 5000 THEN 'too_thin' END, CASE WHEN c_acctbal < o_totalprice / 100 THEN 'no_cash' END, 'ok') AS reason FROM orders JOIN customer ON o_custkey = c_custkey""")
+#: Orders stand for candidates and accounts for runs; bars are monthly, so the spans in bars are short.
+ENTRY = entries.Rules(volume=20_000.0, volume_bars=4, atr=0.25, atr_bars=5)
+
+CANDIDATES = f"""{TRADES}, {BARS}, br AS (SELECT ticker, day, close, CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr, close * volume AS dollars, row_number() OVER w AS k FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY day)),
+bf AS (SELECT ticker, day, close AS last, CASE WHEN k >= {ENTRY.volume_bars} THEN avg(dollars) OVER (PARTITION BY ticker ORDER BY day ROWS {ENTRY.volume_bars - 1} PRECEDING) END AS adv,
+  CASE WHEN k > {ENTRY.atr_bars} THEN avg(tr) OVER (PARTITION BY ticker ORDER BY day ROWS {ENTRY.atr_bars - 1} PRECEDING) / nullif(close, 0) END AS atr_pct FROM br),
+ix AS (SELECT day, avg(close) AS c FROM bars GROUP BY day), rg AS (SELECT day, CASE WHEN c < avg(c) OVER (ORDER BY day ROWS 2 PRECEDING) THEN 0.5 ELSE 1.0 END AS regime FROM ix),
+hd AS (SELECT o_custkey AS account, l_partkey AS ticker, CAST(o_orderdate AS DATE) AS day, sum(l_extendedprice) AS held FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+hs AS (SELECT account, ticker, day, sum(held) OVER (PARTITION BY account, ticker ORDER BY day) AS held FROM hd),
+cd AS (SELECT t.trade_id, t.account, t.entry_day AS day, t.ticker, o_totalprice / 300000.0 AS score, o_orderpriority = '1-URGENT' AS short, (p_size - 4) * 400000.0 AS insider_usd, p_brand <> 'Brand#7' AS eligible,
+  CAST(date_trunc('quarter', t.entry_day) AS DATE) + CAST(t.ticker % 91 AS INTEGER) AS report, bf.last, bf.adv, bf.atr_pct, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE coalesce(regime, 1.0) END AS unit,
+  coalesce(hs.held, 0) AS holding, status = 'P' AND o_orderpriority = '4-NOT SPECIFIED' AS open_order, c_mktsegment <> 'BUILDING' AS can_short, p_size % 3 <> 0 AS easy, p_type AS industry,
+  20000 + 10 * greatest(c_acctbal, 0) AS equity, 3 * c_acctbal AS cash, CAST(33 + t.account % 8 AS INTEGER) AS n_open, (20000 + 10 * greatest(c_acctbal, 0)) * 0.01 * (t.account % 11) AS open_risk, (20000 + 10 * greatest(c_acctbal, 0)) * 0.07 * (t.account % 5) AS held
+  FROM trades t JOIN orders ON o_orderkey = t.trade_id JOIN customer ON c_custkey = t.account JOIN part ON p_partkey = t.ticker LEFT JOIN rg ON rg.day = date_trunc('month', t.entry_day)
+  ASOF LEFT JOIN bf ON bf.ticker = t.ticker AND date_trunc('month', t.entry_day) > bf.day ASOF LEFT JOIN hs ON hs.account = t.account AND hs.ticker = t.ticker AND t.entry_day > hs.day)"""
+
+
+def _candidates(spark, d):
+    """Every order as a candidate on its day, with the last full month's bars, the account's book and what it held of the ticker before."""
+    b = bars(spark, d)
+    features = entries.bar_features(b, ENTRY)
+    months = Window.partitionBy(F.year("day") * 0).orderBy("day").rowsBetween(-2, 0)  # the index has one row for each month at any scale
+    index = b.groupBy("day").agg(F.avg("close").alias("c"))
+    regime = index.select(F.col("day").alias("month"), F.when(F.col("c") < F.avg("c").over(months), 0.5).otherwise(1.0).alias("regime"))
+    o, l = load(spark, d, "orders"), load(spark, d, "lineitem")  # noqa: E741
+    lines = l.join(o, l["l_orderkey"] == o["o_orderkey"]).groupBy(F.col("o_custkey").alias("account"), F.col("l_partkey").alias("ticker"), F.to_date("o_orderdate").alias("day")).agg(F.sum("l_extendedprice").alias("held"))
+    pair = F.concat_ws(":", "account", "ticker")
+    holdings = lines.select(pair.alias("pair"), "day", F.sum("held").over(Window.partitionBy("account", "ticker").orderBy("day")).alias("holding"))
+    t = trades(spark, d).select("trade_id", "account", F.col("entry_day").alias("day"), "ticker", "status", F.trunc("entry_day", "month").alias("month"))
+    t = t.join(o.select(F.col("o_orderkey").alias("trade_id"), "o_totalprice", "o_orderpriority"), "trade_id")
+    t = t.join(load(spark, d, "customer").select(F.col("c_custkey").alias("account"), "c_acctbal", "c_mktsegment"), "account")
+    t = t.join(load(spark, d, "part").select(F.col("p_partkey").alias("ticker"), "p_size", "p_brand", F.col("p_type").alias("industry")), "ticker").join(F.broadcast(regime), "month", "left")
+    # the last fact before the day: as of the day before
+    t = R.as_of(t.withColumn("_at", F.date_sub("month", 1)), features, "ticker", "_at", "day", ["last", "adv", "atr_pct"], prefix="")
+    t = R.as_of(t.drop("at").withColumn("pair", pair).withColumn("_at", F.date_sub("day", 1)), holdings, "pair", "_at", "day", ["holding"], prefix="")
+    equity = 20000 + 10 * F.greatest("c_acctbal", F.lit(0.0))
+    short = F.col("o_orderpriority") == "1-URGENT"
+    return t.select(
+        "trade_id", "account", "day", "ticker", (F.col("o_totalprice") / 300000.0).alias("score"), short.alias("short"), ((F.col("p_size") - 4) * 400000.0).alias("insider_usd"), (F.col("p_brand") != "Brand#7").alias("eligible"),
+        F.date_add(F.to_date(F.date_trunc("quarter", "day")), (F.col("ticker") % 91).cast("int")).alias("report"), "last", "adv", "atr_pct", F.when(short, 1.0).otherwise(F.coalesce("regime", F.lit(1.0))).alias("unit"),
+        F.coalesce("holding", F.lit(0.0)).alias("holding"), ((F.col("status") == "P") & (F.col("o_orderpriority") == "4-NOT SPECIFIED")).alias("open_order"), (F.col("c_mktsegment") != "BUILDING").alias("can_short"),
+        (F.col("p_size") % 3 != 0).alias("easy"), "industry", equity.alias("equity"), (3 * F.col("c_acctbal")).alias("cash"), (33 + F.col("account") % 8).cast("int").alias("n_open"),
+        (equity * 0.01 * (F.col("account") % 11)).alias("open_risk"), (equity * 0.07 * (F.col("account") % 5)).alias("held"),
+    )
+
+
+_TIER = "CASE WHEN score > 0.6 THEN 8.0 WHEN score > 0.45 THEN 5.0 ELSE 2.0 END"
+_BLACKOUT = f"report >= day AND len(list_filter(range(1, greatest(date_diff('day', day, report), 0) + 1), lambda k: isodow(day + k::INTEGER) < 6)) <= {ENTRY.blackout_days}"
+
+
+# the run is a recursion over the ranks of all accounts at once; its state is the book, with the list of what was bought by industry
+@query(f"""WITH RECURSIVE {CANDIDATES}, sz AS (SELECT *, least(greatest(equity * {_TIER} / 100, {ENTRY.floor}), {ENTRY.order_cap}, cash) AS sized, least(greatest({ENTRY.stop_atr} * atr_pct, {ENTRY.least_stop}), {ENTRY.most_stop}) AS stop, row_number() OVER (PARTITION BY account ORDER BY score DESC, trade_id) AS rank FROM cd),
+nt AS (SELECT *, CASE WHEN cash >= {ENTRY.floor} AND sized >= {ENTRY.floor} THEN sized * unit END AS notional FROM sz),
+gt AS (SELECT *, CASE WHEN NOT short AND insider_usd < {ENTRY.insider_veto} THEN 'insider_selling' WHEN NOT eligible THEN 'universe' END AS early,
+  CASE WHEN {_BLACKOUT} THEN 'earnings' WHEN last IS NULL THEN 'no_bars' WHEN adv IS NULL OR adv < {ENTRY.volume} OR last < {ENTRY.price} THEN 'too_thin' WHEN atr_pct IS NULL THEN 'new_listing' WHEN atr_pct < {ENTRY.atr} THEN 'too_calm'
+    WHEN notional IS NULL THEN 'no_cash' WHEN holding > 0 THEN 'untracked_holding' WHEN least(notional, greatest(equity * {ENTRY.ticker_cap} - holding, 0)) < {ENTRY.floor} THEN 'ticker_cap' END AS late FROM nt),
+rn AS (SELECT account, 0 AS rank, any_value(n_open) AS n_open, any_value(cash)::DOUBLE AS cash, any_value(open_risk)::DOUBLE AS risk, false AS stopped, []::STRUCT(i VARCHAR, v DOUBLE)[] AS bought, NULL::BIGINT AS trade_id, NULL::VARCHAR AS reason, 0::BIGINT AS shares, 0::DOUBLE AS dollars FROM cd GROUP BY account
+UNION ALL SELECT account, rank, CASE WHEN reason = 'ok' THEN n_open + 1 ELSE n_open END, CASE WHEN reason = 'ok' THEN cash - want ELSE cash END, CASE WHEN reason = 'ok' THEN risk + want * stop ELSE risk END, stopped OR reason = 'max_positions',
+  CASE WHEN reason = 'ok' THEN list_append(bought, {{'i': industry, 'v': cost}}) ELSE bought END, trade_id, reason, CASE WHEN reason = 'ok' THEN qty ELSE 0 END, CASE WHEN reason = 'ok' THEN cost ELSE 0 END
+  FROM (SELECT *, CASE WHEN stopped THEN 'max_positions' WHEN early IS NOT NULL THEN early WHEN n_open >= {ENTRY.positions} THEN 'max_positions' WHEN late IS NOT NULL THEN late WHEN want < {ENTRY.floor} THEN 'no_risk_room' WHEN open_order THEN 'open_order'
+      WHEN last < {ENTRY.price} OR qty = 0 THEN 'price' WHEN short AND NOT (can_short AND easy) THEN 'not_shortable' WHEN held + coalesce(list_sum(list_transform(list_filter(bought, lambda x: x.i = industry), lambda x: x.v)), 0) + cost > equity * {ENTRY.sector} THEN 'sector_full' ELSE 'ok' END AS reason
+    FROM (SELECT *, floor(want / last)::BIGINT AS qty, floor(want / last) * last AS cost FROM (SELECT rn.account, gt.rank, rn.n_open, rn.cash, rn.risk, rn.stopped, rn.bought, gt.trade_id, early, late, stop, last, open_order, short, can_short, easy, industry, gt.held, equity,
+      least(least(equity * {ENTRY.risk} * unit, greatest(equity * {ENTRY.heat} - greatest(rn.risk, 0), 0)) / stop, equity * {ENTRY.ticker_cap}, greatest(rn.cash, 0)) AS want FROM rn JOIN gt ON gt.account = rn.account AND gt.rank = rn.rank + 1))))
+SELECT trade_id, account, reason, shares, round(dollars, 4) AS dollars FROM rn WHERE rank > 0""")
 def cp33_gates(spark, d):
-    """The first failing gate in a fixed order names the reason."""
-    c = load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment")
-    gates = [(F.col("c_acctbal") < 0, "insider_selling"), (F.col("c_mktsegment").isNull(), "universe"), (F.col("o_totalprice") < 5000, "too_thin"), (F.col("c_acctbal") < F.col("o_totalprice") / 100, "no_cash")]
-    return load(spark, d, "orders").join(c, "o_custkey").select("o_orderkey", F.coalesce(*[F.when(x, n) for x, n in gates], F.lit("ok")).alias("reason"))
+    """The first failing gate names the reason; positions, risk, cash and exposure by industry run on within an account."""
+    c = _candidates(spark, d).withColumn("down", -F.col("score"))
+    return entries.admit(c, "account", ["down", "trade_id"], ENTRY).select("trade_id", "account", "reason", "shares", F.round("dollars", 4).alias("dollars"))
 
 
 @query("SELECT l_orderkey AS trade, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice * (1 - l_discount) END), 4) AS realised, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS open_qty FROM lineitem GROUP BY 1")
