@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
 from tessera.session import load
-from tessera.sources import feeds, scratch, tables
+from tessera.sources import buckets, feeds, scratch, tables
 
 
 #: Rows of one page as a service would give it.
@@ -214,12 +214,17 @@ def sc32_snapshot(spark, d):
     return spark.read.schema(n.schema).json(path)
 
 
-@query("SELECT l_suppkey, l_linenumber, sum(l_quantity) AS qty, max(l_orderkey) AS last FROM lineitem GROUP BY ALL")
+# three batches in turn: a key's price is that of the last row of the last batch that has it, its first return date the first that any batch told
+@query("""WITH r AS (SELECT *, (l_orderkey % 3) * 1000000000000 + l_orderkey AS told FROM lineitem)
+SELECT l_suppkey, l_linenumber, count(*) AS fills, sum(l_quantity) AS qty, arg_max(l_extendedprice, struct_pack(a := told, b := l_partkey, c := l_extendedprice)) AS price, arg_min(l_shipdate, struct_pack(a := told, b := l_partkey, c := l_extendedprice)) FILTER (l_returnflag = 'R') AS returned FROM r GROUP BY ALL""")
 def sc29_upsert(spark, d):
-    """Two batches merged: quantities add up, the last order overwrites."""
+    """Three batches of orders merged into a bucketed table, the second one run twice: prices overwrite, counts and quantities add up, dates only fill nulls."""
+    path = scratch.folder(spark, "upserts")
+    merge = buckets.Merge(["l_suppkey", "l_linenumber"], overwrite=["price"], add=["fills", "qty"], fill=["returned"])
+    order = F.struct("l_orderkey", "l_partkey", "price")
     l = load(spark, d, "lineitem")  # noqa: E741
-    part = lambda odd: l.where(F.col("l_orderkey") % 2 == odd).groupBy("l_suppkey", "l_linenumber").agg(F.sum("l_quantity").alias("qty"), F.max("l_orderkey").alias("last"))
-    w = Window.partitionBy("l_suppkey", "l_linenumber")
-    merged = R.upsert(part(0), part(1).withColumn("last", F.col("last")), ["l_suppkey", "l_linenumber"], add=["qty"], overwrite=["last"])
-    newest = l.select("l_suppkey", "l_linenumber", F.max("l_orderkey").over(w).alias("last")).distinct()
-    return merged.drop("last").join(newest, ["l_suppkey", "l_linenumber"])
+    rows = l.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.lit(1).cast("bigint").alias("fills"), F.col("l_quantity").alias("qty"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("returned"))
+    for epoch in (0, 1, 1, 2):
+        buckets.apply(rows.where(F.col("l_orderkey") % 3 == epoch), path, epoch, merge, order)
+    columns = ["l_suppkey", "l_linenumber", "price", "fills", "qty", "returned"]
+    return buckets.read(spark, path, 2, rows.select(*columns).schema)
