@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -50,6 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Folders written by ``materialize`` in this process and not deleted yet.
 written: list[str] = []
+_gathering: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("gathering", default=None)
+
+
+@contextlib.contextmanager
+def gathered() -> Iterator[list[str]]:
+    """The folders that ``materialize`` writes inside the block, in this thread alone: what the block's owner may delete."""
+    mine: list[str] = []
+    token = _gathering.set(mine)
+    try:
+        yield mine
+    finally:
+        _gathering.reset(token)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -62,6 +75,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written.append(path)
+    if (mine := _gathering.get()) is not None:
+        mine.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._folder = path
     return table

@@ -63,3 +63,48 @@ def test_run_deletes_what_it_wrote(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 11  # the ten odd ones are copies of each other
     left = [x for x in common.written if x not in before]
     assert sorted(x.rpartition("/")[2].split("-")[0] for x in left) == ["pieces", "stage"]  # the last stage's own
+
+
+def test_run_leaves_other_queries_alone(spark, tmp_path):
+    """A query made before, in a shared folder whose path looks like a stage's, and one that runs beside in another thread."""
+    import threading
+
+    from tessera.llm import common, jaccard
+
+    docs = table(spark, [(i, f"{i} some words and more words {PASSAGE if i % 2 else i}") for i in range(20)], extra=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sc = spark.sparkContext
+    shared = common.shared_dir(spark)
+    sc.setCheckpointDir(f"{tmp_path}/stage-area/ck")
+    try:
+        earlier, beside, failed = jaccard.join(docs, 5, 80), [], []
+
+        def others():
+            try:
+                beside.extend(jaccard.join(docs, 5, 80).collect() for _ in range(3))
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+        thread = threading.Thread(target=others)
+        thread.start()
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 11
+        thread.join()
+        assert not failed and [len(x) for x in beside] == [20] * 3
+        assert earlier.count() == 20
+    finally:
+        sc._jsc.sc().setCheckpointDir(shared)
+
+
+def test_gathered_is_of_one_thread(spark):
+    import threading
+
+    from tessera.llm import common
+
+    with common.gathered() as outer:
+        a = common.materialize(spark.range(1), "a")
+        with common.gathered() as inner:
+            b = common.materialize(spark.range(1), "b")
+        thread = threading.Thread(target=lambda: common.materialize(spark.range(1), "c"))
+        thread.start()
+        thread.join()
+    assert outer == [a._folder] and inner == [b._folder]
