@@ -66,10 +66,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages on documents. What lies between two stages is written to the shared folder, and deleted when it has been read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []  # what this run wrote and still reads
     for name, stage in STAGES:
-        used = list(common.written)
-        out = stage(spark, docs, sf_dir)
-        if name == STAGES[-1][0]:
-            return out
-        docs = common.materialize(out, f"stage-{name}")
-        common.delete([x for x in common.written if x != docs._folder and (x not in used or "/stage-" in x)])
+        with common.gathered() as own:
+            out = stage(spark, docs, sf_dir)
+            if name == STAGES[-1][0]:
+                return out
+            docs = common.materialize(out, f"stage-{name}")
+        common.delete([*before, *[x for x in own if x != docs._folder]])
+        before = [docs._folder]
