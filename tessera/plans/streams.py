@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
 from tessera.session import load
-from tessera.sources import scratch
+from tessera.sources import scratch, ticks
 from tessera.streaming import streams
 
 
@@ -85,3 +85,71 @@ def st8_high_water(spark, d):
 @query("SELECT user_id, arg_max(value, event_id) AS last, max(ts) AS at FROM events GROUP BY user_id")
 def st13_last_price(spark, d):
     return _last(spark, d, streams.last_price(_events(spark, d), "user_id", "value"), ["user_id"]).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+# prints of a user's events; a page has a thousand events, a frame those of one second; some messages of other kinds are between them
+@query("SELECT user_id % 4 AS feed, event_id // 1000 AS page, 'S' || user_id AS symbol, value AS price, (event_id % 7)::DOUBLE AS size, date_trunc('milliseconds', ts) AS ts FROM events WHERE event_type <> 'error'")
+def sc21_ticks(spark, d):
+    """The events as a paged service of four feeds, read in two runs of one stream: the second goes on where the first ended."""
+    path = scratch.folder(spark, "ticks")
+    e = load(spark, d, "events").withColumn("page", F.floor(F.col("event_id") / 1000)).withColumn("feed", F.col("user_id") % 4)
+    told = F.struct(F.when(F.col("event_type") == "error", "q").otherwise("t").alias("T"), F.concat(F.lit("S"), "user_id").alias("S"), F.col("value").alias("p"), (F.col("event_id") % 7).cast("double").alias("s"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("t"))
+    frames = e.groupBy("feed", "page", F.date_trunc("second", "ts").alias("at")).agg(F.to_json(F.collect_list(told)).alias("value"))
+    half = e.agg(F.floor(F.max("page") / 2)).first()[0] or 0
+    spark.dataSource.register(ticks.TickSource)
+    source, out = f"{path}/service", f"{path}/out"
+    found = None
+    for part in (F.col("page") <= half, F.col("page") > half):
+        # a feed's pages have no gaps: a page without events of a feed has an empty frame
+        every = e.where(part).select("page").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("feed"), "page", F.lit("[]").alias("value"))
+        frames.where(part).select("feed", "page", "value").unionByName(every).write.mode("append").partitionBy("feed", "page").text(source)
+        stream = spark.readStream.format("tessera_ticks").option("path", source).load()
+        found = streams.run_to_end(stream, out, checkpoint=f"{path}/checkpoint")
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+#: A reading counts as good above this value, and for so many hours; ticks are hours, rows may be an hour late.
+GOOD, VALID = 20.0, 12
+
+# every fiftieth event of the first third comes with the last third, too late for the ticks that are closed by then
+ARRIVALS = f"""a AS (SELECT *, CASE WHEN event_id % 50 = 7 AND day(ts) <= 10 THEN 3 ELSE least((day(ts) - 1) // 10 + 1, 3) END AS part FROM events),
+wm AS (SELECT p AS part, max(ts) - INTERVAL 1 HOUR AS t FROM a JOIN range(1, 5) r(p) ON a.part < p GROUP BY p),
+k AS (SELECT user_id, a.part, ts, event_id, value, date_trunc('hour', ts) + INTERVAL 1 HOUR AS tick FROM a LEFT JOIN wm USING (part) WHERE wm.t IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > wm.t),
+tk AS (SELECT user_id, tick::TIMESTAMP AS tick, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM k, (SELECT t FROM wm WHERE part = 4) WHERE tick <= t GROUP BY ALL)"""
+
+
+def _arrivals(spark, d, run):
+    """Run a stream over the events in three parts that arrive one after another; each run starts again from the checkpoint."""
+    path = _folder(spark)
+    e = load(spark, d, "events")
+    day = F.dayofmonth("ts")
+    part = F.when((F.col("event_id") % 50 == 7) & (day <= 10), 3).otherwise(F.least(F.floor((day - 1) / 10) + 1, F.lit(3)))
+    out = None
+    for n in (1, 2, 3):
+        e.where(part == n).write.mode("append").parquet(f"{path}/in")
+        stream = streams.stamped(spark.readStream.schema(e.schema).parquet(f"{path}/in"))
+        out = streams.run_to_end(run(stream), f"{path}/out", checkpoint=f"{path}/checkpoint")
+    return out
+
+
+@query(f"""WITH {ARRIVALS}, o AS (SELECT *, value > {GOOD} AS good, lag(value) OVER w > {GOOD} AND tick <= lag(tick) OVER w + INTERVAL {VALID} HOUR AS was, lead(tick) OVER w AS next FROM tk WINDOW w AS (PARTITION BY user_id ORDER BY tick))
+SELECT user_id, tick AS at, 'entered' AS kind FROM o WHERE good AND NOT coalesce(was, false) UNION ALL SELECT user_id, tick, 'fell' FROM o WHERE NOT good AND was
+UNION ALL SELECT user_id, tick + INTERVAL {VALID} HOUR, 'expired' FROM o, (SELECT t FROM wm WHERE part = 4) WHERE good AND (next > tick + INTERVAL {VALID} HOUR OR (next IS NULL AND tick + INTERVAL {VALID} HOUR <= t))""")
+def st9_newly_entered(spark, d):
+    """Users whose latest reading of an hour is good when it was not before, and how they leave: by a bad reading or by its age."""
+    with streams.rocksdb(spark):
+        return _arrivals(spark, d, lambda e: streams.entered(streams.ticks(e, "user_id", "value"), "user_id", GOOD, VALID)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+SLOTS, EVERY = 4, 300
+
+
+@query(f"""WITH s AS (SELECT *, ts - to_seconds(user_id % {SLOTS} * {EVERY}) AS shifted FROM events), m AS (SELECT max(shifted) - INTERVAL 1 HOUR AS t FROM s),
+g AS (SELECT *, make_timestamp((epoch_us(shifted) // 1000000 // {SLOTS * EVERY} + 1) * {SLOTS * EVERY} * 1000000) AS due FROM s)
+SELECT user_id, due + to_seconds(user_id % {SLOTS} * {EVERY}) AS polled_at, count(*) AS n, arg_max(value, struct_pack(a := ts, b := event_id)) AS latest FROM g, m WHERE due <= t GROUP BY user_id, due""")
+def st11_sharded_polling(spark, d):
+    """What each poll of a user finds: every five minutes a quarter of the users is polled, in turn."""
+    e = load(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parque[t]")
+    out = streams.run_to_end(streams.polled(stream, "user_id", "value", SLOTS, EVERY), _folder(spark))
+    return out.withColumn("polled_at", F.col("polled_at").cast("timestamp_ntz"))
