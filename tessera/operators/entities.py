@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import both_ways, latest
+from tessera.sources import scratch
 
 #: Legal suffixes that do not distinguish names.
 SUFFIXES = r"\s+(inc|corp|corporation|co|ltd|llc|plc|sa|ag|group|holdings)\.?$"
@@ -71,6 +72,72 @@ def canonicalise(mentions: DataFrame, block: str = "block") -> DataFrame:
     return rows.groupBy(block).applyInPandas(assign, "mention_id bigint, canonical bigint")
 
 
+def _keys(rows: DataFrame) -> DataFrame:
+    """(m, k, owner) of every mention: its identifier, its ticker, its name, and every run of whole words inside its name.
+
+    Two mentions are alike if one owns a key that the other has: both own equal identifiers, tickers and names; of a
+    name that stands inside another one, the shorter is the owner. Inner runs of fewer than three letters are no keys.
+    """
+    words = F.split("bare", " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " "))))
+    inner = F.filter(F.array_distinct(runs), lambda r: (F.length(r) >= 3) & (r != F.col("bare")))
+    key = lambda kind, value, owner: F.struct(F.concat(F.lit(kind), value).alias("k"), F.lit(owner).alias("owner"))
+    own = [key("c:", F.col("cik"), True), key("t:", F.col("ticker"), True), key("n:", F.col("bare"), True)]
+    every = F.concat(F.array(*own), F.transform(inner, lambda r: key("n:", r, False)))
+    return rows.select("m", F.explode(every).alias("x")).select("m", "x.k", "x.owner").where("k is not null")
+
+
+def _firsts(rows: DataFrame, owner: str, other: str) -> DataFrame:
+    """By key the first mention that owns it and the first that has it."""
+    return rows.groupBy("k").agg(F.min(F.when(F.col("owner"), F.col("m"))).alias(owner), F.min("m").alias(other))
+
+
+def _earlier(owner: str, other: str) -> Column:
+    """The first mention like this one that comes before it, from one key's firsts: owners for all, all for owners."""
+    first = F.least(F.col(owner), F.when(F.col("owner"), F.col(other)))
+    return F.when(first < F.col("m"), first)
+
+
+def canonicals(mentions: DataFrame) -> DataFrame:
+    """(mention_id, canonical): the record that each mention belongs to, as if they were settled one after another by mention_id.
+
+    mentions: mention_id (unique, not null), cik, ticker, name; empty identifiers count as none. A mention joins the first record with its
+    cik, else with its ticker, else the first whose name (without legal suffixes) equals, contains or is contained in its own in whole
+    words; if there is none it becomes a record, with its own name, cik and ticker. Names of fewer than two letters join nothing: canonical is null.
+
+    Records are those mentions that no earlier record is like. They are found in rounds, all at once: a mention with an earlier record like
+    it is none; one without any earlier open mention like it is a record; the rest waits. Pairs are never formed: a key's first
+    open mention and first record (two numbers each, aggregated before the shuffle) tell all that have the key. Each round settles
+    at least the first open mention of every group, in practice nearly all: the number of rounds is the longest chain of waiting.
+    """
+    some = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    rows = mentions.select(F.col("mention_id").alias("m"), some("cik").alias("cik"), some("ticker").alias("ticker"), bare(F.col("name")).alias("bare"))
+    named = rows.where(F.length("bare") >= 2)
+    keys = scratch.written(_keys(named), "mention-keys")
+    shared = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    keys = scratch.written(keys.join(shared, "k", "left_semi"), "mention-keys")  # keys of one mention decide nothing
+    open_keys, records = keys, None
+    while not open_keys.isEmpty():
+        seen = open_keys.join(_firsts(open_keys, "open_owner", "open_any"), "k")
+        if records is not None:
+            seen = seen.join(records, "k", "left")
+        else:
+            seen = seen.withColumn("rec_owner", F.lit(None).cast("bigint")).withColumn("rec_any", F.lit(None).cast("bigint"))
+        told = seen.groupBy("m").agg(F.min(_earlier("rec_owner", "rec_any")).alias("record"), F.min(_earlier("open_owner", "open_any")).alias("waits"))
+        told = scratch.written(told, "mention-round")
+        new = _firsts(open_keys.join(told.where("record is null and waits is null").select("m"), "m", "left_semi"), "rec_owner", "rec_any")
+        known = new if records is None else records.unionByName(new).groupBy("k").agg(F.min("rec_owner").alias("rec_owner"), F.min("rec_any").alias("rec_any"))
+        records = scratch.written(known, "mention-records")
+        open_keys = scratch.written(open_keys.join(told.where("record is null and waits is not null").select("m"), "m", "left_semi"), "mention-keys")
+    out = rows.select(F.col("m").alias("mention_id"), F.when(F.length("bare") >= 2, F.col("m")).alias("itself"))
+    if records is None:
+        return out.select("mention_id", F.col("itself").alias("canonical"))
+    met = keys.join(records, "k").withColumn("record", _earlier("rec_owner", "rec_any"))
+    by = [F.min(F.when(F.col("k").startswith(kind), F.col("record"))) for kind in ("c:", "t:", "n:")]
+    found = met.groupBy("m").agg(F.coalesce(*by).alias("record"))
+    return out.join(found, out["mention_id"] == found["m"], "left").select("mention_id", F.coalesce("record", "itself").alias("canonical"))
+
+
 def expand(words: DataFrame, aliases: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, word, found): up to ``most`` other names of each word, both ways, lower-cased on both sides."""
     pairs = both_ways(aliases.select(F.lower("name").alias("name"), F.lower("alias").alias("alias")), "name", "alias").distinct()

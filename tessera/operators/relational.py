@@ -78,6 +78,42 @@ def both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col(a).alias("node"), F.col(b).alias("other"), *rest).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"), *rest))
 
 
+def other_end(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, other, ...): for each end of an undirected edge the end across it; an edge from a node to itself counts once.
+
+    What a join on CASE WHEN a = node THEN b ELSE a END gives, as a union of both directions.
+    """
+    rest = [c for c in edges.columns if c not in (a, b)]
+    back = edges.where(~F.col(a).eqNullSafe(F.col(b))).select(F.col(b).alias("node"), F.col(a).alias("other"), *rest)
+    return edges.select(F.col(a).alias("node"), F.col(b).alias("other"), *rest).unionByName(back).where("node is not null")
+
+
+def linked(rows: DataFrame, stories: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """rows with the lowest id of the stories with the same keys, null if there is none. Null keys link nothing."""
+    lowest = stories.groupBy(*keys).agg(F.min(id_).alias(id_))
+    return rows.join(lowest, keys, "left")
+
+
+#: Minutes after midnight until which a trade is of the open, and of the close.
+MIDDAY, CLOSING = 12 * 60 + 45, 16 * 60
+
+
+def at_session(trades: DataFrame, sessions: DataFrame, key: str, when: str) -> DataFrame:
+    """trades with ``price``: of the session on that day the open before MIDDAY, the close before CLOSING, else the next session's open.
+
+    sessions: key, day, open, close, one row for each day of trade. They become a calendar of times from which a price holds (a session's
+    close from its midday, the next one's open from its closing), so an as-of lookup answers all cases: a weekend or a holiday lies between a closing
+    and the next midday. After the last closing the price is null. Times are the market's.
+    """
+    w = Window.partitionBy(key).orderBy("day")
+    start = F.col("day").cast("timestamp_ntz")
+    at = lambda minutes: start + F.make_dt_interval(mins=F.lit(minutes))
+    first = F.when(F.row_number().over(w) == 1, F.struct(F.lit("0001-01-01").cast("timestamp_ntz").alias("at"), F.col("open").alias("price")))
+    steps = F.array(first, F.struct(at(MIDDAY).alias("at"), F.col("close").alias("price")), F.struct(at(CLOSING).alias("at"), F.lead("open").over(w).alias("price")))
+    calendar = sessions.select(key, F.array_compact(steps).alias("steps")).select(key, F.explode("steps").alias("step")).select(key, F.col("step.at").alias("_from"), "step.price")
+    return as_of(trades, calendar, key, when, "_from", ["price"], prefix="").drop("at")
+
+
 def cap(df: DataFrame, caps: list[tuple[list[str], int]], order: list[Column], total: int | None = None) -> DataFrame:
     """Rows in rank order with at most so many of each key, one cap after another, then overall."""
     for keys, n in caps:

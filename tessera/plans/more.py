@@ -31,19 +31,34 @@ def pf21_metadata_text(spark, d):
     return load(spark, d, "events").select("event_id", F.concat_ws(" | ", F.concat(F.lit("Event "), "event_type"), F.concat(F.lit("user "), F.col("user_id").cast("string")), F.concat(F.lit("k="), k)).alias("body"))
 
 
-@query("SELECT a.l_orderkey AS trade, b.l_suppkey AS other FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b USING (l_partkey)")
-def jn13_other_end(spark, d):
-    l = load(spark, d, "lineitem")  # noqa: E741
-    a = l.select(F.col("l_orderkey").alias("trade"), "l_partkey").distinct()
-    return a.join(l.select("l_partkey", F.col("l_suppkey").alias("other")).distinct(), "l_partkey").select("trade", "other")
+LINKS = "links AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
 
 
-@query(f"""WITH {BARS}, s AS (SELECT ticker, day, lag(day) OVER (PARTITION BY ticker ORDER BY day) AS before, close, open FROM bars)
-SELECT ticker, day, round(CASE WHEN month(day) % 3 = 0 THEN open WHEN month(day) % 3 = 1 THEN close ELSE lead(open) OVER (PARTITION BY ticker ORDER BY day) END, 6) AS fill FROM s""")
+@query(f"WITH {LINKS} SELECT p.p_partkey AS part, s.p_partkey AS other, s.p_name AS other_name, s.p_type AS other_type FROM part p JOIN links l ON l.a = p.p_partkey OR l.b = p.p_partkey JOIN part s ON s.p_partkey = CASE WHEN l.a = p.p_partkey THEN l.b ELSE l.a END")
+def jn13_other_end(spark, d):
+    """Parts are linked that follow each other in an order: the other end of every link of every part, whichever end the part is."""
+    l, p = load(spark, d, "lineitem"), load(spark, d, "part")  # noqa: E741
+    first = l.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
+    then = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    links = first.join(then, ["l_orderkey", "l_linenumber"]).select("a", "b").distinct()
+    ends = R.other_end(links, "a", "b").withColumnsRenamed({"node": "part"})
+    named = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), F.col("p_type").alias("other_type"))
+    return ends.join(p.select(F.col("p_partkey").alias("part")), "part", "left_semi").join(named, "other").select("part", "other", "other_name", "other_type")
+
+
+# the rule as it reads: the first session on or after the day; another day: its open; else by the minute
+@query("""WITH b AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS day, arg_min(value, event_id) AS open, arg_max(value, event_id) AS close FROM events WHERE isodow(ts) < 6 GROUP BY ALL),
+s AS (SELECT *, lead(open) OVER (PARTITION BY ticker ORDER BY day) AS next_open FROM b),
+t AS (SELECT event_id, user_id AS ticker, CAST(ts AS DATE) AS day, CASE WHEN event_id % 10 <> 3 THEN hour(ts) * 60 + minute(ts) END AS minutes FROM events WHERE event_type <> 'view')
+SELECT event_id, round(CASE WHEN s.day > t.day OR minutes IS NULL OR minutes < 765 THEN s.open WHEN minutes < 960 THEN s.close ELSE s.next_open END, 6) AS price FROM t ASOF LEFT JOIN s ON s.ticker = t.ticker AND s.day >= t.day""")
 def jn17_intraday_rule(spark, d):
-    """Open before noon, close before the end of the session, else the next open (the month stands for the time of day)."""
-    m = F.month("day") % 3
-    return bars(spark, d).select("ticker", "day", F.round(F.when(m == 0, F.col("open")).when(m == 1, F.col("close")).otherwise(F.lead("open").over(by_day())), 6).alias("fill"))
+    """Each trade at its ticker's price of that time: the open until 12:45, the close until 16:00, then the next session's open, also over weekends. Trades of a day without a time are of its open."""
+    e = load(spark, d, "events")
+    day = F.to_date("ts")
+    sessions = e.where(F.weekday("ts") < 5).groupBy(F.col("user_id").alias("ticker"), day.alias("day")).agg(F.min_by("value", "event_id").alias("open"), F.max_by("value", "event_id").alias("close"))
+    when = F.when(F.col("event_id") % 10 != 3, F.col("ts")).otherwise(day.cast("timestamp_ntz"))
+    t = e.where("event_type <> 'view'").select("event_id", F.col("user_id").alias("ticker"), when.alias("when"))
+    return R.at_session(t, sessions, "ticker", "when").select("event_id", F.round("price", 6).alias("price"))
 
 
 @query(f"""WITH {BARS}, c AS (SELECT ticker, day, CASE WHEN month(day) % 4 = 0 THEN NULL ELSE close END AS close FROM bars) SELECT ticker, day, round(coalesce(close, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY day), 100.0), 6) AS mark FROM c""")
@@ -83,10 +98,24 @@ def jn27_tiered(spark, d):
     return entities.tiered_match(names, s.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("entity")))
 
 
-@query()
+# one mention after another; the records so far are a list
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+n AS (SELECT doc_id AS m, CASE WHEN doc_id % 7 = 0 THEN 'C' || len(ws) % 40 END AS cik, CASE WHEN doc_id % 5 = 0 THEN 'T' || doc_id % 35 END AS ticker,
+  trim(regexp_replace(array_to_string(ws[1:(1 + doc_id % 3)], ' '), '\s+(inc|corp|corporation|co|company|ltd|llc|plc|sa|ag|group|holdings)\.?$', '')) AS name FROM w),
+o AS (SELECT *, row_number() OVER (ORDER BY m) AS i FROM n WHERE length(name) >= 2),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS m, NULL::BIGINT AS canonical, []::STRUCT(id BIGINT, cik VARCHAR, ticker VARCHAR, name VARCHAR)[] AS records
+UNION ALL SELECT i, m, coalesce(hit, m), CASE WHEN hit IS NULL THEN list_append(records, {'id': m, 'cik': cik, 'ticker': ticker, 'name': name}) ELSE records END
+  FROM (SELECT o.i, o.m, o.cik, o.ticker, o.name, records, coalesce(list_filter(records, lambda c: c.cik = o.cik)[1].id, list_filter(records, lambda c: c.ticker = o.ticker)[1].id,
+    list_filter(records, lambda c: c.name = o.name OR (length(o.name) >= 3 AND contains(' ' || c.name || ' ', ' ' || o.name || ' ')) OR (length(c.name) >= 3 AND contains(' ' || o.name || ' ', ' ' || c.name || ' ')))[1].id) AS hit FROM r JOIN o ON o.i = r.i + 1))
+SELECT n.m AS mention_id, canonical FROM n LEFT JOIN r USING (m)""".replace("company|", ""))
 def jn28_canonical(spark, d):
-    m = load(spark, d, "supplier").select(F.col("s_suppkey").alias("mention_id"), F.lit(None).cast("string").alias("cik"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("T"), (F.col("s_suppkey") % 7).cast("string"))).alias("ticker"), F.col("s_name").alias("name"), (F.col("s_nationkey")).alias("block"))
-    return entities.canonicalise(m)
+    """The first words of every document as a name, some with a ticker or a company number, settled in the order of their ids."""
+    ws = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    i = F.col("doc_id")
+    m = load(spark, d, "documents").withColumn("ws", F.coalesce(ws, F.array().cast("array<string>"))).select(
+        i.alias("mention_id"), F.when(i % 7 == 0, F.concat(F.lit("C"), (F.size("ws") % 40).cast("string"))).alias("cik"), F.when(i % 5 == 0, F.concat(F.lit("T"), (i % 35).cast("string"))).alias("ticker"),
+        F.array_join(F.slice("ws", F.lit(1), (1 + i % 3).cast("int")), " ").alias("name"))
+    return entities.canonicals(m)
 
 
 @query("""WITH a AS (SELECT lower(n_name) AS name, lower(r_name) AS alias FROM nation JOIN region ON n_regionkey = r_regionkey), p AS (SELECT name AS w, alias AS f FROM a UNION SELECT alias, name FROM a)
@@ -118,10 +147,16 @@ def jn36_latest_composite(spark, d):
     return R.latest(load(spark, d, "orders"), ["o_custkey", "o_orderpriority"], [F.desc("o_orderkey")]).select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("newest"))
 
 
-@query(f"WITH {TRADES} SELECT trade_id, pnl IS NOT NULL AS linked FROM trades")
+# the pool is all pages; stories are those with an extension, a slash or nothing behind their number, news those in English
+@query(r"""WITH p AS (SELECT page_id, page_id % 20 AS briefing, sha256(string_split(lower(regexp_replace(trim(regexp_replace(regexp_replace(url, '^https?://(www\.|m\.|blog\.)?', ''), '/[0-9]+.*$', '')), '/+$', '')), '?')[1]) AS url_hash, url FROM pages),
+s AS (SELECT page_id AS story_id, briefing, url_hash, CASE WHEN contains(url, '/en/') THEN 'news' ELSE 'other' END AS source_type FROM p WHERE NOT contains(url, '?'))
+SELECT page_id, (SELECT min(story_id) FROM s WHERE s.briefing = p.briefing AND s.url_hash = p.url_hash AND s.source_type = 'news') AS story_id FROM p""")
 def jn38_link_back(spark, d):
-    t = trades(spark, d).groupBy("trade_id").agg(F.min("pnl").alias("pnl"))
-    return t.select("trade_id", F.col("pnl").isNotNull().alias("linked"))
+    """Every page of the pool with the story that it became: the lowest id of its briefing with its (host's and section's) url."""
+    place = F.regexp_replace(F.regexp_replace("url", r"^https?://(www\.|m\.|blog\.)?", ""), "/[0-9]+.*$", "")
+    p = load(spark, d, "pages").select("page_id", (F.col("page_id") % 20).alias("briefing"), text.hash_url(place).alias("url_hash"), "url")
+    s = p.where(~F.contains("url", F.lit("?"))).select(F.col("page_id").alias("story_id"), "briefing", "url_hash", F.when(F.contains("url", F.lit("/en/")), "news").otherwise("other").alias("source_type"))
+    return R.linked(p, s.where("source_type = 'news'"), ["briefing", "url_hash"], "story_id").select("page_id", "story_id")
 
 
 @query(f"WITH {TRADES} SELECT status, fills % 2 = 0 AS even, count(*) AS n, round(avg(pnl / invested), 6) AS excess, round(avg(pnl / invested) / nullif(stddev_samp(pnl / invested) / sqrt(count(*)), 0), 4) AS t FROM trades GROUP BY ALL")
