@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators import entries, ordered
+from tessera.operators import entries, ordered, signals
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
 from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
@@ -221,10 +221,21 @@ def cp30_expiry(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.when((F.col("o_orderstatus") != "F") & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz")), "expired").otherwise(F.col("o_orderstatus")).alias("status"))
 
 
-@query(f"""WITH {MENTIONS}, s AS (SELECT entity_id, arg_min(sentiment, mention_id) AS orig, arg_max(sentiment, mention_id) AS latest FROM mentions GROUP BY 1) SELECT entity_id, latest < greatest(0.3 * orig, 0.05) AS decayed FROM s""")
+@query(f"""WITH {MENTIONS}, n AS (SELECT day, count(*) AS n FROM mentions GROUP BY day), p AS (SELECT entity_id, min(day) AS opened, arg_min(sentiment, mention_id) AS original FROM mentions GROUP BY entity_id),
+g AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM mentions), (SELECT max(day) FROM mentions) + 7, INTERVAL 1 DAY)) AS DATE) AS as_of),
+h AS (SELECT as_of, coalesce(sum(n) FILTER (day >= as_of - {signals.STALE}), 0) AS recent, list_sort(list(n)) AS ns FROM g JOIN n ON day BETWEEN as_of - {signals.NORMAL} AND as_of GROUP BY as_of),
+d AS (SELECT entity_id, day, arg_max(sentiment, mention_id) AS score FROM mentions GROUP BY ALL),
+x AS (SELECT p.entity_id, as_of, original, recent >= ns[len(ns) // 2 + 1] * {signals.HEALTHY} AS healthy FROM p JOIN h ON as_of >= opened),
+y AS (SELECT x.*, CASE WHEN as_of - d.day <= {signals.STALE} THEN score END AS latest FROM x ASOF LEFT JOIN d ON d.entity_id = x.entity_id AND as_of >= d.day)
+SELECT entity_id, as_of, round(latest, 6) AS latest, healthy, healthy AND coalesce(latest, 0) < greatest({signals.LEFT} * original, {signals.FLOOR}) AS decayed FROM y""")
 def cp31_decay(spark, d):
-    s = mentions(spark, d).groupBy("entity_id").agg(F.min_by("sentiment", "mention_id").alias("orig"), F.max_by("sentiment", "mention_id").alias("latest"))
-    return s.select("entity_id", (F.col("latest") < F.greatest(0.3 * F.col("orig"), F.lit(0.05))).alias("decayed"))
+    """Every entity on every day since it was opened, and a week beyond the last reading: there the source is silent, and nothing is concluded."""
+    m = mentions(spark, d).select(F.col("entity_id").alias("key"), "day", F.col("sentiment").alias("score"), F.col("mention_id").alias("id"))
+    opened = m.groupBy("key").agg(F.min("day").alias("opened"), F.min_by("score", "id").alias("original"))
+    end = m.agg(F.max("day").alias("end"))  # one row
+    positions = opened.crossJoin(F.broadcast(end)).select("key", "original", F.explode(F.sequence("opened", F.date_add("end", 7))).alias("as_of"))
+    out = signals.decay(m, positions)
+    return out.select(F.col("key").alias("entity_id"), "as_of", F.round("latest", 6).alias("latest"), "healthy", "decayed")
 
 
 DECIDE = "CASE WHEN ret <= -0.05 THEN 'hard_stop' WHEN ret <= -0.02 THEN 'trail' WHEN ret >= 0.05 AND fills >= 3 THEN 'half' WHEN held > 100 THEN 'max_hold' ELSE 'hold' END"

@@ -172,13 +172,6 @@ def ag41_events(spark, d):
     return trades(spark, d).groupBy("status").agg(F.round(F.avg(r), 6).alias("measured"), F.round(F.avg(F.when(chosen, r)), 6).alias("traded"), F.count_if(chosen).alias("n"))
 
 
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'FOUND_IN_LANE' WHEN e.vec_id IS NOT NULL THEN 'POOL' ELSE 'VOCAB' END AS miss FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
-def ag49_misses(spark, d):
-    l = load(spark, d, "labels").select("doc_id", F.lit(1).alias("l"))  # noqa: E741
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("e"))
-    return load(spark, d, "documents").select("doc_id").join(l, "doc_id", "left").join(e, "doc_id", "left").select("doc_id", F.when(F.col("l").isNotNull(), "FOUND_IN_LANE").when(F.col("e").isNotNull(), "POOL").otherwise("VOCAB").alias("miss"))
-
-
 @query(f"WITH {TRADES} SELECT round((150000 - (100000 + sum(pnl) / 100)) / 150000, 6) AS drawdown FROM trades")
 def ag62_current_drawdown(spark, d):
     return trades(spark, d).agg(F.round((150000 - (100000 + F.sum("pnl") / 100)) / 150000, 6).alias("drawdown"))
@@ -200,12 +193,6 @@ def cp5_rerank(spark, d):
     return r.join(F.broadcast(first), "i", "left").select("p_partkey", F.row_number().over(Window.orderBy(F.coalesce("pos", F.lit(100)), "i")).alias("rank"))
 
 
-@query("SELECT conv_id, turn, (contains(lower(text), 'tion') AND length(text) < 200) OR starts_with(lower(text), 'th') AS web FROM conversations")
-def cp6_web_trigger(spark, d):
-    t = F.lower("text")
-    return load(spark, d, "conversations").select("conv_id", "turn", ((F.contains(t, F.lit("tion")) & (F.length("text") < 200)) | t.startswith("th")).alias("web"))
-
-
 @query(f"WITH {TRADES} SELECT account % 10 AS book, count(*) AS n, round(sum(pnl), 4) AS pnl FROM trades WHERE status <> 'P' GROUP BY 1")
 def cp17_realised(spark, d):
     return trades(spark, d).where("status <> 'P'").groupBy((F.col("account") % 10).alias("book")).agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 4).alias("pnl"))
