@@ -163,3 +163,15 @@ def headline_rule(x: Column) -> Column:
     for rule, (side, pattern) in reversed(HEADLINES.items()):
         out = F.when(x.rlike(pattern), F.struct(F.lit(rule).alias("rule"), F.lit(side).alias("side"))).otherwise(out)
     return out
+
+
+def resolved_refs(cited: Column, offered: Column) -> Column:
+    """struct<ids, remapped, dropped>: the ids that an answer cites, each once and in order.
+
+    An id that was offered stands for itself; a number that is none but a place in the list offered (from 0) stands for the id there; others are dropped. Nulls are dropped, too.
+    """
+    place = lambda r: F.when((r >= 0) & (r < F.size(offered)), F.get(offered, r.cast("int")))
+    exact = lambda r: F.coalesce(F.array_contains(offered, r), F.lit(False))
+    ids = F.transform(cited, lambda r: F.when(exact(r), r).otherwise(place(r)))
+    remapped = F.size(F.filter(cited, lambda r: ~exact(r) & place(r).isNotNull()))
+    return F.struct(F.array_distinct(F.array_compact(ids)).alias("ids"), remapped.alias("remapped"), F.size(F.filter(ids, lambda i: i.isNull())).alias("dropped"))

@@ -94,6 +94,18 @@ def linked(rows: DataFrame, stories: DataFrame, keys: list[str], id_: str) -> Da
     return rows.join(lowest, keys, "left")
 
 
+def with_retry(wanted: DataFrame, scores: DataFrame, retry: DataFrame, keys: list[str], id_: str, order: str) -> DataFrame:
+    """scores whose ids were wanted, and those of the retry for ids that they lack, of each the first in ``order``; adds ``recovered``.
+
+    Scores of ids that nobody asked for are dropped from both; repeated scores of the first answer stay as they are.
+    """
+    at = [*keys, id_]
+    first = scores.join(wanted.select(*at).distinct(), at, "left_semi")
+    missing = wanted.select(*at).distinct().join(first.select(*at).distinct(), at, "left_anti")
+    again = latest(retry.join(missing, at, "left_semi"), at, [F.col(order)])
+    return first.withColumn("recovered", F.lit(False)).unionByName(again.withColumn("recovered", F.lit(True)))
+
+
 #: Minutes after midnight until which a trade is of the open, and of the close.
 MIDDAY, CLOSING = 12 * 60 + 45, 16 * 60
 

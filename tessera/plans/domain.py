@@ -35,16 +35,6 @@ def cp8_contrarian(spark, d):
     return a.where("abs(mean) > 0.1").select("entity_id", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.when(F.col("mean") > 0, F.col("down")).otherwise(F.col("up")).alias("dissent")).where("dissent > 0")
 
 
-@query(f"""WITH {MENTIONS}, g AS (SELECT entity_id, sector, count(*) AS n, min(ts) AS first, max(day) AS last FROM mentions GROUP BY ALL), s AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, first, sector) = 1)
-SELECT s.entity_id, s.sector AS source, g.sector AS target, g.n AS n, CASE WHEN g.n >= s.n * 0.8 THEN 'established' WHEN g.n >= s.n * 0.4 THEN 'growing' ELSE 'early' END AS stage FROM s JOIN g ON g.entity_id = s.entity_id AND g.sector <> s.sector AND g.last >= DATE '{AS_OF}' - 3""")
-def cp9_migration(spark, d):
-    g = mentions(spark, d).groupBy("entity_id", "sector").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("day").alias("last"))
-    w = Window.partitionBy("entity_id").orderBy(F.desc("n"), "first", "sector").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = g.withColumn("source", F.first("sector").over(w)).withColumn("most", F.first("n").over(w)).where((F.col("sector") != F.col("source")) & (F.col("last") >= F.date_sub(today(), 3)))
-    stage = F.when(F.col("n") >= F.col("most") * 0.8, "established").when(F.col("n") >= F.col("most") * 0.4, "growing").otherwise("early")
-    return x.select("entity_id", "source", F.col("sector").alias("target"), "n", stage.alias("stage"))
-
-
 @query(f"""WITH {MENTIONS}, days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-20', DATE '{AS_OF}', INTERVAL 1 DAY)) AS DATE) AS as_of)
 SELECT entity_id, as_of, count(*) FILTER (WHERE day >= as_of - 7) AS w7, count(*) AS w30 FROM days JOIN mentions ON day <= as_of AND day >= as_of - 30 GROUP BY ALL""")
 def cp11_backfill(spark, d):
@@ -56,14 +46,6 @@ def cp11_backfill(spark, d):
     return spread.groupBy("entity_id", "as_of").agg(F.coalesce(F.sum(F.when(F.col("day") >= F.date_sub(F.col("as_of"), 7), F.col("n"))), F.lit(0)).alias("w7"), F.sum("n").alias("w30"))
 
 
-@query(f"""WITH {MENTIONS}, t AS (SELECT entity_id, count(*) AS n, count(DISTINCT sector) AS sectors, count(DISTINCT day) AS days, count(*) FILTER (WHERE day >= DATE '{AS_OF}' - 7) AS w7 FROM mentions GROUP BY 1)
-SELECT entity_id, n, sectors, CAST(row_number() OVER (ORDER BY days * n * w7 DESC, entity_id) AS INTEGER) AS rank FROM t QUALIFY rank <= 20""")
-def cp12_trends(spark, d):
-    t = mentions(spark, d).groupBy("entity_id").agg(F.count("*").alias("n"), F.count_distinct("sector").alias("sectors"), F.count_distinct("day").alias("days"), F.count_if(F.col("day") >= F.date_sub(today(), 7)).alias("w7"))
-    order = [F.desc(F.col("days") * F.col("n") * F.col("w7")), F.col("entity_id")]
-    return t.orderBy(*order).limit(20).select("entity_id", "n", "sectors", F.row_number().over(Window.orderBy(*order)).alias("rank"))
-
-
 @query(f"""WITH {MENTIONS}, a AS (SELECT entity_id, avg(CASE WHEN ts >= TIMESTAMP '2024-01-30 00:00:00' THEN sentiment END) AS r, coalesce(avg(CASE WHEN ts < TIMESTAMP '2024-01-30 00:00:00' THEN sentiment END), 0.24) AS b FROM mentions GROUP BY 1)
 SELECT entity_id, round(r - b, 6) AS surprise FROM a WHERE abs(r - b) >= 0.5""")
 def cp13_tone_surprise(spark, d):
@@ -186,28 +168,6 @@ def cp22_grid(spark, d):
 GATE = f"""{TRADES}, a AS (SELECT count(*) AS n, date_diff('day', min(entry_day), max(exit_day)) AS days, avg(pnl / invested) / (stddev_samp(pnl / invested) / sqrt(count(*))) AS t, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / -sum(CASE WHEN pnl < 0 THEN pnl END) AS pf FROM trades)"""
 
 
-@query(f"WITH {GATE} SELECT * FROM (SELECT 'trades' AS criterion, n >= 100 AS met FROM a UNION ALL SELECT 'days', days >= 90 FROM a UNION ALL SELECT 't', t >= 2 FROM a UNION ALL SELECT 'profit_factor', pf >= 1.3 FROM a)")
-def cp25_go_live(spark, d):
-    r = F.col("pnl") / F.col("invested")
-    a = trades(spark, d).agg(
-        F.count("*").alias("n"), F.date_diff(F.max("exit_day"), F.min("entry_day")).alias("days"), F.try_divide(F.avg(r), F.stddev_samp(r) / F.sqrt(F.count("*"))).alias("t"),
-        F.try_divide(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), -F.sum(F.when(F.col("pnl") < 0, F.col("pnl")))).alias("pf"))
-    return a.selectExpr("stack(4, 'trades', n >= 100, 'days', days >= 90, 't', t >= 2, 'profit_factor', pf >= 1.3) as (criterion, met)")
-
-
-@query("""WITH k AS (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
-d AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents), h AS (SELECT item_id, doc_id, count(*) AS c FROM k JOIN d USING (w) GROUP BY ALL), b AS (SELECT item_id, max(c) AS c FROM h GROUP BY 1)
-SELECT n.item_id, CASE WHEN coalesce(c, 0) / n.n >= 0.6 THEN 'validated' WHEN coalesce(c, 0) / n.n >= 0.3 THEN 'partial' ELSE 'open' END AS verdict FROM n LEFT JOIN b USING (item_id) WHERE false OR n.n >= 0""")
-def cp28_validation(spark, d):
-    """The best share of a prediction's keywords in one story."""
-    k = load(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    n = k.groupBy("item_id").agg(F.count("*").alias("n"))
-    s = load(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    best = s.join(k, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("c")).groupBy("item_id").agg(F.max("c").alias("c"))
-    share = F.coalesce("c", F.lit(0)) / F.col("n")
-    return n.join(best, "item_id", "left").select("item_id", F.when(share >= 0.6, "validated").when(share >= 0.3, "partial").otherwise("open").alias("verdict"))
-
-
 @query(f"""WITH {BARS}, p AS (SELECT ticker, day AS made, close AS base, day + 95 AS due FROM bars WHERE month(day) = 3) SELECT p.ticker, p.made, CASE WHEN b.close >= base * 1.05 THEN 'validated' WHEN b.close >= base THEN 'partial' ELSE 'failed' END AS outcome FROM p ASOF JOIN bars b ON b.ticker = p.ticker AND p.due >= b.day""")
 def cp29_resolution(spark, d):
     b = bars(spark, d)
@@ -324,25 +284,6 @@ def cp34_ledger(spark, d):
     return load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("trade")).agg(F.round(F.sum(F.when(sold, F.expr("l_extendedprice * (1 - l_discount)"))), 4).alias("realised"), F.sum(F.when(~sold, F.col("l_quantity")).otherwise(0.0)).alias("open_qty"))
 
 
-@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS kept, e.vec_id IS NOT NULL AS embedded, coalesce(l.quality = 1, false) AS good FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
-def cp35_funnel(spark, d):
-    l = load(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("k"))  # noqa: E741
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("e"))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    return load(spark, d, "documents").select("doc_id").join(l, "doc_id", "left").join(e, "doc_id", "left").select("doc_id", yes("k").alias("kept"), yes("e").alias("embedded"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"))
-
-
-@query("""SELECT n_regionkey AS region, '{"region":' || n_regionkey || ',"nations":[' || string_agg('{"id":' || n_nationkey || ',"name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']}' AS doc FROM nation GROUP BY n_regionkey""")
-def cp36_snapshot(spark, d):
-    n = load(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))).alias("nations"))
-    return n.select("region", F.to_json(F.struct("region", "nations")).alias("doc"))
-
-
-@query(f"WITH {TRADES} SELECT trade_id, format('{{}} in {{}} fills, {{}}', status, fills, CASE WHEN pnl >= 0 THEN 'gain' ELSE 'loss' END) AS note FROM trades")
-def cp37_explanation(spark, d):
-    return trades(spark, d).select("trade_id", F.format_string("%s in %d fills, %s", "status", "fills", F.when(F.col("pnl") >= 0, "gain").otherwise("loss")).alias("note"))
-
-
 @query(f"WITH {STORIES} SELECT source_name, max(day) AS last, date_diff('day', max(day), DATE '2024-03-05') > 5 AS stale FROM stories GROUP BY source_name")
 def cp40_stale_sources(spark, d):
     return stories(spark, d).groupBy("source_name").agg(F.max("day").alias("last"), (F.date_diff(F.lit("2024-03-05").cast("date"), F.max("day")) > 5).alias("stale"))
@@ -353,12 +294,6 @@ def cp42_reanchor(spark, d):
     return mentions(spark, d).where("day >= date'2024-01-15'").groupBy("entity_id").agg(F.round(F.min_by("sentiment", "mention_id"), 6).alias("anchored"))
 
 
-@query("""WITH f AS (SELECT l_orderkey, sum(l_extendedprice) AS got FROM lineitem GROUP BY 1) SELECT o_orderkey, abs(coalesce(got, 0) - o_totalprice) <= 0.5 * o_totalprice AS explained FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
-def cp43_gap(spark, d):
-    f = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("got"))
-    return load(spark, d, "orders").join(f, "o_orderkey", "left").select("o_orderkey", (F.abs(F.coalesce("got", F.lit(0.0)) - F.col("o_totalprice")) <= 0.5 * F.col("o_totalprice")).alias("explained"))
-
-
 @query(f"""WITH RECURSIVE {TRADES}, n AS (SELECT pnl / invested AS ret, (trade_id % 13) / 12.0 AS score, row_number() OVER (ORDER BY trade_id) AS i FROM trades), z AS (SELECT count(*) AS n FROM n),
 pw AS (SELECT 1 AS k, 2654435761::HUGEINT % n AS a, n FROM z UNION ALL SELECT k + 1, a * 2654435761 % n, n FROM pw WHERE k < 100),
 p AS (SELECT k, i, score, ((i - 1) * a + k) % n + 1 AS j FROM n, pw), s AS (SELECT k, sum(p.score * b.ret) AS v FROM p JOIN n b ON b.i = p.j GROUP BY k), r AS (SELECT sum(score * ret) AS v FROM n)

@@ -172,16 +172,6 @@ def ag41_events(spark, d):
     return trades(spark, d).groupBy("status").agg(F.round(F.avg(r), 6).alias("measured"), F.round(F.avg(F.when(chosen, r)), 6).alias("traded"), F.count_if(chosen).alias("n"))
 
 
-@query(f"WITH {TRADES} SELECT round((150000 - (100000 + sum(pnl) / 100)) / 150000, 6) AS drawdown FROM trades")
-def ag62_current_drawdown(spark, d):
-    return trades(spark, d).agg(F.round((150000 - (100000 + F.sum("pnl") / 100)) / 150000, 6).alias("drawdown"))
-
-
-@query(f"WITH {MENTIONS} SELECT sum(CASE WHEN day = DATE '{AS_OF}' THEN k ELSE 0 END)::BIGINT AS spent, count(CASE WHEN sector = 'error' THEN 1 END) * 5 AS reserved FROM mentions")
-def ag65_budget(spark, d):
-    return mentions(spark, d).agg(F.sum(F.when(F.col("day") == today(), F.col("k")).otherwise(0)).alias("spent"), (F.count_if(F.col("sector") == "error") * 5).alias("reserved"))
-
-
 @query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS i FROM part QUALIFY i < 8), o AS (SELECT * FROM (VALUES (0, 3), (1, 0), (2, 5)) v(pos, i))
 SELECT p_partkey, CAST(row_number() OVER (ORDER BY coalesce(o.pos, 100), r.i) AS INTEGER) AS rank FROM r LEFT JOIN o USING (i)""")
 def cp5_rerank(spark, d):
@@ -206,20 +196,6 @@ def cp23_gap_test(spark, d):
     return n.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("c1") / F.col("o1") - 1), 6).alias("mean"))
 
 
-@query(f"""WITH {TRADES}, {BARS}, i AS (SELECT day, avg(close) AS c FROM bars GROUP BY day), t AS (SELECT trade_id, entry_day, exit_day, pnl / invested AS ret FROM trades)
-SELECT trade_id, round(ret - (b.c / a.c - 1), 6) AS excess FROM t ASOF JOIN i a ON t.entry_day >= a.day ASOF JOIN i b ON t.exit_day >= b.day""")
-def cp24_benchmark(spark, d):
-    """Each trade against the index over the same days, by two as-of lookups."""
-    i = bars(spark, d).groupBy("day").agg(F.avg("close").alias("c")).withColumn("k", F.month("day") * 0)
-    t = trades(spark, d).select("trade_id", "entry_day", "exit_day", F.expr("pnl / invested").alias("ret"))
-    # the index has one row for each month at any scale: its lookup is a broadcast of intervals, not a join by a single key
-    w = Window.partitionBy("k").orderBy("day")
-    spans = F.broadcast(i.select("day", "c", F.coalesce(F.lead("day").over(w), F.lit("9999-01-01").cast("date")).alias("until")))
-    a, b = spans.select(F.col("day").alias("d1"), F.col("c").alias("c1"), F.col("until").alias("u1")), spans.select(F.col("day").alias("d2"), F.col("c").alias("c2"), F.col("until").alias("u2"))
-    x = t.join(a, (F.col("entry_day") >= F.col("d1")) & (F.col("entry_day") < F.col("u1"))).join(b, (F.col("exit_day") >= F.col("d2")) & (F.col("exit_day") < F.col("u2")))
-    return x.select("trade_id", F.round(F.col("ret") - (F.col("c2") / F.col("c1") - 1), 6).alias("excess"))
-
-
 @query("SELECT o_orderkey, (CAST(o_orderdate AS DATE) + 3) AS report, date_diff('day', DATE '1996-01-01', CAST(o_orderdate AS DATE)) BETWEEN 0 AND 30 AS near FROM orders WHERE isodow(o_orderdate) = 1")
 def fn24_windows(spark, d):
     day = F.to_date("o_orderdate")
@@ -244,13 +220,6 @@ def sl13_calendar_order(spark, d):
     return load(spark, d, "customer").where("c_acctbal > 5000").orderBy("c_mktsegment", F.desc(F.col("c_nationkey") == 3), F.desc("c_acctbal"), "c_custkey").limit(60).select("c_custkey", "c_acctbal")
 
 
-@query("SELECT event_id, list_distinct(list_filter([event_id % 4, event_id % 3, event_id % 7], lambda x: x < 5)) AS cited FROM events".replace("list_distinct(", "list_sort(list_distinct(").replace(" < 5))", " < 5)))"))
-def so10_citations(spark, d):
-    """Ids that exist, each once."""
-    c = F.array(F.expr("event_id % 4"), F.expr("event_id % 3"), F.expr("event_id % 7"))
-    return load(spark, d, "events").select("event_id", F.array_sort(F.array_distinct(F.filter(c, lambda x: x < 5))).alias("cited"))
-
-
 @query(f"""WITH {BARS} SELECT ticker, day, round(sum(close - open) OVER w, 4) AS equity, round(max(close) OVER w, 6) AS peak, round(close / lag(close) OVER (PARTITION BY ticker ORDER BY day) - 1, 6) AS ret FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY day)""")
 def wn4_running(spark, d):
     w = by_day().rowsBetween(Window.unboundedPreceding, 0)
