@@ -126,8 +126,9 @@ def journal(name: Column, signals: Column, entry_day: Column, entry: Column, siz
     rule = F.get(F.split(reason, r"[\s(]"), F.lit(0))
     because = F.coalesce(F.try_element_at(table(BECAUSE), rule), F.try_element_at(table(BECAUSE_STATUS), status), F.lit(UNRECORDED))
     sign = lambda x: F.when(x >= 0, "+").otherwise("")
-    result = F.concat(sign(pct), money(pct, 1), F.lit("%"), F.coalesce(F.concat(F.lit(" ($"), sign(pnl), money(pnl, 0), F.lit(")")), F.lit("")))
+    result = F.concat(sign(pct), money(pct, 1), F.lit("%"), F.when(pnl.isNotNull(), F.concat(F.lit(" ($"), sign(pnl), money(pnl, 0), F.lit(")"))).otherwise(""))
     left = F.concat(F.lit("Exited after "), F.date_diff(exit_day, entry_day).cast("string"), F.lit(" days at $"), money(exit_, 2), F.lit(" — "), result, F.lit(" because "), because, F.lit("."))
+    left = F.when(exit_day.isNotNull() & exit_.isNotNull() & pct.isNotNull(), left)
     strong = F.filter(top, lambda s: s["value"] > 0.5)
     quality = F.when(F.size(strong) >= 2, "Multiple strong signals aligned on this trade.").when(F.size(strong) == 1, F.concat(F.lit("The "), F.get(strong, F.lit(0))["dimension"], F.lit(" signal was the primary driver.")))
     return F.concat_ws(" ", entered, left, quality)
