@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +67,12 @@ def register(spark: SparkSession, name: str, function, kind: str) -> None:
 
 
 def to_blob(vectors: Column) -> Column:
-    """Vectors as stored blobs: little-endian 32-bit floats one after another."""
+    """Vectors as stored blobs: little-endian 32-bit floats one after another. A null component is stored as NaN. The values of a batch are taken as they lie."""
 
-    @F.pandas_udf("binary")
-    def pack(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
+    @F.arrow_udf("binary")
+    def pack(v: pa.Array) -> pa.Array:
+        values = v.flatten().cast(pa.float32()).fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f4")
+        return _binaries(values.tobytes(), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) * 4, v.is_valid())
 
     return pack(vectors)
 
@@ -77,8 +80,28 @@ def to_blob(vectors: Column) -> Column:
 def from_blob(blobs: Column) -> Column:
     """array<float> of stored blobs; bytes after the last whole float are left out."""
 
-    @F.pandas_udf("array<float>")
-    def unpack(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: None if x is None else np.frombuffer(x[: len(x) // 4 * 4], dtype="<f4"))
+    @F.arrow_udf("array<float>")
+    def unpack(b: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(b), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = np.frombuffer(b"".join(b.drop_null().to_pylist()) if b.null_count or (sizes % 4).any() else _contents(b), dtype=np.uint8)
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        whole = sizes // 4
+        values = raw[place < np.repeat(whole * 4, sizes)].view("<f4")
+        offsets = pa.array(np.concatenate([[0], np.cumsum(whole)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()), mask=pc.invert(b.is_valid()) if b.null_count else None)
 
     return unpack(blobs)
+
+
+def _contents(b: pa.Array) -> bytes:
+    """The bytes of all values of a binary array, one after another."""
+    wide = b.cast(pa.large_binary())
+    offsets = np.frombuffer(wide.buffers()[1], dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    return wide.buffers()[2][offsets[0] : offsets[-1]].to_pybytes() if len(wide) and wide.buffers()[2] else b""
+
+
+def _binaries(raw: bytes, sizes: np.ndarray, valid: pa.Array) -> pa.Array:
+    """A binary array from its bytes and the length of each value."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    bits = np.packbits(valid.to_numpy(zero_copy_only=False), bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.py_buffer(bits), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators.relational import both_ways, latest
 from tessera.sources import scratch
@@ -145,6 +146,32 @@ def expand(words: DataFrame, aliases: DataFrame, most: int = 3) -> DataFrame:
     return latest(x, ["query_id", "word"], [F.col("found")], most)
 
 
+def graph_expanded(queries: DataFrame, names: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, added: array<string>): the names that a query's words lead to over one edge.
+
+    queries: query_id, text; names: node, name (lower case); edges: node, other, strength (both ways, each pair once). A word (three bytes or more, without signs around it) stands
+    for the first name, in their order, that contains it. Of each name the ``most`` strongest neighbours count (ties by name). Added are those
+    that the query does not contain, each once, in the order of the words and of their strength. Words meet names by the parts of the names' words.
+    """
+    cut = queries.select("query_id", F.lower("text").alias("low"), F.posexplode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("pos", "raw")).where(F.octet_length("raw") >= 3)
+    words = cut.select("query_id", "low", "pos", F.regexp_replace(F.lower("raw"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("w")).where("w <> ''")
+    asked = words.select("w").distinct()
+    lengths = asked.select(F.length("w").alias("n")).distinct()
+    pieces = names.select("name", F.explode(F.array_distinct(F.split("name", r"[ \t\n\x0B\f\r]+"))).alias("piece")).where("piece <> ''")
+    sizes = pieces.withColumn("n", F.explode(F.sequence(F.lit(1), F.length("piece")))).join(F.broadcast(lengths), "n", "left_semi")
+    parts = sizes.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("piece") - F.col("n") + 1), lambda i: F.substring(F.col("piece"), i, F.col("n"))))).alias("w"))
+    hit = parts.join(asked, "w", "left_semi").groupBy("w").agg(F.min("name").alias("name"))
+    of = names.select(F.col("node").alias("other"), F.col("name").alias("other_name"))
+    near = latest(edges.join(of, "other"), ["node"], [F.desc("strength"), F.col("other_name")], most)
+    w = Window.partitionBy("node").orderBy(F.desc("strength"), "other_name")
+    near = near.withColumn("k", F.row_number().over(w)).join(names, "node").select("name", "other_name", "k")
+    found = words.join(hit, "w").join(near, "name").where(~F.contains("low", F.col("other_name")))
+    first = found.groupBy("query_id", "other_name").agg(F.min(F.struct("pos", "k")).alias("at"))
+    listed = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", "other_name"))).alias("x"))  # at most ``most`` for each word of a query
+    added = F.transform("x", lambda x: x["other_name"])
+    return queries.select("query_id").join(listed, "query_id", "left").select("query_id", F.coalesce(added, F.array().cast("array<string>")).alias("added"))
+
+
 def contained(issuers: DataFrame, topics: DataFrame) -> DataFrame:
     """(topic, filings): distinct filings whose issuer equals, contains or is contained in the topic.
 

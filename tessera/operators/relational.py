@@ -44,6 +44,19 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], l_at: str, r
     return l.join(r, [*on, "_b"]).where(F.date_diff(F.col(r_at), F.col(l_at)).between(low, high)).drop("_b")
 
 
+def following(entries: DataFrame, rows: DataFrame, key: str, i: str, n: int, values: list[str]) -> DataFrame:
+    """entries with each of the up to ``n`` rows that follow in their key's numbering: adds after (1 to n) and the rows' values.
+
+    Rows lie in blocks of n numbers; an entry reaches into two of them, so the join is by key and block.
+    """
+    block = lambda x: F.floor(x / n)
+    at = F.col(i)
+    e = entries.withColumn("_b", F.explode(F.array_distinct(F.array(block(at + 1), block(at + n)))))
+    r = rows.select(key, at.alias("_i"), block(at).alias("_b"), *[F.col(v).alias(f"_{v}") for v in values])
+    met = e.join(r, [key, "_b"]).withColumn("after", F.col("_i") - at).where(F.col("after").between(1, n))
+    return met.select(*entries.columns, "after", *[F.col(f"_{v}").alias(v) for v in values])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], overwrite: list[str] = (), add: list[str] = (), fill: list[str] = ()) -> DataFrame:
     """old merged with new: ``overwrite`` columns take new's value, ``add`` columns sum, ``fill`` columns only fill nulls."""
     o, n = old.alias("o"), new.alias("n")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tessera.operators import entries, ordered, signals
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
+from tessera.plans.views import AS_OF, BARS, EVERY, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
 from tessera.session import load
 
 
@@ -144,10 +144,10 @@ j AS (SELECT e.ticker, e.i, p, n.i - e.i AS k, n.low, n.close, greatest(p, coale
 h AS (SELECT ticker, i, p, k, close, CASE WHEN low <= top * 0.8 THEN k END AS hit, top * 0.8 AS stop FROM j)
 SELECT ticker, i, min(hit) AS bar, round(coalesce(arg_min(stop, hit), arg_max(close, k)) / any_value(p) - 1, 6) AS ret FROM h GROUP BY ALL""")
 def cp21_exits(spark, d):
-    """Trailing stop at 80 % of the highest earlier price, else the last close: running maxima without the current bar."""
+    """Trailing stop at 80 % of the highest earlier price, else the last close, of an entry at every EVERY-th bar: running maxima without the current bar."""
     b = bars(spark, d).withColumn("i", F.row_number().over(by_day()).cast("bigint"))
-    b = b.withColumn("next", F.collect_list(F.struct("i", "high", "low", "close")).over(by_day().rowsBetween(1, 12))).where("i % 12 = 1")
-    x = b.select("ticker", "i", F.col("close").alias("p"), F.explode("next").alias("x")).select("ticker", "i", "p", (F.col("x.i") - F.col("i")).alias("k"), "x.high", "x.low", "x.close")
+    e = b.where(F.col("i") % EVERY == 1).select("ticker", "i", F.col("close").alias("p"))
+    x = R.following(e, b, "ticker", "i", 12, ["high", "low", "close"]).withColumnRenamed("after", "k")
     w = Window.partitionBy("ticker", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("stop", F.greatest(F.col("p"), F.coalesce(F.max("high").over(w), F.col("p"))) * 0.8)
     hit = F.when(F.col("low") <= F.col("stop"), F.col("k"))

@@ -159,12 +159,6 @@ def jn38_link_back(spark, d):
     return R.linked(p, s.where("source_type = 'news'"), ["briefing", "url_hash"], "story_id").select("page_id", "story_id")
 
 
-@query(f"WITH {TRADES} SELECT status, fills % 2 = 0 AS even, count(*) AS n, round(avg(pnl / invested), 6) AS excess, round(avg(pnl / invested) / nullif(stddev_samp(pnl / invested) / sqrt(count(*)), 0), 4) AS t FROM trades GROUP BY ALL")
-def ag40_gates(spark, d):
-    r = F.expr("pnl / invested")
-    return trades(spark, d).groupBy("status", (F.col("fills") % 2 == 0).alias("even")).agg(F.count("*").alias("n"), F.round(F.avg(r), 6).alias("excess"), F.round(F.try_divide(F.avg(r), F.stddev_samp(r) / F.sqrt(F.count("*"))), 4).alias("t"))
-
-
 @query(f"""WITH {TRADES}, m AS (SELECT status, avg(pnl / invested) AS measured FROM trades GROUP BY 1), x AS (SELECT status, avg(pnl / invested) AS traded, count(*) AS n FROM trades WHERE fills >= 4 AND status <> 'P' GROUP BY 1)
 SELECT status, round(measured, 6) AS measured, round(traded, 6) AS traded, coalesce(n, 0) AS n FROM m LEFT JOIN x USING (status)""")
 def ag41_events(spark, d):

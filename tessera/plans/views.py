@@ -16,6 +16,10 @@ from tessera.session import load
 AS_OF = "2024-01-30"
 
 
+#: Bars between two entries of the studies that follow a price from an entry on: a parameter of theirs, as their SQL has it.
+EVERY = 12
+
+
 def today() -> Column:
     return F.lit(AS_OF).cast("date")
 

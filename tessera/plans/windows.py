@@ -9,7 +9,7 @@ from tessera.functions import text
 from tessera.operators import ordered, search
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
+from tessera.plans.views import AS_OF, BARS, EVERY, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
 from tessera.session import load
 
 
@@ -113,19 +113,19 @@ def wn21_mfe_mae(spark, d):
     """Best and worst price of the next six bars: a frame of following rows, no join."""
     ahead = by_day().rowsBetween(1, 6)
     b = bars(spark, d).withColumn("hi", F.max("high").over(ahead)).withColumn("lo", F.min("low").over(ahead)).withColumn("until", F.lead("day", 6).over(by_day())).withColumn("i", F.row_number().over(by_day()))
-    return b.where("i % 12 = 1 and until is not null").select("ticker", F.col("day").alias("entry"), F.round(F.col("hi") / F.col("close") - 1, 6).alias("mfe"), F.round(F.col("lo") / F.col("close") - 1, 6).alias("mae"))
+    return b.where(f"i % {EVERY} = 1 and until is not null").select("ticker", F.col("day").alias("entry"), F.round(F.col("hi") / F.col("close") - 1, 6).alias("mfe"), F.round(F.col("lo") / F.col("close") - 1, 6).alias("mae"))
 
 
 @query(f"""WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i FROM bars), e AS (SELECT ticker, i, close AS p FROM n WHERE i % 12 = 1),
 h AS (SELECT e.ticker, e.i, n.i - e.i AS after, CASE WHEN n.low <= p * 0.85 THEN 'stop' WHEN n.high >= p * 1.15 THEN 'target' END AS hit FROM e JOIN n ON n.ticker = e.ticker AND n.i > e.i AND n.i <= e.i + 20)
 SELECT ticker, i, coalesce(arg_min(hit, after), 'none') AS first_hit, min(after) AS bars_to FROM (SELECT ticker, i, hit, after FROM h WHERE hit IS NOT NULL UNION ALL SELECT ticker, i, NULL, NULL FROM e) GROUP BY ALL""")
 def wn22_first_hit(spark, d):
-    """Which of stop and target comes first within 20 bars; the stop wins a tie. Bars stay in one window, no range join."""
+    """Which of stop and target comes first within 20 bars of an entry (every EVERY-th bar); the stop wins a tie."""
     b = bars(spark, d).withColumn("i", F.row_number().over(by_day()).cast("bigint"))
-    ahead = F.collect_list(F.struct("i", "low", "high")).over(by_day().rowsBetween(1, 20))
-    b = b.withColumn("next", ahead).where("i % 12 = 1")
-    hit = F.when(F.col("x.low") <= F.col("close") * 0.85, "stop").when(F.col("x.high") >= F.col("close") * 1.15, "target")
-    x = b.select("ticker", "i", "close", F.explode_outer("next").alias("x")).select("ticker", "i", (F.col("x.i") - F.col("i")).alias("after"), hit.alias("hit"))
+    e = b.where(F.col("i") % EVERY == 1).select("ticker", "i", F.col("close").alias("p"))
+    x = R.following(e, b, "ticker", "i", 20, ["low", "high"])
+    hit = F.when(F.col("low") <= F.col("p") * 0.85, "stop").when(F.col("high") >= F.col("p") * 1.15, "target")
+    x = x.select("ticker", "i", "after", hit.alias("hit")).unionByName(e.select("ticker", "i", F.lit(None).cast("bigint").alias("after"), F.lit(None).cast("string").alias("hit")))
     return x.groupBy("ticker", "i").agg(F.coalesce(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("after"))), F.lit("none")).alias("first_hit"), F.min(F.when(F.col("hit").isNotNull(), F.col("after"))).alias("bars_to"))
 
 

@@ -9,12 +9,13 @@ when its manifest is, which Spark commits last. The manifest has a row for each
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import upsert
+from tessera.operators.relational import upsert, upsert_changed
 
 BUCKETS = 64
 
@@ -52,20 +53,17 @@ def _rows(spark: SparkSession, path: str, parts: dict[int, int], schema) -> Data
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def apply(batch: DataFrame, path: str, epoch: int, merge: Merge, order: Column, buckets: int = BUCKETS) -> list[int]:
-    """Merge a batch into the table as its version ``epoch`` (from 0, one after another); returns the buckets that were rewritten.
-
-    Rows with a null in their key are left out. Every batch must have the same columns.
-    """
-    spark = batch.sparkSession
-    new = folded(batch, merge, order).withColumn("bucket", _bucket(merge.keys, buckets)).persist()
+def _rewrite(new: DataFrame, path: str, epoch: int, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int) -> list[int]:
+    """Version ``epoch`` of the table from one row a key: old rows of the touched buckets merged with the new ones."""
+    spark = new.sparkSession
+    columns = new.columns
+    new = new.withColumn("bucket", _bucket(keys, buckets)).persist()
     try:
         touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets`` numbers
         before = manifest(spark, path, epoch - 1)
-        new_rows = new.drop("bucket")
-        old = _rows(spark, path, {b: e for b, e in before.items() if b in set(touched)}, new_rows.schema)
-        merged = upsert(old, new_rows, merge.keys, merge.overwrite, merge.add, merge.fill).select(*new_rows.columns)
-        merged.withColumn("bucket", _bucket(merge.keys, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/epoch={epoch}")
+        rows = new.drop("bucket")
+        old = _rows(spark, path, {b: e for b, e in before.items() if b in set(touched)}, rows.schema)
+        merge(old, rows).select(*columns).withColumn("bucket", _bucket(keys, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/epoch={epoch}")
         after = before | dict.fromkeys(touched, epoch)
         spark.createDataFrame(sorted(after.items()), "bucket int, epoch int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v{epoch}")
     finally:
@@ -73,6 +71,19 @@ def apply(batch: DataFrame, path: str, epoch: int, merge: Merge, order: Column,
     return touched
 
 
+def apply(batch: DataFrame, path: str, epoch: int, merge: Merge, order: Column, buckets: int = BUCKETS) -> list[int]:
+    """Merge a batch into the table as its version ``epoch`` (from 0, one after another); returns the buckets that were rewritten.
+
+    Rows with a null in their key are left out. Every batch must have the same columns.
+    """
+    return _rewrite(folded(batch, merge, order), path, epoch, merge.keys, lambda old, new: upsert(old, new, merge.keys, merge.overwrite, merge.add, merge.fill), buckets)
+
+
+def apply_changed(batch: DataFrame, path: str, epoch: int, keys: list[str], watched: list[str], others: list[str], buckets: int = BUCKETS) -> list[int]:
+    """The same for rows that change, with all their columns, only if a watched one does. A batch has each key once."""
+    return _rewrite(batch.dropna(subset=keys), path, epoch, keys, lambda old, new: upsert_changed(old, new, keys, watched, others), buckets)
+
+
 def read(spark: SparkSession, path: str, epoch: int, schema) -> DataFrame:
     """The table as batch ``epoch`` left it."""
     return _rows(spark, path, manifest(spark, path, epoch), schema)

@@ -90,6 +90,34 @@ def form4(filings: DataFrame, col: str = "xml") -> DataFrame:
     )
 
 
+def form4_data(filings: DataFrame, col: str = "xml") -> DataFrame:
+    """One record for each ownership filing, as of its first transaction outside the derivative table.
+
+    Filings without one are position reports: code H, no shares. A code that is missing is ``?``, amounts that are missing or no numbers are 0, an ownership that is missing is D
+    (direct). A flag holds if any reporting owner has it; name and title are the first that stand in the filing. post_shares: of the first transaction or holding that tells.
+    """
+    value = "struct<value:string>"
+    post = f"postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{value}>"
+    deal = f"struct<transactionCoding:struct<transactionCode:string>,transactionAmounts:struct<transactionShares:{value},transactionPricePerShare:{value}>,{post},ownershipNature:struct<directOrIndirectOwnership:{value}>>"
+    owner = "struct<reportingOwnerId:struct<rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,officerTitle:string>>"
+    schema = f"reportingOwner array<{owner}>, nonDerivativeTable struct<nonDerivativeTransaction:array<{deal}>,nonDerivativeHolding:array<struct<{post}>>>"
+    x = filings.withColumn("_x", F.from_xml(F.col(col), schema)).withColumn("_t", F.get("_x.nonDerivativeTable.nonDerivativeTransaction", F.lit(0)))
+    owners = F.col("_x.reportingOwner")
+    flag = lambda c: F.coalesce(F.exists(owners, lambda o: F.coalesce(F.lower(o["reportingOwnerRelationship"][c]).isin("1", "true"), F.lit(False))), F.lit(False))
+    first = lambda xs: F.get(F.filter(xs, lambda v: v.isNotNull()), F.lit(0))
+    number = lambda v: F.coalesce(v.try_cast("double"), F.lit(0.0))
+    has = F.col("_t").isNotNull()
+    shares, price = (number(F.col(f"_t.transactionAmounts.{c}.value")) for c in ("transactionShares", "transactionPricePerShare"))
+    after = [F.transform(f"_x.nonDerivativeTable.{c}", lambda t: t["postTransactionAmounts"]["sharesOwnedFollowingTransaction"]["value"]) for c in ("nonDerivativeTransaction", "nonDerivativeHolding")]
+    none = F.array().cast("array<string>")
+    return x.select(
+        *[c for c in filings.columns if c != col], F.when(has, F.coalesce("_t.transactionCoding.transactionCode", F.lit("?"))).otherwise("H").alias("code"), shares.alias("shares"), price.alias("price"), (shares * price).alias("total_value"),
+        F.coalesce(first(F.transform(owners, lambda o: o["reportingOwnerId"]["rptOwnerName"])), F.lit("")).alias("owner_name"), flag("isDirector").alias("is_director"), flag("isOfficer").alias("is_officer"), flag("isTenPercentOwner").alias("is_ten_percent_owner"),
+        F.coalesce(first(F.transform(owners, lambda o: o["reportingOwnerRelationship"]["officerTitle"])), F.lit("")).alias("officer_title"),
+        number(first(F.concat(*[F.coalesce(a, none) for a in after]))).alias("post_shares"), F.coalesce("_t.ownershipNature.directOrIndirectOwnership.value", F.lit("D")).alias("ownership"),
+    )
+
+
 def filing_items(html: Column) -> Column:
     """Item numbers of an 8-K in order of appearance, each once."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)item\s*(?:&nbsp;|\s)*([1-9]\.[0-9]{2})"), F.lit(1)))
@@ -185,3 +213,39 @@ def page_windows(fetch: Callable[[str, str], list], start: str, end: str, cap: i
         return rows
     mid = a + (b - a) // 2
     return page_windows(fetch, start, mid.isoformat(), cap) + page_windows(fetch, (mid + timedelta(days=1)).isoformat(), end, cap)
+
+
+#: The most requests a calendar may take, all rounds together.
+MOST_REQUESTS = 40_000
+
+
+def paged_calendar(spark: SparkSession, answer: Callable[[DataFrame], DataFrame], start, end, cap: int, width: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(rows, full_days) of [start, end] from a service that gives at most ``cap`` rows for a window of days.
+
+    answer takes windows (start, end) and gives rows with their window's start, or a DataFrame that asks for each window inside a task. Windows begin ``width`` days wide; those
+    whose answer is full are halved and asked for in the next round, those of one day stay as they are and are listed in full_days. All windows of a round are
+    one job, and rounds are as many as halvings: no recursion, and no rows on the driver. A calendar that needs more than MOST_REQUESTS requests raises ValueError.
+    """
+    days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"interval {width} days"))
+    windows = spark.range(1).select(F.explode(days).alias("start"))
+    windows = windows.withColumn("end", F.least(F.date_add("start", width - 1), F.lit(end).cast("date")))
+    rows = full = None
+    asked = 0
+    while True:
+        windows = scratch.written(windows, "calendar-windows")
+        n = windows.count()
+        if n == 0:
+            break
+        asked += n
+        if asked > MOST_REQUESTS:
+            raise ValueError(f"the calendar needs more than {MOST_REQUESTS} requests")
+        got = scratch.written(answer(windows), "calendar-rows")
+        filled = got.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") >= cap).select("start")
+        again = windows.join(filled, "start", "left_semi")
+        halves, done = again.where("start < end"), again.where("start = end").select(F.col("start").alias("day"))
+        part = got.join(halves.select("start"), "start", "left_anti").drop("start")
+        rows, full = (part, done) if rows is None else (rows.unionByName(part), full.unionByName(done))
+        mid = F.date_add("start", F.floor(F.date_diff("end", "start") / 2).cast("int"))
+        halves = halves.select(F.explode(F.array(F.struct("start", mid.alias("end")), F.struct(F.date_add(mid, 1).alias("start"), "end"))).alias("w"))
+        windows = halves.select("w.start", "w.end")
+    return rows, full
