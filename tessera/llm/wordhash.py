@@ -4,8 +4,9 @@ Words are the runs of bytes other than space and \\t \\n \\v \\f \\r. All arithm
 is modulo 2**64 over numpy arrays: a prefix sum of byte times power gives the hash
 of every word by one subtraction, and a second prefix sum over mixed word hashes
 gives the hash of every run of words. The multipliers are fixed, so the hashes
-are the same in every process. Equality of hashes is confirmed on the text
-wherever a result depends on it.
+are the same in every process. Operators that pick candidates by these hashes confirm
+them on the text where they say so; windows of repeated passages (128 bits) and shingles and classes of
+near copies (64 bits) are told apart by hashes alone.
 """
 
 from __future__ import annotations
