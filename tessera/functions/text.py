@@ -28,6 +28,13 @@ def is_noise(name: Column) -> Column:
     return F.lower(name).rlike(NOISE) | ((F.size(F.split(F.trim(name), " ")) >= 3) & (F.upper(name) == name))
 
 
+def fixed(x: Column, n: int) -> Column:
+    """A number with n decimals; halves go to the even digit, and what is below zero keeps its sign."""
+    rounded = F.bround(x.cast("double"), n)
+    shown = F.format_string(f"%.{n}f", rounded)
+    return F.when((x < 0) & (rounded == 0), F.concat(F.lit("-"), F.ltrim(shown, F.lit("-")))).otherwise(shown)
+
+
 def clip(x: Column, n: int) -> Column:
     """At most n characters, the last an ellipsis if something was cut."""
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n - 1), F.lit("…"))).otherwise(x)

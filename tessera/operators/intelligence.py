@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import scoring
+from tessera.functions import scoring, text
 
 #: Upper bounds of a migration's stages, by the target's share of the source's mentions, with their timelines.
 STAGES = [(0.1, "Stage 1 of 5", "6-12 months based on precedent"), (0.25, "Stage 2 of 5", "3-6 months based on precedent"), (0.5, "Stage 3 of 5", "1-3 months based on precedent"),
@@ -117,17 +117,16 @@ UNRECORDED = "it was closed manually (exit reason not recorded)"
 
 def journal(name: Column, signals: Column, entry_day: Column, entry: Column, size: Column, exit_day: Column, exit_: Column, pnl: Column, pct: Column, status: Column, reason: Column) -> Column:
     """The journal's text of a trade: its entry with the three strongest signals (array<struct<dimension, value>>; of equal ones the smaller name first), its exit if there is one, and how strong the signals were."""
-    money = lambda x, n: F.format_string(f"%.{n}f", x)
     top = F.slice(F.array_sort(signals, lambda a, b: F.when(a["value"] != b["value"], F.when(a["value"] > b["value"], -1).otherwise(1)).when(a["dimension"] < b["dimension"], -1).when(a["dimension"] > b["dimension"], 1).otherwise(0)), 1, 3)
-    drivers = F.array_join(F.transform(top, lambda s: F.concat(s["dimension"], F.lit(" ("), money(s["value"] * 100, 0), F.lit("%)"))), ", ")
+    drivers = F.array_join(F.transform(top, lambda s: F.concat(s["dimension"], F.lit(" ("), text.fixed(s["value"] * 100, 0), F.lit("%)"))), ", ")
     drivers = F.when(F.size(top) > 0, drivers).otherwise(F.lit("convergence signals"))
-    entered = F.concat(F.lit("Entered "), name, F.lit(" long on "), entry_day.cast("string"), F.lit(" at $"), money(entry, 2), F.lit(" driven by "), drivers, F.lit(". Position size: $"), money(size, 0), F.lit("."))
+    entered = F.concat(F.lit("Entered "), name, F.lit(" long on "), entry_day.cast("string"), F.lit(" at $"), text.fixed(entry, 2), F.lit(" driven by "), drivers, F.lit(". Position size: $"), text.fixed(size, 0), F.lit("."))
     table = lambda t: F.create_map(*[F.lit(x) for pair in t.items() for x in pair])
     rule = F.get(F.split(reason, r"[\s(]"), F.lit(0))
     because = F.coalesce(F.try_element_at(table(BECAUSE), rule), F.try_element_at(table(BECAUSE_STATUS), status), F.lit(UNRECORDED))
     sign = lambda x: F.when(x >= 0, "+").otherwise("")
-    result = F.concat(sign(pct), money(pct, 1), F.lit("%"), F.when(pnl.isNotNull(), F.concat(F.lit(" ($"), sign(pnl), money(pnl, 0), F.lit(")"))).otherwise(""))
-    left = F.concat(F.lit("Exited after "), F.date_diff(exit_day, entry_day).cast("string"), F.lit(" days at $"), money(exit_, 2), F.lit(" — "), result, F.lit(" because "), because, F.lit("."))
+    result = F.concat(sign(pct), text.fixed(pct, 1), F.lit("%"), F.when(pnl.isNotNull(), F.concat(F.lit(" ($"), sign(pnl), text.fixed(pnl, 0), F.lit(")"))).otherwise(""))
+    left = F.concat(F.lit("Exited after "), F.date_diff(exit_day, entry_day).cast("string"), F.lit(" days at $"), text.fixed(exit_, 2), F.lit(" — "), result, F.lit(" because "), because, F.lit("."))
     left = F.when(exit_day.isNotNull() & exit_.isNotNull() & pct.isNotNull(), left)
     strong = F.filter(top, lambda s: s["value"] > 0.5)
     quality = F.when(F.size(strong) >= 2, "Multiple strong signals aligned on this trade.").when(F.size(strong) == 1, F.concat(F.lit("The "), F.get(strong, F.lit(0))["dimension"], F.lit(" signal was the primary driver.")))

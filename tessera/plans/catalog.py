@@ -39,6 +39,6 @@ def oracle_sql() -> dict[str, str]:
 
 def _collect() -> None:
     """Import the modules whose queries register themselves."""
-    for name in ("relational", "aggregates", "windows", "functions", "search", "domain", "more", "reports", "feeds", "streams", "intelligence", "learning"):
+    for name in ("relational", "aggregates", "windows", "functions", "search", "domain", "more", "reports", "feeds", "streams", "intelligence", "learning", "government"):
         if importlib.util.find_spec(f"tessera.plans.{name}"):
             importlib.import_module(f"tessera.plans.{name}")

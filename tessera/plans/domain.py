@@ -59,13 +59,6 @@ def cp14_buys(spark, d):
     return mentions(spark, d).where("sector = 'purchase' and k > 20").groupBy("entity_id", "day").agg(F.sum("k").alias("total"), F.count("*").alias("buys")).where("total >= 200")
 
 
-@query(f"""WITH {MENTIONS}, s AS (SELECT DISTINCT entity_id FROM mentions WHERE sector = 'error' AND day >= DATE '{AS_OF}' - 1) SELECT mention_id FROM mentions m WHERE sector = 'purchase' AND day >= DATE '{AS_OF}' - 3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = m.entity_id) ORDER BY k DESC, mention_id LIMIT 10""")
-def cp15_candidates(spark, d):
-    m = mentions(spark, d)
-    s = m.where((F.col("sector") == "error") & (F.col("day") >= F.date_sub(today(), 1))).select("entity_id")
-    return m.where((F.col("sector") == "purchase") & (F.col("day") >= F.date_sub(today(), 3))).join(s, "entity_id", "left_anti").orderBy(F.desc("k"), "mention_id").limit(10).select("mention_id")
-
-
 def _scenarios(spark, d):
     b = bars(spark, d).withColumn("score", F.when(F.col("close") > F.lag("close", 2).over(by_day()), F.round(F.col("close") / F.lag("close", 2).over(by_day()) - 1, 9)))
     sets = spark.createDataFrame([("base",), ("tight",)], "scenario string")

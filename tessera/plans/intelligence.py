@@ -158,7 +158,7 @@ _BECAUSE = "coalesce(CASE regexp_extract(reason, '^[^\\s(]*') " + " ".join(f"WHE
 
 
 @query(f"""WITH {TRADES}, s AS (SELECT t.*, p_name AS name, invested / 97 AS price, pnl / invested * 100 AS pct, {_REASON} AS reason, list_sort(list_transform(list_filter({_SIGNALS}, lambda x: x.v > 0.05), lambda x: {{'n': -x.v, 'd': x.d}}))[1:3] AS top FROM trades t JOIN part ON p_partkey = ticker)
-SELECT trade_id, 'Entered ' || name || ' long on ' || entry_day || ' at $' || printf('%.2f', price) || ' driven by ' || CASE WHEN len(top) > 0 THEN array_to_string(list_transform(top, lambda x: x.d || ' (' || printf('%.0f', -x.n * 100) || '%)'), ', ') ELSE 'convergence signals' END || '. Position size: $' || printf('%.0f', round(invested)) || '.'
+SELECT trade_id, 'Entered ' || name || ' long on ' || entry_day || ' at $' || printf('%.2f', price) || ' driven by ' || CASE WHEN len(top) > 0 THEN array_to_string(list_transform(top, lambda x: x.d || ' (' || printf('%.0f', -x.n * 100) || '%)'), ', ') ELSE 'convergence signals' END || '. Position size: $' || printf('%.0f', invested) || '.'
   || CASE WHEN status <> 'O' THEN ' Exited after ' || date_diff('day', entry_day, exit_day) || ' days at $' || printf('%.2f', price * (1 + pct / 100)) || ' — ' || CASE WHEN pct >= 0 THEN '+' ELSE '' END || printf('%.1f', pct) || '% ($' || CASE WHEN pnl >= 0 THEN '+' ELSE '' END || printf('%.0f', pnl) || ') because ' || {_BECAUSE} || '.' ELSE '' END
   || CASE WHEN len(list_filter(top, lambda x: x.n < -0.5)) >= 2 THEN ' Multiple strong signals aligned on this trade.' WHEN len(list_filter(top, lambda x: x.n < -0.5)) = 1 THEN ' The ' || list_filter(top, lambda x: x.n < -0.5)[1].d || ' signal was the primary driver.' ELSE '' END AS note FROM s""")
 def cp37_explanation(spark, d):

@@ -13,18 +13,6 @@ from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by
 from tessera.session import load
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 20000 AND NOT regexp_matches(lower(o_orderpriority), 'not spec') AND (o_totalprice > 200000 OR o_totalprice BETWEEN 60000 AND 90000)")
-def pf9_market_quality(spark, d):
-    good = (F.col("o_totalprice") >= 20000) & ~F.lower("o_orderpriority").rlike("not spec") & ((F.col("o_totalprice") > 200000) | F.col("o_totalprice").between(60000, 90000))
-    return load(spark, d, "orders").where(good).select("o_orderkey")
-
-
-@query("SELECT event_id, unnest(CASE event_type WHEN 'purchase' THEN ['buyer', 'item'] WHEN 'signup' THEN ['person'] ELSE [] END) AS role FROM events")
-def pf20_entity_projection(spark, d):
-    roles = F.when(F.col("event_type") == "purchase", F.array(F.lit("buyer"), F.lit("item"))).when(F.col("event_type") == "signup", F.array(F.lit("person"))).otherwise(F.array().cast("array<string>"))
-    return load(spark, d, "events").select("event_id", F.explode(roles).alias("role"))
-
-
 @query("SELECT event_id, concat_ws(' | ', 'Event ' || event_type, 'user ' || user_id, CASE WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'k=' || json_extract_string(props, '$.k') END) AS body FROM events")
 def pf21_metadata_text(spark, d):
     k = F.get_json_object("props", "$.k")
@@ -75,14 +63,6 @@ def jn20_aligned(spark, d):
     return j.select("ticker", "day", F.round(F.col("close") / F.lag("close").over(by_day()) - F.col("m") / F.lag("m").over(by_day()), 6).alias("rel"))
 
 
-@query("SELECT o_custkey, sum(len(list_filter([o_orderkey % 3, o_orderkey % 5], lambda x: x = 0)))::BIGINT AS zeros, sum([o_orderkey % 3, o_orderkey % 5][1])::BIGINT AS firsts FROM orders GROUP BY 1")
-def jn22_nested_json(spark, d):
-    """First and matching elements of inner JSON arrays, summed."""
-    raw = F.to_json(F.array(F.expr("o_orderkey % 3"), F.expr("o_orderkey % 5")))
-    x = load(spark, d, "orders").select("o_custkey", F.from_json(raw, "array<bigint>").alias("a"))
-    return x.groupBy("o_custkey").agg(F.sum(F.size(F.filter("a", lambda v: v == 0))).alias("zeros"), F.sum(F.get("a", F.lit(0))).alias("firsts"))
-
-
 @query("""WITH i AS (SELECT DISTINCT p_partkey AS filing, lower(p_type) AS i FROM part), t AS (SELECT DISTINCT lower(p_type) AS topic FROM part WHERE p_size = 3)
 SELECT topic, count(DISTINCT filing) AS filings FROM i JOIN t ON contains(i, topic) OR contains(topic, i) GROUP BY topic""")
 def jn26_containment(spark, d):
