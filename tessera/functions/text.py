@@ -29,10 +29,21 @@ def is_noise(name: Column) -> Column:
 
 
 def fixed(x: Column, n: int) -> Column:
-    """A number with n decimals; halves go to the even digit, and what is below zero keeps its sign."""
-    rounded = F.bround(x.cast("double"), n)
-    shown = F.format_string(f"%.{n}f", rounded)
-    return F.when((x < 0) & (rounded == 0), F.concat(F.lit("-"), F.ltrim(shown, F.lit("-")))).otherwise(shown)
+    """A number with n (0 to 3) decimals, rounded by its exact binary value: halves go to the even digit, and what is below zero keeps its sign.
+
+    A fraction is taken as whole numbers of 2**-52 and what is left of them, so all that decides is done in integers. For numbers below 10**15.
+    """
+    x = x.cast("double")
+    whole = F.floor(F.abs(x))
+    bits = (F.abs(x) - whole) * float(1 << 52)
+    rest_bits = (bits - F.floor(bits)) * float(10**n)
+    shifted = bits.cast("bigint") * 10**n + F.floor(rest_bits)
+    digits, rest = F.shiftright(shifted, 52), shifted.bitwiseAND((1 << 52) - 1)
+    half = F.lit(1 << 51)
+    up = (rest > half) | ((rest == half) & ((rest_bits != F.floor(rest_bits)) | ((whole * 10**n + digits) % 2 == 1)))
+    number = whole * 10**n + digits + up.cast("bigint")
+    shown = number.cast("string") if n == 0 else F.concat(F.floor(number / 10**n).cast("string"), F.lit("."), F.lpad((number % 10**n).cast("string"), n, "0"))
+    return F.concat(F.when(x < 0, "-").otherwise(""), shown)
 
 
 def clip(x: Column, n: int) -> Column:

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import ledger, search
 from tessera.sources import government
 
@@ -19,6 +20,19 @@ def page(tmp_path, results):
     return str(tmp_path)
 
 
+def test_numbers_as_printf_writes_them(spark):
+    import random
+
+    rng = random.Random(2)
+    xs = [0.0, 0.5, 1.5, 2.5, 0.125, 0.375, -0.03, -0.5, -1.25, 128.645, 1.005, 1.15, 1.45, 0.05, 9.995, 99.5, 1e-9, 123456789.125, 0.1 + 0.2, 130.5, 999999.9999]
+    xs += [rng.uniform(-1e6, 1e6) for _ in range(300)] + [round(rng.uniform(-1e4, 1e4), 3) for _ in range(300)] + [rng.randrange(-10**6, 10**6) / 8 for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[text.fixed(F.col("x"), n).alias(f"n{n}") for n in range(4)])
+    for r in df.collect():
+        for n in range(4):
+            assert r[f"n{n}"] == f"{r['x']:.{n}f}", r["x"]
+    assert one(spark, text.fixed(F.lit(None).cast("double"), 1)) is None
+
+
 def test_money_and_clips(spark):
     m = lambda x, **k: one(spark, government.money(F.lit(float(x)), **k))
     assert [m(x) for x in (2.5e9, 1.25e6, 1499.0, 130500.0, 999.0, 0.0)] == ["$2500.0M", "$1.2M", "$1K", "$130K", "$999", "$0"]
