@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.operators import relational as R
 from tessera.plans.catalog import query
 from tessera.session import load
 from tessera.sources import buckets, feeds, scratch, tables

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import dates, scoring, sizing, text
-from tessera.operators import entities, ordered
+from tessera.functions import sizing, text
+from tessera.operators import entities
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, BARS, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
+from tessera.plans.views import BARS, TRADES, bars, by_day, trades
 from tessera.session import load
 
 

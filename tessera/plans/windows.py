@@ -9,7 +9,7 @@ from tessera.functions import text
 from tessera.operators import ordered, search
 from tessera.operators import relational as R
 from tessera.plans.catalog import query
-from tessera.plans.views import AS_OF, BARS, EVERY, MENTIONS, STORIES, TRADES, bars, by_day, mentions, stories, today, trades
+from tessera.plans.views import AS_OF, BARS, EVERY, MENTIONS, STORIES, bars, by_day, mentions, stories, today
 from tessera.session import load
 
 
