@@ -17,7 +17,8 @@ link if 100 * |intersection| >= 100 * threshold * |union|.
    and fit in size and in the histogram of their hashes are verified on the whole sets. Larger buckets (groups of near copies,
    very common lines) are dealt into blocks of about ``SIDE`` classes; a task takes two blocks, counts all
    intersections by one matrix product and emits only the links that join what it has
-   not joined yet, never all pairs.
+   not joined yet, never all pairs. Near copies share dozens of large buckets: buckets that have members in common
+   become one, unless that would send more sets to the tasks than the buckets one by one.
 5. Links are contracted to components by alternating large-star and small-star steps.
 
 Defined cases: null, empty and blank texts have an empty set and are components of their own;
@@ -271,6 +272,25 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(freed(run), "a bigint, b bigint")
 
 
+def _merged(large: DataFrame) -> DataFrame:
+    """(token, rep, key, blocks, block) of large buckets: those connected by common members as one bucket with each member once, if that sends fewer sets to tasks.
+
+    large: token, rep, key, n (the bucket's members). A bucket sends each member once for each of its blocks.
+    """
+    blocks = lambda n: F.ceil(n / SIDE).cast("int")
+    least = large.groupBy("token").agg(F.min("key").alias("first"))
+    stars = large.join(least, "token").select("token", "rep", "key", "first", "n")
+    groups = components(stars.select(F.col("key").alias("a"), F.col("first").alias("b")))
+    member = materialize(stars.join(groups, stars["key"] == groups["node"], "left").select("token", "rep", "key", "n", F.coalesce("root", "key").alias("grp")), "jaccard-groups")
+    each = member.select("grp", "rep", "key").distinct()
+    apart = member.groupBy("grp").agg(F.sum(blocks(F.col("n"))).alias("apart"))
+    sizes = each.groupBy("grp").agg(F.count("*").alias("n")).join(apart, "grp").select("grp", "n", (F.col("n") * blocks(F.col("n")) <= F.col("apart")).alias("together"))
+    one = each.join(sizes.where("together").drop("together"), "grp").select(F.xxhash64(F.lit("group"), "grp").alias("token"), "rep", "key", "n")
+    rest = member.join(sizes.where("not together").select("grp"), "grp", "left_semi").select("token", "rep", "key", "n")
+    dealt = one.unionByName(rest).withColumn("blocks", blocks(F.col("n")))
+    return dealt.select("token", "rep", "key", "blocks", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
+
+
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b) links between representatives, enough to connect whatever is linked. classes: key, size, rep."""
     members = materialize(_buckets(prefixes(docs, n, percent, heavy)), "jaccard-members").join(classes.select("key", "rep"), "key")
@@ -295,8 +315,8 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tupl
         .where(apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).drop("parts_a", "parts_b")
     )
     pairs = materialize(pairs, "jaccard-pairs")
-    large = sized.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / SIDE).cast("int"))
-    large = materialize(large.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")), "jaccard-large")
+    large = materialize(sized.where(F.col("n") > SMALL).select("token", "rep", "key", "n"), "jaccard-large")
+    large = materialize(_merged(large), "jaccard-dealt")
     wanted = (
         pairs.select(F.col("rep_a").alias("rep"), F.col("key_a").alias("key"))
         .unionByName(pairs.select(F.col("rep_b").alias("rep"), F.col("key_b").alias("key")))
@@ -323,7 +343,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tupl
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of an edge."""
+    """(node, root): the smallest node reachable, for every node of an edge but the smallest ones themselves."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:

@@ -59,6 +59,27 @@ def test_against_brute_force(spark, monkeypatch, small, side):
     assert run(table(spark, rows)) == brute(rows)
 
 
+def test_copies_that_share_many_buckets_are_sent_once(spark, monkeypatch):
+    """Sixty near copies share dozens of large buckets: each set goes to one task, not to one for each bucket."""
+    sent, plain = [], jaccard._block_links
+    monkeypatch.setattr(jaccard, "_block_links", lambda rows, percent: (sent.append(rows.select("rep").collect()), plain(rows, percent))[1])
+    rows = list(enumerate(near_copies(60, 400, 4, 5)))
+    assert run(table(spark, rows)) == brute(rows)
+    assert len(sent[0]) == len({r["rep"] for r in sent[0]}) > 40
+
+
+@pytest.mark.parametrize("chain", [range(0, 40, 8), range(40)])
+def test_buckets_become_one_if_that_sends_less(spark, monkeypatch, chain):
+    """Buckets of twelve members, linked in a chain: far apart they stay, close together each member is sent for each block of one bucket."""
+    monkeypatch.setattr(jaccard, "SIDE", 12)
+    rows = [(10_000 + first, m, m * 1000 + 7, 12) for first in chain for m in range(first, first + 12)]
+    got = jaccard._merged(spark.createDataFrame(rows, "token long, rep long, key long, n long")).collect()
+    apart, members = len(rows), len({r[1] for r in rows})
+    together = members * -(-members // 12)
+    assert sum(r["blocks"] for r in got) == min(apart, together)
+    assert {r["rep"] for r in got} == {r[1] for r in rows}
+
+
 def test_whole_table_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     assert run(documents(spark)) == brute(rows)
