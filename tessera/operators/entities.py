@@ -19,17 +19,26 @@ def bare(name: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " ")), SUFFIXES, "")
 
 
+def word_runs(names: DataFrame) -> DataFrame:
+    """names (bare, longest, ...) with each distinct run of at most ``longest`` whole words of ``bare``, as ``run``."""
+    words = F.split("bare", " ")
+    ends = lambda i: F.sequence(F.lit(1), F.least(F.size(words) - i + 1, F.col("longest")))
+    runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(ends(i), lambda n: F.array_join(F.slice(words, i, n), " ")))
+    return names.where("longest > 0 and bare is not null").withColumn("run", F.explode(F.array_distinct(F.flatten(runs))))
+
+
 def tiered_match(names: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, entity_id, confidence): exact 0.95, suffix-stripped 0.85, whole-word containment 0.6; best tier, then smallest id.
 
-    Containment meets on the entity's first word (an equi-join) and is then checked on the whole name.
+    An entity that a name contains is one of the name's runs of whole words, so containment is an equi-join: a first word that
+    all entities share pairs nothing. Runs are no longer than the longest entity.
     """
     n = names.select("name", F.lower(F.trim("name")).alias("low"), bare(F.col("name")).alias("bare")).distinct()
     e = entities.select("entity_id", F.lower(F.trim("entity")).alias("e_low"), bare(F.col("entity")).alias("e_bare"))
     exact = n.join(e, n["low"] == e["e_low"]).select("name", "entity_id", F.lit(0.95).alias("confidence"))
     strip = n.join(e, n["bare"] == e["e_bare"]).select("name", "entity_id", F.lit(0.85).alias("confidence"))
-    words = n.withColumn("first", F.explode(F.array_distinct(F.split("bare", " "))))
-    inside = words.join(e.withColumn("first", F.get(F.split("e_bare", " "), F.lit(0))), "first").where(F.concat(F.lit(" "), "bare", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("e_bare"), F.lit(" "))))
+    longest = e.agg(F.coalesce(F.max(F.size(F.split("e_bare", " "))), F.lit(0)).alias("longest"))  # one row
+    inside = word_runs(n.crossJoin(F.broadcast(longest))).join(e, F.col("run") == F.col("e_bare"))
     every = exact.unionByName(strip).unionByName(inside.select("name", "entity_id", F.lit(0.6).alias("confidence")))
     return latest(every, ["name"], [F.desc("confidence"), F.col("entity_id")])
 

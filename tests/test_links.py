@@ -97,3 +97,17 @@ def test_lowest_story(spark):
     pool = spark.createDataFrame([(1, "b", "h"), (2, "b", None), (3, "c", "h"), (4, "b", "h")], "id int, briefing string, hash string")
     stories = spark.createDataFrame([(9, "b", "h"), (7, "b", "h"), (5, "b", None)], "story int, briefing string, hash string")
     assert {r["id"]: r["story"] for r in R.linked(pool, stories, ["briefing", "hash"], "story").collect()} == {1: 7, 2: None, 3: None, 4: 7}
+
+
+def test_a_first_word_that_all_entities_share_pairs_nothing(spark):
+    """A thousand names meet a thousand entities of the same first word by their runs of words: a few rows a name, not a million pairs."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import entities
+
+    n = spark.range(1000).select(F.concat(F.lit("supplier "), F.col("id").cast("string")).alias("bare"), F.lit(2).alias("longest"))
+    assert entities.word_runs(n).count() == 3000
+    names = spark.createDataFrame([("the Acme Corp of Bonn Ltd",), ("Acme",), ("acmes",), ("...",), ("Bonn of",), (None,)], "name string")
+    known = spark.createDataFrame([(1, "of Bonn"), (2, "acme Inc"), (3, "!"), (4, "Acme Corp of"), (5, None)], "entity_id long, entity string")
+    got = {r["name"]: (r["entity_id"], r["confidence"]) for r in entities.tiered_match(names, known).collect()}
+    assert got == {"the Acme Corp of Bonn Ltd": (1, 0.6), "Acme": (2, 0.85), "...": (3, 0.85)}
