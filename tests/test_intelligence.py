@@ -119,6 +119,18 @@ def test_best_share_against_all_pairs(spark, least):
     assert not re.search("CartesianProduct|NestedLoop", got._jdf.queryExecution().executedPlan().toString())
 
 
+def test_best_share_shuffles_no_words(spark, monkeypatch):
+    """What leaves the tasks is a row for each item, however many texts and words there are; also by blocks of items."""
+    monkeypatch.setattr(search, "BROADCAST_KEYWORDS", 7)
+    monkeypatch.setattr(search, "KEYWORD_CELLS", 20)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('the and of ', repeat('to ', 5), 'n', id % 10) AS text")
+    items = spark.createDataFrame([(i, ["the", "of", f"n{i}"]) for i in range(20)] + [(None, ["the"])], "item_id int, keywords array<string>")
+    got = search.best_share(items, docs, 0.5)
+    assert {r["item_id"]: r["share"] for r in got.collect()} == {i: 1.0 if i < 10 else pytest.approx(2 / 3) for i in range(20)} | {None: None}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") > 1
+
+
 def test_recency_by_class(spark):
     rows = [(1, k, 0.8, d) for k in [*search.RECENCY, "advisory", None] for d in (ago(0), ago(30), None)]
     out = search.blend(spark.createDataFrame(rows, "query_id int, kind string, score double, day date"), F.col("kind"), F.lit(DAY)).collect()
