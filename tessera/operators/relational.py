@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.sources import scratch
 
+#: Numbers of one run of rows, and of one block of runs (a multiple): a task of ``permuted_sums`` holds two blocks of doubles.
+SEGMENT, BLOCK = 1 << 14, 1 << 23
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in the given order."""
@@ -172,3 +177,45 @@ def coprime_powers(n: int, count: int, base: int = 2654435761) -> list[int]:
     while n % base == 0:
         base = {2654435761: 4294967291, 4294967291: 1000003}[base]  # all three together exceed 64 bits
     return [pow(base, k, n) for k in range(1, count + 1)]
+
+
+def permuted_sums(rows: DataFrame, i: str, left: str, right: str, count: int) -> DataFrame:
+    """(k, total): for each k from 1 to ``count`` the sum of left of row i times right of row ((i - 1) * P^k + k) mod n + 1, with P of ``coprime_powers``.
+
+    rows: numbers from 1 to n without gaps, and two doubles; products with a null add nothing. Rows are packed into runs of SEGMENT numbers, runs into blocks of BLOCK
+    numbers. Each pair of a block of left values and one of right values is a group, which adds up what its rows give to all k: every row is shuffled once for each block, not once for
+    each k, and a group holds two blocks.
+    """
+    n = rows.count()
+    powers, blocks = coprime_powers(max(n, 1), count), max(1, -(-n // BLOCK))
+    at = F.col(i) - 1
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    placed = F.sort_array(F.collect_list(F.struct(at.alias("at"), value(left).alias("x"), value(right).alias("y"))))
+    runs = rows.groupBy(F.floor(at / SEGMENT).alias("run")).agg(placed.alias("v"))
+    runs = scratch.written(runs.select((F.col("run") * SEGMENT).alias("first"), F.floor(F.col("run") * SEGMENT / BLOCK).alias("block"), "v.x", "v.y"), "runs")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = runs.select(F.col("block").cast("int").alias("a"), every.alias("b"), "first", F.col("x").alias("v"))
+    b = runs.select(every.alias("a"), F.col("block").cast("int").alias("b"), "first", F.col("y").alias("v"))
+
+    def whole(t: pa.Table) -> tuple[int, np.ndarray]:
+        pieces = sorted(zip(t.column("first").to_pylist(), (x.values.to_numpy() for x in t.column("v")), strict=True), key=lambda x: x[0])
+        return (pieces[0][0], np.concatenate([v for _, v in pieces])) if pieces else (0, np.zeros(0))
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        (a0, x), (b0, y) = whole(a), whole(b)
+        total = []
+        for k, power in enumerate(powers, 1):
+            steps, s = np.array([i * power % n for i in range(min(SEGMENT, len(x)))], np.int64), 0.0
+            for lo in range(0, len(x), SEGMENT):
+                part = x[lo : lo + SEGMENT]
+                j = steps[: len(part)] + ((a0 + lo) * power + k) % n
+                j -= np.where(j >= n, n, 0) + b0
+                if blocks > 1:
+                    inside = (j >= 0) & (j < len(y))
+                    part, j = part[inside], j[inside]
+                s += float(part @ y[j])
+            total.append(s)
+        return pa.table({"k": pa.array(range(1, count + 1), pa.int32()), "total": pa.array(total, pa.float64())})
+
+    pairs = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(sums, "k int, total double")
+    return pairs.groupBy("k").agg(F.sum("total").alias("total"))

@@ -294,12 +294,8 @@ SELECT round((SELECT v FROM r), 6) AS real, count_if(s.v >= (SELECT v FROM r)) A
 def ag50_permutation(spark, d):
     """Permutation test with an arithmetic shuffle: replicate k pairs the score of row i with the return of row (i * P^k + k) mod n."""
     t = trades(spark, d).select("trade_id", F.expr("pnl / invested").alias("ret"), (F.col("trade_id") % 13 / 12.0).alias("score"))
-    n = R.dense_index(t, "trade_id").select(F.col("i").cast("decimal(20,0)").alias("i"), "ret", "score")
-    count = n.count()
-    powers = F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lit(a).cast("decimal(18,0)").alias("a")) for k, a in enumerate(R.coprime_powers(max(count, 1), 100))])
-    rep = n.withColumn("x", F.explode(powers))
-    p = rep.select("x.k", "score", (((F.col("i") - 1) * F.col("x.a") + F.col("x.k")) % count + 1).cast("decimal(20,0)").alias("j"))
-    s = p.join(n.select(F.col("i").alias("j"), "ret"), "j").groupBy("k").agg(F.sum(F.col("score") * F.col("ret")).alias("v"))
+    n = R.dense_index(t, "trade_id").select("i", "ret", "score")
+    s = R.permuted_sums(n, "i", "score", "ret", 100).select(F.col("total").alias("v"))
     real = n.agg(F.sum(F.col("score") * F.col("ret")).alias("r"))
     return s.crossJoin(F.broadcast(real)).agg(F.round(F.first("r"), 6).alias("real"), F.count_if(F.col("v") >= F.col("r")).alias("above"), F.round(F.avg(F.when(F.col("v") >= F.col("r"), 1.0).otherwise(0.0)), 6).alias("p"))
 

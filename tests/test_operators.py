@@ -223,3 +223,18 @@ def test_dense_index_and_shuffles(spark):
     assert R.dense_index(df.where("id < 0"), "id").count() == 0
     for n in (1, 2, 10, 2654435761, 2 * 2654435761):
         assert all(math.gcd(a, n) == 1 or n == 1 for a in R.coprime_powers(n, 5))
+
+
+def test_permuted_sums_by_blocks(spark, monkeypatch):
+    """Against the plain sums, with one and with several blocks; rows are shuffled for each block, not for each replicate."""
+    monkeypatch.setattr(R, "SEGMENT", 4)
+    n, count = 45, 7
+    data = [(i, (i * 7 % 5) / 4, None if i == 9 else i * 0.5) for i in range(1, n + 1)]
+    rows = spark.createDataFrame(data, "i long, x double, y double")
+    ys = {i: y or 0.0 for i, _, y in data}
+    want = {k: sum(x * ys[((i - 1) * p + k) % n + 1] for i, x, _ in data) for k, p in enumerate(R.coprime_powers(n, count), 1)}
+    for block in (1 << 22, 8):
+        monkeypatch.setattr(R, "BLOCK", block)
+        got = R.permuted_sums(rows, "i", "x", "y", count)
+        assert {r["k"]: r["total"] for r in got.collect()} == pytest.approx(want)
+    assert R.permuted_sums(rows.limit(0), "i", "x", "y", count).count() == 0
