@@ -87,23 +87,30 @@ def st13_last_price(spark, d):
     return _last(spark, d, streams.last_price(_events(spark, d), "user_id", "value"), ["user_id"]).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+#: Pages of a block, and of a task that reads them.
+PAGES = 64
+
+
 # prints of a user's events; a page has a thousand events, a frame those of one second; some messages of other kinds are between them
 @query("SELECT user_id % 4 AS feed, event_id // 1000 AS page, 'S' || user_id AS symbol, value AS price, (event_id % 7)::DOUBLE AS size, date_trunc('milliseconds', ts) AS ts FROM events WHERE event_type <> 'error'")
 def sc21_ticks(spark, d):
     """The events as a paged service of four feeds, read in two runs of one stream: the second goes on where the first ended."""
     path = scratch.folder(spark, "ticks")
-    e = load(spark, d, "events").withColumn("page", F.floor(F.col("event_id") / 1000)).withColumn("feed", F.col("user_id") % 4)
+    e = load(spark, d, "events").withColumn("page", F.floor(F.col("event_id") / 1000)).withColumn("feed", (F.col("user_id") % 4).cast("int"))
     told = F.struct(F.when(F.col("event_type") == "error", "q").otherwise("t").alias("T"), F.concat(F.lit("S"), "user_id").alias("S"), F.col("value").alias("p"), (F.col("event_id") % 7).cast("double").alias("s"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("t"))
-    frames = e.groupBy("feed", "page", F.date_trunc("second", "ts").alias("at")).agg(F.to_json(F.collect_list(told)).alias("value"))
-    half = e.agg(F.floor(F.max("page") / 2)).first()[0] or 0
+    last = e.agg(F.max("page")).first()[0] or 0
     spark.dataSource.register(ticks.TickSource)
     source, out = f"{path}/service", f"{path}/out"
     found = None
-    for part in (F.col("page") <= half, F.col("page") > half):
-        # a feed's pages have no gaps: a page without events of a feed has an empty frame
-        every = e.where(part).select("page").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("feed"), "page", F.lit("[]").alias("value"))
-        frames.where(part).select("feed", "page", "value").unionByName(every).write.mode("append").partitionBy("feed", "page").text(source)
-        stream = spark.readStream.format("tessera_ticks").option("path", source).load()
+    for lo, hi in ((0, last // 2 + 1), (last // 2 + 1, last + 1)):
+        # pages lie in blocks as large as a task's share, each written by one task; a block without events of a feed has an empty frame
+        first = lambda page: lo + F.floor((page - lo) / PAGES).cast("bigint") * PAGES  # noqa: B023, E731
+        span = lambda page: F.concat_ws("-", first(page), F.least(first(page) + PAGES, F.lit(hi)))  # noqa: B023, E731
+        part = e.where(F.col("page").between(lo, hi - 1)).withColumn("span", span(F.col("page"))).repartition("feed", "span")
+        frames = part.groupBy("feed", "span", "page", F.date_trunc("second", "ts").alias("at")).agg(F.to_json(F.collect_list(told)).alias("value"))
+        every = spark.range(lo, hi, PAGES, 1).select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("feed"), span(F.col("id")).alias("span"), F.col("id").alias("page"), F.lit("[]").alias("value"))
+        frames.drop("at").unionByName(every).write.mode("append").partitionBy("feed", "span").parquet(source)
+        stream = spark.readStream.format("tessera_ticks").option("client", "tessera.sources.ticks:PageBlocks").option("path", source).option("pages", PAGES).load()
         found = streams.run_to_end(stream, out, checkpoint=f"{path}/checkpoint")
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -55,6 +56,40 @@ class PageFolder:
                 yield from s.read().decode().splitlines()
 
 
+class PageBlocks(PageFolder):
+    """Like PageFolder, but many pages lie together: folders feed=F/span=A-B hold the pages from A up to B as Parquet files (page, value: a frame).
+
+    A service of many small pages has a folder for a block of them instead of one for each. A client holds one block at a time.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.held, self.lines = (-1, 0, 0), {}
+
+    def _spans(self, feed: int) -> list[tuple[int, int]]:
+        names = [i.base_name for i in self.fs.get_file_info(fs.FileSelector(f"{self.root}/feed={feed}", allow_not_found=True))]
+        return sorted(tuple(map(int, n.removeprefix("span=").split("-"))) for n in names if n.startswith("span="))
+
+    def pages(self, feed: int) -> int:
+        n = 0
+        for first, end in self._spans(feed):
+            n = end if first == n else n
+        return n
+
+    def frames(self, feed: int, page: int) -> Iterator[str]:
+        if self.held[0] != feed or not self.held[1] <= page < self.held[2]:
+            first, end = next((a, b) for a, b in self._spans(feed) if a <= page < b)
+            lines = {}
+            files = self.fs.get_file_info(fs.FileSelector(f"{self.root}/feed={feed}/span={first}-{end}"))
+            for f in sorted(i.path for i in files if not i.base_name.startswith(("_", "."))):
+                with self.fs.open_input_file(f) as s:
+                    t = pq.ParquetFile(s).read(["page", "value"])
+                for at, value in zip(t.column("page").to_pylist(), t.column("value").to_pylist(), strict=True):
+                    lines.setdefault(at, []).append(value)
+            self.held, self.lines = (feed, first, end), lines
+        yield from self.lines.get(page, [])
+
+
 def service(options: dict[str, str]):
     """The client named by the option ``client`` (module:class), else pages in a folder."""
     module, _, name = options.get("client", f"{__name__}:PageFolder").partition(":")
@@ -108,19 +143,24 @@ class TickReader(DataSourceStreamReader):
             out += [Pages(int(feed), p, min(p + self.most, last)) for p in range(first, last, self.most)]
         return out
 
-    def _page(self, feed: int, page: int) -> list[tuple]:
+    def _page(self, feed: int, page: int, connection: list) -> list[tuple]:
+        """A page's prints; connection holds the task's client, a new one after a failure."""
         for attempt in range(self.retries + 1):
             try:
-                return [p for frame in service(self.options).frames(feed, page) for p in prints(frame)]
+                if not connection:
+                    connection.append(service(self.options))
+                return [p for frame in connection[0].frames(feed, page) for p in prints(frame)]
             except OSError:  # a ConnectionError is one, too
+                connection.clear()
                 if attempt == self.retries:
                     raise
                 time.sleep(self.pause * 2 ** min(attempt, 4))
         return []
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        connection = []
         for page in range(partition.first, partition.end):
-            rows = self._page(partition.feed, page)
+            rows = self._page(partition.feed, page, connection)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.record_batch([pa.array([partition.feed] * len(rows), pa.int32()), pa.array([page] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, _ARROW.types[2:], strict=True))], schema=_ARROW)
 

@@ -76,6 +76,35 @@ def test_reconnects_read_a_page_anew(spark, tmp_path):
     assert got == [(1, page, f"S{i}", page) for page in range(3) for i in range(4)]
 
 
+def test_pages_in_blocks(spark, tmp_path):
+    """Blocks are read as single pages are, over restarts; what follows a gap waits; no page has a folder of its own."""
+    root, out = str(tmp_path / "service"), str(tmp_path / "out")
+
+    def told(feed, span, pages):
+        rows = [(feed, span, p, json.dumps(tick(f"S{i}", p))) for p in pages for i in range(2)]
+        spark.createDataFrame(rows, "feed int, span string, page long, value string").write.mode("append").partitionBy("feed", "span").parquet(root)
+
+    client = {"client": "tessera.sources.ticks:PageBlocks", "pages": "3"}
+    want = lambda *pages: sorted((1, p, f"S{i}", p) for p in pages for i in range(2))
+    told(1, "0-4", [0, 1, 3])
+    told(1, "8-9", [8])
+    assert seen(streams.run_to_end(stream(spark, root, **client), out)) == want(0, 1, 3)
+    told(1, "4-8", [5, 7])
+    assert seen(streams.run_to_end(stream(spark, root, **client), out)) == want(0, 1, 3, 5, 7, 8)
+
+
+def test_folders_of_the_service_do_not_grow_with_pages(spark, tmp_path, monkeypatch):
+    from tessera.plans import streams as plans
+
+    rows = spark.range(40_000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.5D AS value", "'' AS props")
+    rows.where("event_id < 3000 or event_id >= 36000").write.parquet(str(tmp_path / "events.parquet"))  # pages without events between
+    monkeypatch.setattr(plans.scratch, "folder", lambda *_: str(tmp_path / "scratch"))
+    got = plans.sc21_ticks(spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == 7000
+    folders = [d for d, _, _ in os.walk(tmp_path / "scratch" / "service")]
+    assert len(folders) <= 1 + 4 + 4 * 2
+
+
 def test_a_task_fails_when_reconnects_run_out(tmp_path):
     serve(tmp_path, 0, 0, [{"T": "error", "msg": "no", "code": 1}])
     reader = ticks.TickReader({"path": str(tmp_path), "retries": "1", "pause": "0"})
