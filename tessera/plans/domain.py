@@ -220,22 +220,26 @@ cd AS (SELECT t.trade_id, t.account, t.entry_day AS day, t.ticker, o_totalprice
 
 def _candidates(spark, d):
     """Every order as a candidate on its day, with the last full month's bars, the account's book and what it held of the ticker before."""
-    b = bars(spark, d)
+    b = bars(spark, d, True)
     features = entries.bar_features(b, ENTRY)
     months = Window.partitionBy(F.year("day") * 0).orderBy("day").rowsBetween(-2, 0)  # the index has one row for each month at any scale
     index = b.groupBy("day").agg(F.avg("close").alias("c"))
     regime = index.select(F.col("day").alias("month"), F.when(F.col("c") < F.avg("c").over(months), 0.5).otherwise(1.0).alias("regime"))
     o, l = load(spark, d, "orders"), load(spark, d, "lineitem")  # noqa: E741
-    lines = l.join(o, l["l_orderkey"] == o["o_orderkey"]).groupBy(F.col("o_custkey").alias("account"), F.col("l_partkey").alias("ticker"), F.to_date("o_orderdate").alias("day")).agg(F.sum("l_extendedprice").alias("held"))
-    pair = F.concat_ws(":", "account", "ticker")
-    holdings = lines.select(pair.alias("pair"), "day", F.sum("held").over(Window.partitionBy("account", "ticker").orderBy("day")).alias("holding"))
+    lines = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("account"), F.col("l_partkey").alias("ticker"), F.unix_date(F.to_date("o_orderdate")).alias("at"), F.col("l_extendedprice").alias("held"))
     t = trades(spark, d).select("trade_id", "account", F.col("entry_day").alias("day"), "ticker", "status", F.trunc("entry_day", "month").alias("month"))
+    # what an account held of a ticker before the day: one shuffle of narrow rows; most have held nothing and have no row
+    asked = t.select("account", "ticker", F.unix_date("day").alias("at"), F.lit(None).cast("double").alias("held"), "trade_id")
+    before = Window.partitionBy("account", "ticker").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    holdings = lines.withColumn("trade_id", F.lit(None).cast("bigint")).unionByName(asked).withColumn("holding", F.sum("held").over(before)).where("trade_id is not null and holding is not null").select("trade_id", "holding")
+    t = t.join(holdings, "trade_id", "left")
     t = t.join(o.select(F.col("o_orderkey").alias("trade_id"), "o_totalprice", "o_orderpriority"), "trade_id")
     t = t.join(load(spark, d, "customer").select(F.col("c_custkey").alias("account"), "c_acctbal", "c_mktsegment"), "account")
     t = t.join(load(spark, d, "part").select(F.col("p_partkey").alias("ticker"), "p_size", "p_brand", F.col("p_type").alias("industry")), "ticker").join(F.broadcast(regime), "month", "left")
-    # the last fact before the day: as of the day before
-    t = R.as_of(t.withColumn("_at", F.date_sub("month", 1)), features, "ticker", "_at", "day", ["last", "adv", "atr_pct"], prefix="")
-    t = R.as_of(t.drop("at").withColumn("pair", pair).withColumn("_at", F.date_sub("day", 1)), holdings, "pair", "_at", "day", ["holding"], prefix="")
+    # the last bars before the month, of the ticker's list: it has one entry a month and lies where the lines were shuffled to, so bars are not shuffled again
+    known = F.array_max(F.filter("bars", lambda x: x["day"] < F.col("month")))
+    listed = features.groupBy("ticker").agg(F.collect_list(F.struct("day", "last", "adv", "atr_pct")).alias("bars"))
+    t = t.join(listed, "ticker", "left").withColumn("known", known).select("*", "known.last", "known.adv", "known.atr_pct").drop("bars", "known")
     equity = 20000 + 10 * F.greatest("c_acctbal", F.lit(0.0))
     short = F.col("o_orderpriority") == "1-URGENT"
     return t.select(

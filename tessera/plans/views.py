@@ -55,12 +55,13 @@ bars AS (
   FROM ticks GROUP BY ticker, day)"""
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly price bars of every part."""
+def bars(spark: SparkSession, sf_dir: str, by_ticker: bool = False) -> DataFrame:
+    """Monthly price bars of every part. by_ticker: lines are shuffled by part, so that windows over a part's bars need no shuffle of their own."""
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
     price = F.col("l_extendedprice") / F.col("l_quantity")
+    lines = load(spark, sf_dir, "lineitem")
     return (
-        load(spark, sf_dir, "lineitem")
+        (lines.repartition("l_partkey") if by_ticker else lines)
         .groupBy(F.col("l_partkey").alias("ticker"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("day"))
         .agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum("l_quantity").alias("volume"))
     )

@@ -157,3 +157,11 @@ def test_against_a_plain_walk(spark, seed):
 
 def test_no_candidates(spark):
     assert admitted(spark, []) == {}
+
+
+def test_bars_of_candidates_are_shuffled_once(spark):
+    """Bars, and windows over them, lie where the lines were shuffled to by part."""
+    from tessera.plans.views import bars
+
+    plan = entries.bar_features(bars(spark, "/root/testdata/sf0.001", True), entries.Rules())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
