@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import resident, small_batches
 
-#: Entries kept in a worker's table of words and in its pair table; each starts anew when full.
-WORD_CACHE = 700_000
+#: Entries kept in a worker's table of words (some 200 bytes each) and in its pair table; each starts anew when full.
+WORD_CACHE = 1_500_000
 PAIR_CACHE = 1_000_000
 #: Longer words are not kept.
 KEPT_CHARS = 64
@@ -95,7 +95,7 @@ class _Pairs(dict):
 class _Words(dict):
     """Lower-case text without white space -> its ids as bytes, filled when first asked for.
 
-    Only words are kept: a word with punctuation after it is put together from the two.
+    A word with punctuation after it is put together from the two, and kept as well.
     """
 
     def __init__(self, bpe: WordBpe):
@@ -106,10 +106,12 @@ class _Words(dict):
         if not (chunk.isalpha() and (chunk.isascii() or max(chunk) < LATIN_END)):
             stem, last = chunk[:-1], chunk[-1]
             if last in MARKS and stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
-                return self[stem] + self[last]
+                return self._keep(chunk, self[stem] + self[last])
             if len(found := self.bpe.words(chunk)) != 1 or found[0] != chunk:
-                return b"".join([self[w] for w in found])
-        ids = self.bpe._word(chunk)
+                return self._keep(chunk, b"".join([self[w] for w in found]))
+        return self._keep(chunk, self.bpe._word(chunk))
+
+    def _keep(self, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= KEPT_CHARS:
             if len(self) >= WORD_CACHE:
                 self.clear()
@@ -217,7 +219,17 @@ class WordBpe:
         longest = [-1] * n
         for end, token in self.finder.iter(s):  # by rising end: what stays is the longest
             longest[end + 1 - sizes[token]] = token
-        pairs, shorter, out = self.pairs, self.shorter, []
+        pairs, shorter, public, out = self.pairs, self.shorter, self.public, []
+        pos, token = 0, longest[0]
+        while token >= 0:  # most words need no step back
+            out.append(token)
+            pos += sizes[token]
+            if pos == n:
+                return b"".join([public[x] for x in out])
+            left, token = token << 20, longest[pos]
+            while token >= 0 and not pairs[left | token]:
+                token = shorter[token]
+        out = []
         dead = bytearray(n + 1)
         pos, last = 0, -1
         token = longest[0]
@@ -233,7 +245,6 @@ class WordBpe:
                 out.append(token)
                 pos += sizes[token]
                 if pos == n:
-                    public = self.public
                     return b"".join([public[x] for x in out])
                 last, token = token, longest[pos]
             else:

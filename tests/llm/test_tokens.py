@@ -133,3 +133,16 @@ def test_sequences_are_full(spark):
 def test_empty_table(spark):
     assert bpe.round_trip_digests(table(spark, []), PATH).count() == 0
     assert packing.pack_documents(table(spark, []), PATH).count() == 0
+
+
+def test_words_with_punctuation_are_put_together_once():
+    from tessera.llm.bpe import WordBpe, vocabulary
+
+    bpe, asked = WordBpe(vocabulary(PATH)), []
+    plain = bpe.words
+    bpe.words = lambda x: (asked.append(x), plain(x))[1]
+    text = "rain, (rain) rain%%% étéx, "
+    once = bpe.encode(text)
+    n = len(asked)
+    assert bpe.encode(text * 3).tolist() == once.tolist() * 3 and len(asked) == n > 0
+    assert once.tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
