@@ -238,3 +238,22 @@ def test_permuted_sums_by_blocks(spark, monkeypatch):
         got = R.permuted_sums(rows, "i", "x", "y", count)
         assert {r["k"]: r["total"] for r in got.collect()} == pytest.approx(want)
     assert R.permuted_sums(rows.limit(0), "i", "x", "y", count).count() == 0
+
+
+def test_queries_of_the_nearest_are_not_copied_more_often_than_rows(spark, monkeypatch):
+    """Floats are dealt as floats, and at most as many copies of queries as of rows; the nearest stay the same."""
+    e = spark.range(600).selectExpr("id AS vec_id", "transform(sequence(1, 8), k -> cast(sin(id * 7 + k * k) AS float)) AS embedding")
+    q = e.where("vec_id % 2 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    want = search.knn(e, q, 3).orderBy("query_id", "rank").collect()
+    dealt, plain = [], type(e).repartitionById
+    monkeypatch.setattr(type(e), "repartitionById", lambda self, *a: (dealt.append(self), plain(self, *a))[1])
+    monkeypatch.setattr(search, "CHUNK", 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        assert search.knn(e, q, 3).orderBy("query_id", "rank").collect() == want and len(want) == 900
+        assert dealt[0].count() <= 2 * 600 and dict(dealt[0].dtypes)["v"] == "array<float>"
+        wide = q.selectExpr("query_id", "cast(q AS array<double>) AS q")
+        assert search.knn(e, wide, 3).orderBy("query_id", "rank").collect() == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
