@@ -12,7 +12,9 @@ link if 100 * |intersection| >= 100 * threshold * |union|.
    their first n - ceil(t n) + 1 shingles, and l of them if both prefixes are l - 1 longer.
 3. Each document chooses its l: the prefix grows by one while that lowers the estimated candidate
    cost, the number of documents expected to share l of its prefix shingles.
-4. Shingles in the prefixes of two or more classes are buckets. In buckets of up to ``SMALL``
+4. Shingles in the prefixes of two or more classes are buckets. Buckets of more than ``FEW`` classes lose the
+   classes that no other of the bucket fits in size and in the histogram of hashes, and are parted into groups of those that
+   fit: of classes that share common shingles by chance none is left, however large such buckets grow with the corpus. In buckets of up to ``SMALL``
    classes all pairs are formed, and pairs that share as many prefix shingles as the smaller l of the two
    and fit in size and in the histogram of their hashes are verified on the whole sets. Larger buckets (groups of near copies,
    very common lines) are dealt into blocks of about ``SIDE`` classes; a task takes two blocks, counts all
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import freed, materialize, small_batches
+from tessera.llm.common import discard, freed, materialize, small_batches
 from tessera.llm.wordhash import run_hashes, word_hashes, words
 
 HEAVY = 1 << 19
@@ -44,6 +46,8 @@ HEAVY = 1 << 19
 COUNTED, REPORT = 1 << 22, 3
 MOST_MATCHES = 4
 SMALL, SIDE = 32, 512
+#: Buckets of more than ``FEW`` classes and up to ``HELD`` (some 100 bytes each in a task) are sifted; a larger one keeps all its classes.
+FEW, HELD = 8, 1 << 14
 #: Ids (8 bytes each) that are broadcast to pick the texts to verify; more of them are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -192,6 +196,76 @@ def _buckets(prefix_rows: DataFrame) -> DataFrame:
     return prefix_rows.repartition(width, "token").sortWithinPartitions("token", "key").mapInArrow(freed(run), "token bigint, key bigint, size bigint, matches bigint")
 
 
+def fitting(sizes: np.ndarray, parts: np.ndarray, percent: int, step: int = 256) -> np.ndarray:
+    """A number for each set, the same for two that may be linked by size and histogram, directly or over others. Sets are sorted by size.
+
+    Blocks of sets that have one number already are not compared: near copies come to that at once.
+    """
+    n = len(sizes)
+    group = np.arange(n)
+    ends = np.searchsorted(percent * sizes, 100 * sizes, side="right")
+    for lo in range(0, n, step):
+        hi = min(lo + step, n)
+        for at in range(lo, int(ends[hi - 1]), step):
+            upto = min(at + step, n)
+            if (group[lo:hi] == group[lo]).all() and (group[at:upto] == group[lo]).all():
+                continue
+            apart = np.abs(parts[lo:hi, None, :] - parts[None, at:upto, :]).sum(axis=2, dtype=np.int64)
+            a, b = sizes[lo:hi, None], sizes[None, at:upto]
+            x, y = np.nonzero((apart * (100 + percent) <= (a + b) * (100 - percent)) & (100 * a >= percent * b) & (100 * b >= percent * a))
+            while (differ := group[lo + x] != group[at + y]).any():
+                x, y = x[differ], y[differ]
+                ends_of = np.stack([group[lo + x], group[at + y]])
+                least = np.arange(n)
+                np.minimum.at(least, ends_of.max(axis=0), ends_of.min(axis=0))
+                group = least[group]
+    return group
+
+
+def _sifted(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """members (token, key, rep, size, matches, n) that another one of their token fits, with a token for each group of those that fit; n counts the group.
+
+    Counts above 255 are taken as 255, which brings histograms no further apart.
+    """
+    byte = F.array_join(F.transform("parts", lambda x: F.lpad(F.hex(F.least(x, F.lit(255))), 2, "0")), "")
+    names = ["token", "key", "rep", "size", "matches"]
+
+    def sift(rows: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.diff(rows[0])) + 1
+        left, counts, groups = [], [], []
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.shape[1]], strict=True):
+            group = fitting(rows[3, lo:hi], parts[lo:hi], percent)
+            count = np.bincount(group)[group]
+            keep = np.flatnonzero(count > 1)
+            left.append(lo + keep)
+            counts.append(count[keep])
+            groups.append(group[keep])
+        out = rows[:, np.concatenate(left)]
+        token = (out[0].view(np.uint64) ^ np.concatenate(groups).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)  # two with one token would be compared, no more
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (_signed(token), *out[1:], np.concatenate(counts))], names=[*names, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last token, which may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            parts = np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.uint8).reshape(-1, 64).astype(np.int16)
+            at = int(np.searchsorted(rows[0], rows[0, -1]))
+            if at or (held and held[0][0][0, 0] != rows[0, 0]):
+                whole = [*held, (rows[:, :at], parts[:at])]
+                held = []
+                yield sift(np.hstack([w[0] for w in whole]), np.vstack([w[1] for w in whole]))
+            held.append((rows[:, at:], parts[at:]))
+        if held:
+            yield sift(np.hstack([w[0] for w in held]), np.vstack([w[1] for w in held]))
+
+    width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.join(classes.select("key", F.unhex(byte).alias("parts")), "key").select(*names, "parts")
+    kinds = ", ".join(f"{c} bigint" for c in [*names, "n"])
+    return rows.repartition(width, "token").sortWithinPartitions("token", "size", "key").mapInArrow(freed(run), kinds)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(key, set array<bigint>) of the wanted (rep, key)."""
     reps = materialize(wanted.select("rep").distinct(), "jaccard-reps")
@@ -293,10 +367,15 @@ def _merged(large: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b) links between representatives, enough to connect whatever is linked. classes: key, size, rep."""
-    members = materialize(_buckets(prefixes(docs, n, percent, heavy)), "jaccard-members").join(classes.select("key", "rep"), "key")
-    members = materialize(members, "jaccard-members")
-    counts = members.groupBy("token").agg(F.count("*").alias("n"))
-    sized = members.join(counts, "token")
+    found = materialize(_buckets(prefixes(docs, n, percent, heavy)), "jaccard-buckets")
+    members = materialize(found.join(classes.select("key", "rep"), "key"), "jaccard-members")
+    discard(found)
+    counted = materialize(members.join(members.groupBy("token").agg(F.count("*").alias("n")), "token"), "jaccard-counted")
+    discard(members)
+    many = F.col("n").between(FEW + 1, HELD)
+    sized = counted.where(~many).unionByName(_sifted(counted.where(many), classes, percent))
+    sized = materialize(sized, "jaccard-sized")
+    discard(counted)
 
     small = sized.where(F.col("n") <= SMALL)
     a, b = (small.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "rep", "size", "matches")]) for x in "ab")
@@ -315,14 +394,18 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tupl
         .where(apart * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).drop("parts_a", "parts_b")
     )
     pairs = materialize(pairs, "jaccard-pairs")
-    large = materialize(sized.where(F.col("n") > SMALL).select("token", "rep", "key", "n"), "jaccard-large")
-    large = materialize(_merged(large), "jaccard-dealt")
+    shared = materialize(sized.where(F.col("n") > SMALL).select("token", "rep", "key", "n"), "jaccard-large")
+    discard(sized)
+    large = materialize(_merged(shared), "jaccard-dealt")
+    discard(shared)
     wanted = (
         pairs.select(F.col("rep_a").alias("rep"), F.col("key_a").alias("key"))
         .unionByName(pairs.select(F.col("rep_b").alias("rep"), F.col("key_b").alias("key")))
         .unionByName(large.select("rep", "key")).distinct()
     )
-    sets = materialize(_sets(docs, materialize(wanted, "jaccard-wanted"), n), "jaccard-sets")
+    wanted = materialize(wanted, "jaccard-wanted")
+    sets = materialize(_sets(docs, wanted, n), "jaccard-sets")
+    discard(wanted)
 
     common = F.size(F.array_intersect("set_a", "set_b"))
     verified = (
@@ -339,7 +422,9 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, heavy: tupl
     )
     blocks = tasks.join(sets, "key").select("task", "side", "rep", "set")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return verified.unionAll(_block_links(blocks.repartition(width, "task").sortWithinPartitions("task"), percent))
+    out = materialize(verified.unionAll(_block_links(blocks.repartition(width, "task").sortWithinPartitions("task"), percent)), "jaccard-links")
+    discard(pairs, large, sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -347,12 +432,14 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
+        old = e
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
         e = materialize(e.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -373,6 +460,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     # rows of one id with several texts are one node, too
     same = rows.where("size > 0 and doc_id is not null").join(classes.select("key", "rep"), "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     roots = components(found.unionAll(same))
+    discard(found, classes)
     return (
         rows.join(roots, rows["doc_id"] == roots["node"], "left")
         .select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import jaccard
@@ -80,6 +81,36 @@ def test_buckets_become_one_if_that_sends_less(spark, monkeypatch, chain):
     assert {r["rep"] for r in got} == {r[1] for r in rows}
 
 
+def test_chance_meetings_send_no_sets(spark, monkeypatch):
+    """Texts that share one rare shingle and nothing else, far more of them than a small bucket has: none is sent whole, and links among them are found."""
+    monkeypatch.setattr(jaccard, "HEAVY", 0)  # as if the table of frequent shingles were full of others
+    sent, plain = [], jaccard._block_links
+    monkeypatch.setattr(jaccard, "_block_links", lambda rows, percent: (sent.append(rows.select("rep").collect()), plain(rows, percent))[1])
+    rng = random.Random(7)
+    common = min((f"p{i} q r" for i in range(3000)), key=lambda t: int(jaccard.shingles(t, 3)[0]))  # the first of nearly every prefix
+    texts = [f"{' '.join(f'w{rng.randrange(10**9)}' for _ in range(rng.randrange(60, 400)))} {common}" for _ in range(120)]
+    texts += [f"{texts[3]} more", f"{texts[50]} and more"]
+    rows = list(enumerate(texts))
+    assert run(table(spark, rows)) == brute(rows)
+    assert len(sent[0]) == 0
+
+
+def test_fitting_groups_every_pair():
+    rng = np.random.default_rng(3)
+    parts = rng.integers(0, 6, (90, 64)).astype(np.int16)
+    parts[60:] = parts[:30] + (rng.random((30, 64)) < 0.15)
+    sizes = parts.sum(axis=1).astype(np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes, parts = sizes[order], parts[order]
+    near = lambda i, j: i != j and 90 * max(sizes[i], sizes[j]) <= 100 * min(sizes[i], sizes[j]) and 190 * abs(parts[i] - parts[j]).sum() <= 10 * (sizes[i] + sizes[j])
+    expected = list(range(90))
+    for _ in range(90):
+        expected = [min([expected[i], *(expected[j] for j in range(90) if near(i, j))]) for i in range(90)]
+    assert 20 < len(set(expected)) < 90
+    for step in (4, 7, 256):
+        assert jaccard.fitting(sizes, parts, 90, step).tolist() == expected
+
+
 def test_whole_table_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     assert run(documents(spark)) == brute(rows)
